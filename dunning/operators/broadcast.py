@@ -1,0 +1,21 @@
+"""Broadcast a side only after checking its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A lookup of occurrence codes has tens of rows; anything past this bound is
+# joined by shuffle instead.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows, so it stays cheap even when
+    the table turns out to be large; then the planner (and AQE, with runtime
+    sizes) chooses the join strategy.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
