@@ -123,4 +123,4 @@ def ymd_shape(text) -> Column:
 def ymd_date(text) -> Column:
     """The calendar date of a YYYY-MM-DD text, null when impossible."""
     t = _c(text)
-    return F.when(ymd_shape(t), F.try_to_date(t, F.lit("yyyy-MM-dd")))
+    return F.when(ymd_shape(t), F.try_to_date(t, "yyyy-MM-dd"))

@@ -27,7 +27,10 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str | None =
     # Distinct with map-side combine: a hot key shrinks before the shuffle.
     present = keys.where(F.col(_K).isNotNull()).distinct()
     kept = left.join(present, left[key] == present[_K], "left_anti")
-    return kept.where(state.isNull() | ((state == F.lit(1)) & F.col(key).isNotNull()))
+    # One reference to the scalar: list state (empty 0, clean 1, has-null 2)
+    # must be below the row's need (null key 1, non-null key 2).
+    need = F.when(F.col(key).isNotNull(), F.lit(2)).otherwise(F.lit(1))
+    return kept.where(F.coalesce(state, F.lit(0)) < need)
 
 
 def anti_join(left: DataFrame, key: str, right: DataFrame, right_key: str | None = None) -> DataFrame:
