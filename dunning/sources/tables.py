@@ -78,11 +78,21 @@ def from_jdbc(
     return _bundle(dfs)
 
 
+_FIXTURES: dict[tuple, Tables] = {}
+
+
 def from_fixture(spark: SparkSession, sf_dir: str) -> Tables:
-    """Derive the eight tables from the driver's TPC-H-like parquet files."""
+    """Derive the eight tables from the driver's TPC-H-like parquet files.
+
+    The lazy definitions are built once per session and folder (like views in
+    a catalog); every action still reads the parquet files.
+    """
     from dunning.sources.fixture import derive
 
-    return _bundle(derive(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _FIXTURES:
+        _FIXTURES[key] = _bundle(derive(spark, sf_dir))
+    return _FIXTURES[key]
 
 
 def _bundle(dfs: dict[str, DataFrame]) -> Tables:

@@ -1,0 +1,64 @@
+"""Physical-plan checks: built-in operators only, no pair explosion, map-side
+limits and a size-checked lookup broadcast."""
+
+from __future__ import annotations
+
+import pytest
+
+from dunning.params import FIXTURE_PARAMS
+from dunning.plans.reports import REPORTS
+from dunning.sources.tables import from_fixture
+from tests.conftest import SMALL
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return from_fixture(spark, SMALL)
+
+
+@pytest.mark.parametrize("key", sorted(REPORTS))
+def test_no_python_and_no_pairs(tables, key):
+    text = plan_text(REPORTS[key].build(tables, FIXTURE_PARAMS))
+    for node in PYTHON_NODES + PAIR_NODES:
+        assert node not in text, f"{key} plans {node}"
+
+
+def test_phone_ranking_limits_before_the_shuffle(tables):
+    text = plan_text(REPORTS["r03_phones_top7"].build(tables, FIXTURE_PARAMS))
+    assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_latest_agreement_limits_before_the_shuffle(tables):
+    text = plan_text(REPORTS["r04_agreements_open"].build(tables, FIXTURE_PARAMS))
+    assert "WindowGroupLimit" in text
+
+
+def test_lookup_is_broadcast_after_a_size_check(tables):
+    text = plan_text(REPORTS["r05_cpc_period"].build(tables, FIXTURE_PARAMS))
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+
+
+def test_history_is_aggregated_before_the_join(tables):
+    df = REPORTS["r05_cpc_period"].build(tables, FIXTURE_PARAMS)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    # the max over events is computed below the join with registrations
+    assert text.index("Join Inner") < text.index("max(data_at")
+
+
+def test_not_in_is_not_a_null_aware_broadcast(tables):
+    text = plan_text(REPORTS["r06_no_history_30d"].build(tables, FIXTURE_PARAMS))
+    assert "LeftAnti" in text and "isNullAwareAntiJoin=true" not in text.replace(" ", "")
+    assert "Subquery" in text
+
+
+def test_scans_read_only_needed_columns(tables):
+    df = REPORTS["r01_email"].build(tables, FIXTURE_PARAMS)
+    scan = [line for line in plan_text(df).splitlines() if "FileScan parquet" in line][0]
+    assert "c_acctbal" not in scan and "c_nationkey" not in scan
