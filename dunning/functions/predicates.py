@@ -103,14 +103,24 @@ def as_of_date(as_of: dt.datetime | None) -> Column:
     return F.lit(as_of.date())
 
 
+def days_before(as_of, days: int = RECENT_DAYS) -> Column:
+    """``NOW() - INTERVAL n DAY`` (to the second)."""
+    return as_of_ts(as_of) - F.make_dt_interval(F.lit(days))
+
+
+def midnight_days_before(as_of, days: int = RECENT_DAYS) -> Column:
+    """``CURDATE() - INTERVAL n DAY`` (from midnight)."""
+    return F.date_sub(as_of_date(as_of), days).cast("timestamp_ntz")
+
+
 def since_ts(col, as_of, days: int = RECENT_DAYS) -> Column:
-    """``col >= NOW() - INTERVAL n DAY`` (to the second)."""
-    return _c(col) >= as_of_ts(as_of) - F.make_dt_interval(F.lit(days))
+    """``col >= NOW() - INTERVAL n DAY``."""
+    return _c(col) >= days_before(as_of, days)
 
 
 def since_midnight(col, as_of, days: int = RECENT_DAYS) -> Column:
-    """``col >= CURDATE() - INTERVAL n DAY`` (from midnight)."""
-    return _c(col) >= F.date_sub(as_of_date(as_of), days).cast("timestamp_ntz")
+    """``col >= CURDATE() - INTERVAL n DAY``."""
+    return _c(col) >= midnight_days_before(as_of, days)
 
 
 def recent_intake(data_cad, as_of, months: int = INTAKE_MONTHS) -> Column:
@@ -118,15 +128,31 @@ def recent_intake(data_cad, as_of, months: int = INTAKE_MONTHS) -> Column:
     return _c(data_cad) >= F.add_months(as_of_date(as_of), -months)
 
 
-def period_bounds(col, start: dt.date | None, end: dt.date | None) -> Column | None:
-    """Optional inclusive bounds: start at 00:00:00, end at 23:59:59 (a
-    fraction of a second after 23:59:59 is outside, as in the reference)."""
-    cond = None
-    if start is not None:
-        lo = F.lit(dt.datetime.combine(start, dt.time(0, 0, 0))).cast("timestamp_ntz")
-        cond = _c(col) >= lo
-    if end is not None:
-        hi = F.lit(dt.datetime.combine(end, dt.time(23, 59, 59))).cast("timestamp_ntz")
-        c2 = _c(col) <= hi
-        cond = c2 if cond is None else cond & c2
-    return cond
+def period_start(start: dt.date | None) -> Column | None:
+    """Optional inclusive period start at 00:00:00."""
+    if start is None:
+        return None
+    return F.lit(dt.datetime.combine(start, dt.time(0, 0, 0))).cast("timestamp_ntz")
+
+
+def period_end(end: dt.date | None) -> Column | None:
+    """Optional inclusive period end at 23:59:59 (a fraction of a second
+    after 23:59:59 is outside, as in the reference)."""
+    if end is None:
+        return None
+    return F.lit(dt.datetime.combine(end, dt.time(23, 59, 59))).cast("timestamp_ntz")
+
+
+def day_partition_floor(df, ts_col: Column) -> Column | None:
+    """When ``df`` is stored partitioned by event day (column ``dt``), the
+    partition filter implied by ``data_at >= ts``: ``dt >= to_date(ts)``.
+    Spark cannot derive it from the timestamp predicate by itself."""
+    if "dt" not in df.columns:
+        return None
+    return F.col("dt") >= F.to_date(ts_col)
+
+
+def day_partition_ceiling(df, ts_col: Column) -> Column | None:
+    if "dt" not in df.columns:
+        return None
+    return F.col("dt") <= F.to_date(ts_col)

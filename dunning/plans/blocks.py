@@ -172,6 +172,24 @@ def b09_phone_pivot(ranked: DataFrame, p: ReportParams) -> DataFrame:
 
 
 # ------------------------------------------------------------------ history
+def history(t: Tables, lower=None, upper=None) -> DataFrame:
+    """Contact events with ``lower <= data_at <= upper`` (either optional).
+
+    When the table is stored partitioned by event day, the matching day
+    filters are added too, so only the folders inside the window are read.
+    """
+    h = t.hist
+    if lower is not None:
+        h = h.where(F.col("data_at") >= lower)
+        part = P.day_partition_floor(h, lower)
+        h = h.where(part) if part is not None else h
+    if upper is not None:
+        h = h.where(F.col("data_at") <= upper)
+        part = P.day_partition_ceiling(h, upper)
+        h = h.where(part) if part is not None else h
+    return h
+
+
 def _lookup(t: Tables, cond) -> DataFrame:
     return broadcast_if_small(t.stcob.where(cond).select(F.col("st").alias("ocorr")).distinct())
 
@@ -183,7 +201,7 @@ def classified_recent_contacts(t: Tables, p: ReportParams) -> DataFrame:
     NOT NULL)`` is true for every non-null bsc and unknown for null, so it is
     ``bsc IS NOT NULL``: the LEFT JOIN becomes a semi join with those codes.
     """
-    h = t.hist.where(P.since_midnight("data_at", p.as_of) & P.human_user("cod_usu"))
+    h = history(t, lower=P.midnight_days_before(p.as_of)).where(P.human_user("cod_usu"))
     h = h.join(_lookup(t, F.col("bsc").isNotNull()), "ocorr", "left_semi")
     return h.select(F.col("cod_cli").alias("cod_cad"))
 
@@ -206,11 +224,7 @@ def last_event_per_registration(t: Tables, p: ReportParams, cpc_only: bool, boun
     reduced map-side to one row per task.
     """
     ref = p.hist_ref_col
-    h = t.hist
-    if bounded:
-        cond = P.period_bounds("data_at", p.start, p.end)
-        if cond is not None:
-            h = h.where(cond)
+    h = history(t, P.period_start(p.start), P.period_end(p.end)) if bounded else t.hist
     codes = _lookup(t, P.contains_ci("bsc", "CPC") if cpc_only else F.lit(True))
     h = h.join(codes, "ocorr", "left_semi")
     return h.groupBy(F.col(ref).alias("cod_cad")).agg(F.max("data_at").alias("dt_ultimo_cpc"))

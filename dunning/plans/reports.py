@@ -100,7 +100,7 @@ def r06_no_history_30d(t: Tables, p: ReportParams) -> DataFrame:
     """Active registrations with no human event in the last 30 days (to the
     second). The reference's NOT IN is uncorrelated, so a null id in recent
     history empties the report, exactly as SQL does."""
-    recent = t.hist.where(P.since_ts("data_at", p.as_of) & P.human_user("cod_usu"))
+    recent = B.history(t, lower=P.days_before(p.as_of)).where(P.human_user("cod_usu"))
     regs = B.registrations(t, p)
     kept = not_in(regs, "cod_cad", recent, "cod_cli")
     return kept.select(*identity(), "cod_cli", F.col("infoad").alias("portfolio"))

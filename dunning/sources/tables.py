@@ -44,7 +44,9 @@ def from_parquet(spark: SparkSession, root: str) -> Tables:
     """
     dfs = {}
     for name, schema in SCHEMAS.items():
-        dfs[name] = spark.read.schema(schema).parquet(f"{root}/{name}")
+        df = spark.read.parquet(f"{root}/{name}")
+        extra = [c for c in df.columns if c not in schema.fieldNames()]  # partition columns
+        dfs[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
     return _bundle(dfs)
 
 
