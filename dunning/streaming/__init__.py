@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference reports are batch queries over stored tables: no watermarks,
+windows over event time, state or late data. Every report runs unchanged on a
+table that a streaming job keeps up to date.
+"""
