@@ -8,7 +8,7 @@ then join: no block joins two many-row-per-key tables to each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dunning.functions import predicates as P
@@ -94,9 +94,8 @@ def contract_instalments(t: Tables, p: ReportParams) -> DataFrame:
     )
 
 
-def b05_contract_values(t: Tables, p: ReportParams, latest: DataFrame | None = None) -> DataFrame:
-    """Contracts with at least one complement row and one eligible instalment,
-    excluding contracts with a settled latest agreement (NOT IN, null-aware).
+def contract_values_base(t: Tables, p: ReportParams) -> DataFrame:
+    """Contracts with at least one complement row and one eligible instalment.
 
     The reference joins every complement row to every instalment row of the
     contract and then takes DISTINCT lists; both lists only depend on the two
@@ -104,14 +103,32 @@ def b05_contract_values(t: Tables, p: ReportParams, latest: DataFrame | None = N
     one-row-per-contract results are joined. The optional minimum applies to
     ``SUM(vlrparc)`` over that join, i.e. complement rows x instalment total.
     """
-    latest = latest if latest is not None else b02_latest_agreement(t, p)
     v = contract_complements(t, p).join(contract_instalments(t, p), CONTRACT, "inner")
-    v = not_in(v, "nmcont", b03_settled_contracts(latest), "nmcont")
     if p.min_contract_total is not None:
         v = v.where(F.col("n_comp") * F.col("vlr_total") >= F.lit(p.min_contract_total))
     return v.select(*CONTRACT, "Contratos", "TipoProduto", "BindingID")
 
 
+def b05_contract_values(t: Tables, p: ReportParams, latest: DataFrame | None = None) -> DataFrame:
+    """``contract_values_base`` minus contracts with a settled latest agreement
+    (``nmcont NOT IN (settled)``, null-aware)."""
+    latest = latest if latest is not None else b02_latest_agreement(t, p)
+    return not_in(contract_values_base(t, p), "nmcont", b03_settled_contracts(latest), "nmcont")
+
+
+def settled_list_has_null(t: Tables, p: ReportParams) -> Column:
+    """True when the settled-contracts list holds a null contract, i.e. the
+    latest agreement without a contract number is promised, paid or open.
+
+    Only agreements with a null nmcont are read (one group), so this scalar
+    costs a filtered scan, not another window over all agreements.
+    """
+    nulls = _agreements_since(t, p).where(F.col("nmcont").isNull())
+    last = nulls.select(F.max_by("staco", "cod_aco").alias("staco"))
+    flag = last.select(F.coalesce(F.col("staco").isin(list(P.STATUS_SETTLED)), F.lit(False))).scalar()
+    return flag
+
+
 # ------------------------------------------------------------------- assets
 def b06_collateral_summary(t: Tables, p: ReportParams) -> DataFrame:
     """Per contract: one asset row and the count of distinct chassis.

@@ -120,8 +120,13 @@ def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
     """Shared assembly of R07 (recent), R08 (never contacted), R09 (broken).
 
     Registration-level frames are joined on cod_cad; contract-level frames
-    (values, assets) on (nmcont, cod_cli); agreement frames on nmcont only,
-    as in the reference.
+    (values, assets) on (nmcont, cod_cli); the latest agreement on nmcont only,
+    as in the reference. The latest agreement is joined once and read three
+    ways: settled contracts leave (the reference's ``NOT IN``), broken ones
+    define R09, and known statuses give the label columns. The final inner
+    join on nmcont already drops null contracts, so the only null effect of
+    ``NOT IN`` left is global: a settled agreement with a null contract
+    empties the report.
     """
     cad = t.cadastros.where(P.in_portfolios("cod_cli", p.portfolios) & P.active("stcli"))
     if kind == "recent":
@@ -140,14 +145,30 @@ def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
         F.col("infoad").alias("Portfolio"),
     ).join(phones, "cod_cad")
 
-    latest = B.b02_latest_agreement(t, p)
-    values = B.b05_contract_values(t, p, latest)
-    assets = B.b06_collateral_summary(t, p)
-    status = B.b04_agreement_status(latest).drop("staco")
-
-    out = regs.join(values, CONTRACT, "inner").join(assets, CONTRACT, "left").join(status, "nmcont", "left")
+    latest = B.b02_latest_agreement(t, p).select(
+        "nmcont",
+        F.col("staco").alias("a_staco"),
+        F.col("vlr_aco").alias("a_vlr"),
+        F.col("qtd_p_aco").alias("a_qtd"),
+        F.col("data_cad").alias("a_data_cad"),
+    )
+    out = (
+        regs.join(B.contract_values_base(t, p), CONTRACT, "inner")
+        .join(B.b06_collateral_summary(t, p), CONTRACT, "left")
+        .join(latest, "nmcont", "left")
+    )
+    settled = F.coalesce(F.col("a_staco").isin(list(P.STATUS_SETTLED)), F.lit(False))
+    out = out.where(~settled & ~B.settled_list_has_null(t, p))
     if kind == "broken":
-        out = out.join(B.b12_broken_contracts(latest), "nmcont", "left_semi")
+        out = out.where(F.col("a_staco").isin(list(P.STATUS_BROKEN)))
+    known = F.col("a_staco").isin(list(P.STATUS_KNOWN))
+    out = out.select(
+        "*",
+        F.when(known, F.col("a_vlr")).alias("UltimoValorAcordado"),
+        F.when(known, S.lump_or_instalments_strict("a_qtd")).alias("TipoAcordo"),
+        F.when(known, S.date_text("a_data_cad")).alias("DataCriacaoGecobi"),
+        F.when(known, S.agreement_label("a_staco")).alias("StatusUltimoAcordo"),
+    )
     slots = [f"Telefone{k}" for k in range(1, p.phone_slots + 1)]
     cols = [c for c in CONTACT_LIST_COLUMNS if not c.startswith("Telefone")]
     i = cols.index("Portfolio") + 1

@@ -359,3 +359,20 @@ def test_params_from_text():
     assert (p.start, p.end, p.min_total) == (D(2025, 8, 15), None, Decimal("1000.00"))
     with pytest.raises(ValueError):
         ReportParams.from_text([517], start="2025-08-20", end="2025-08-15")
+
+
+def test_settled_agreement_without_contract_empties_the_contact_lists(make_tables):
+    c1, i1 = contract("CT1")
+    base = dict(
+        cadastros=[cad(1)],
+        fones=[phone(1, "912345601")],
+        rec_comp=[c1],
+        receber=[i1],
+    )
+    t = make_tables(**base, acordos=[aco(1, "CT1", "Q"), aco(2, None, "Q")])
+    assert R.r08_never_contacted(t, P).count() == 1 and R.r09_broken_rejected(t, P).count() == 1
+    t = make_tables(**base, acordos=[aco(1, "CT1", "Q"), aco(2, None, "A")])
+    assert R.r08_never_contacted(t, P).count() == 0 and R.r09_broken_rejected(t, P).count() == 0
+    # an older settled agreement without contract does not count: the latest one decides
+    t = make_tables(**base, acordos=[aco(1, "CT1", "Q"), aco(2, None, "A"), aco(3, None, "E")])
+    assert R.r08_never_contacted(t, P).count() == 1
