@@ -208,7 +208,9 @@ def history(t: Tables, lower=None, upper=None) -> DataFrame:
 
 
 def _lookup(t: Tables, cond) -> DataFrame:
-    return broadcast_if_small(t.stcob.where(cond).select(F.col("st").alias("ocorr")).distinct())
+    """Occurrence codes matching ``cond``, for a semi join (existence only, so
+    repeated codes need no dedup)."""
+    return broadcast_if_small(t.stcob.where(cond).select(F.col("st").alias("ocorr")))
 
 
 def classified_recent_contacts(t: Tables, p: ReportParams) -> DataFrame:
