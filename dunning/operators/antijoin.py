@@ -2,8 +2,8 @@
 
 Spark plans an uncorrelated NOT IN as a null-aware anti join only when the
 subquery side can be broadcast; beyond that it falls back to a nested-loop
-join. Here the same result comes from a plain shuffle anti join plus one
-scalar subquery that says whether the list is empty or holds a null:
+join. Here the same result comes from a plain shuffle anti join plus two
+scalar subqueries that say whether the list is empty or holds a null:
 
 * empty list            -> every left row is kept (even a null key)
 * list holds a null     -> no row is kept (NOT IN is never true)
@@ -22,15 +22,19 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str | None =
     """Rows of ``left`` where ``left[key] NOT IN (SELECT right_key FROM right)``."""
     right_key = right_key or key
     keys = right.select(F.col(right_key).alias(_K))
-    # null -> list empty; 1 -> only non-null keys; 2 -> at least one null key
-    state = keys.select(F.max(F.when(F.col(_K).isNull(), F.lit(2)).otherwise(F.lit(1)))).scalar()
+    # Two existence scalars, each stops at its first row: the null test is an
+    # IsNull filter Parquet answers from row-group null counts.
+    has_null = _exists(keys.where(F.col(_K).isNull()))
+    non_empty = _exists(keys)
     # Distinct with map-side combine: a hot key shrinks before the shuffle.
     present = keys.where(F.col(_K).isNotNull()).distinct()
     kept = left.join(present, left[key] == present[_K], "left_anti")
-    # One reference to the scalar: list state (empty 0, clean 1, has-null 2)
-    # must be below the row's need (null key 1, non-null key 2).
-    need = F.when(F.col(key).isNotNull(), F.lit(2)).otherwise(F.lit(1))
-    return kept.where(F.coalesce(state, F.lit(0)) < need)
+    return kept.where(~has_null & (F.col(key).isNotNull() | ~non_empty))
+
+
+def _exists(df: DataFrame):
+    """Uncorrelated scalar subquery: does ``df`` have a row?"""
+    return df.limit(1).select((F.count(F.lit(1)) > 0).alias("e")).scalar()
 
 
 def anti_join(left: DataFrame, key: str, right: DataFrame, right_key: str | None = None) -> DataFrame:
