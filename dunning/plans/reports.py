@@ -106,7 +106,8 @@ def r06_no_history_30d(t: Tables, p: ReportParams) -> DataFrame:
     return kept.select(*identity(), "cod_cli", F.col("infoad").alias("portfolio"))
 
 
-# Output columns of the three contact-list reports, in order.
+# Output columns of the three contact-list reports, in order and
+# spelled as the reference names them (users read these headers).
 CONTACT_LIST_COLUMNS = (
     ["cod_cad", "nome", "cpf", "BindingID", "DataNascimento", "Portfolio"]
     + [f"Telefone{k}" for k in range(1, 8)]
