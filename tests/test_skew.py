@@ -1,0 +1,121 @@
+"""A key holding a third of all rows must be reduced before the shuffle.
+
+Each test builds tables where one key owns a third of the rows of the large
+table, runs a report and reads ``shuffleRecordsWritten`` of every exchange in
+the executed plan: the hot key may add at most a few rows per map task.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from dunning.params import FIXTURE_PARAMS
+from dunning.plans.reports import REPORTS
+from dunning.schema import SCHEMAS
+from dunning.sources.tables import Tables
+
+TASKS = 8
+COLD_KEYS = 5000
+
+
+def shuffle_records(df) -> list[int]:
+    """Run ``df`` and return the records written by each shuffle."""
+    df.collect()
+    out: list[int] = []
+
+    def walk(node):
+        if "QueryStage" in node.nodeName():
+            inner = node.plan()
+            metrics = inner.metrics()
+            if metrics.contains("shuffleRecordsWritten"):
+                out.append(int(metrics.apply("shuffleRecordsWritten").value()))
+            walk(inner)
+            return
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan().executedPlan())
+    return out
+
+
+@pytest.fixture(scope="module")
+def base(spark):
+    cad = spark.range(1, COLD_KEYS + 2).select(
+        F.col("id").alias("cod_cad"),
+        F.lit("N").alias("nomecli"),
+        F.col("id").cast("string").alias("cpfcnpj"),
+        F.lit(None).cast("string").alias("email"),
+        F.concat(F.lit("CT"), F.col("id").cast("string")).alias("nmcont"),
+        F.lit(517).alias("cod_cli"),
+        F.lit("ATI").alias("stcli"),
+        F.lit("A").alias("infoad"),
+        F.lit(None).cast("date").alias("nascto"),
+        F.lit(dt.date(2025, 9, 1)).alias("data_cad"),
+        F.lit(dt.date(2025, 9, 1)).alias("data_arq"),
+    )
+    tables = {n[: -len("_tb")]: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+    tables["cadastros"] = cad
+    tables["stcob"] = spark.createDataFrame([("click", "CPC")], SCHEMAS["stcob_tb"])
+    return tables
+
+
+def _rows(spark, n_hot: int, n_cold: int):
+    """ids with the first third on key 1, the rest spread over COLD_KEYS keys."""
+    ids = spark.range(0, n_hot + n_cold, numPartitions=TASKS)
+    key = F.when(F.col("id") < n_hot, F.lit(1)).otherwise(F.col("id") % COLD_KEYS + 2).cast("long")
+    return ids, key
+
+
+def test_hot_registration_phones(spark, base):
+    n_hot, n_cold = 60_000, 120_000
+    ids, key = _rows(spark, n_hot, n_cold)
+    fones = ids.select(
+        key.alias("cod_cad"),
+        F.lit("11").alias("dddfone"),
+        F.concat(F.lit("9"), F.lpad((F.col("id") * 7919 % 99999989).cast("string"), 8, "0")).alias("telefone"),
+        (F.col("id") % 9).cast("int").alias("status"),
+        F.lit("ok").alias("obs"),
+    )
+    t = Tables(**{**base, "fones": fones})
+    written = shuffle_records(REPORTS["r03_phones_top7"].build(t, FIXTURE_PARAMS))
+    assert written and max(written) <= n_cold + 7 * TASKS
+
+
+def test_hot_registration_history(spark, base):
+    n_hot, n_cold = 50_000, 100_000
+    ids, key = _rows(spark, n_hot, n_cold)
+    hist = ids.select(
+        F.col("id").alias("cod_hist"),
+        key.alias("cod_cli"),
+        (F.lit(dt.datetime(2025, 8, 16)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") % 3600)).alias("data_at"),
+        F.lit("click").alias("ocorr"),
+        F.lit("5").alias("cod_usu"),
+    )
+    t = Tables(**{**base, "hist": hist})
+    written = shuffle_records(REPORTS["r05_cpc_period"].build(t, FIXTURE_PARAMS))
+    # one partial max per key per task
+    assert written and max(written) <= (COLD_KEYS + 1) * TASKS
+
+
+def test_hot_contract_instalments(spark, base):
+    n_hot, n_cold = 50_000, 100_000
+    ids, key = _rows(spark, n_hot, n_cold)
+    receber = ids.select(
+        F.concat(F.lit("CT"), key.cast("string")).alias("nmcont"),
+        F.lit(517).alias("cod_cli"),
+        F.concat(F.col("id").cast("string"), F.lit("/1")).alias("fat_parc"),
+        F.lit(10).cast("decimal(18,2)").alias("vlrparc"),
+    )
+    t = Tables(**{**base, "receber": receber})
+    df = REPORTS["r11_largest_debts"].build(t, FIXTURE_PARAMS.with_(min_total=None))
+    written = shuffle_records(df)
+    (top,) = df.limit(1).collect()
+    assert (top.cod_cad, top.QtdContratos, int(top.ValorTotalDivida)) == (1, n_hot, 10 * n_hot)
+    # the distinct count shuffles (contract, value) pairs once, spread by value;
+    # the sum and the second distinct step shuffle one row per contract per task
+    assert written and sorted(written)[-1] <= n_hot + n_cold
+    assert sorted(written)[-2] <= (COLD_KEYS + 1) * TASKS
