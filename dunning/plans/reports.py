@@ -16,7 +16,7 @@ from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import not_in
 from dunning.operators.lists import distinct_list, distinct_pair_list
-from dunning.operators.ranking import top_n_per_key
+from dunning.operators.ranking import pivot_slots, top_n_per_key
 from dunning.params import ReportParams
 from dunning.plans import blocks as B
 from dunning.sources.tables import Tables
@@ -53,13 +53,8 @@ def r03_phones_top7(t: Tables, p: ReportParams) -> DataFrame:
     )
     order = B.phone_order() + [F.col("obs").asc_nulls_first()]
     ranked = top_n_per_key(f, "cod_cad", order, p.phone_slots, rank_col="num")
-    slots = []
-    for k in range(1, p.phone_slots + 1):
-        slots.append(F.max(F.when(F.col("num") == k, F.col("telefone_txt"))).alias(f"Telefone{k}"))
-        if k == 1:
-            slots.append(F.max(F.when(F.col("num") == 1, F.col("status"))).alias("StatusTelefone1"))
-            slots.append(F.max(F.when(F.col("num") == 1, F.col("obs"))).alias("ObsTelefone1"))
-    pivot = ranked.groupBy("cod_cad").agg(*slots)
+    extra = {"StatusTelefone1": (1, "status"), "ObsTelefone1": (1, "obs")}
+    pivot = pivot_slots(ranked, ["cod_cad"], "num", "telefone_txt", p.phone_slots, "Telefone", extra)
     regs = B.registrations(t, p).select(*identity(), "cod_cli", F.col("infoad").alias("portfolio"))
     return regs.join(pivot, "cod_cad")
 
