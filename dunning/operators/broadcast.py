@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,19 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+@functools.lru_cache(maxsize=64)
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reads at most
+    ``max_rows + 1`` rows, and is remembered for this DataFrame object."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, basis: DataFrame | None = None) -> DataFrame:
     """Return ``broadcast(df)`` when it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap even when
-    the table turns out to be large; then the planner (and AQE, with runtime
-    sizes) chooses the join strategy.
+    ``basis`` is a table ``df`` is derived from by filters and projections
+    only (so never larger); its size is checked once and reused by every
+    report. Past the bound the planner (and AQE, with runtime sizes) chooses
+    the join strategy.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if has_at_most(basis if basis is not None else df, max_rows) else df

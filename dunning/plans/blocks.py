@@ -210,7 +210,8 @@ def history(t: Tables, lower=None, upper=None) -> DataFrame:
 def _lookup(t: Tables, cond) -> DataFrame:
     """Occurrence codes matching ``cond``, for a semi join (existence only, so
     repeated codes need no dedup)."""
-    return broadcast_if_small(t.stcob.where(cond).select(F.col("st").alias("ocorr")))
+    codes = t.stcob.where(cond).select(F.col("st").alias("ocorr"))
+    return broadcast_if_small(codes, basis=t.stcob)
 
 
 def classified_recent_contacts(t: Tables, p: ReportParams) -> DataFrame:
