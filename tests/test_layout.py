@@ -34,3 +34,17 @@ def test_history_windows_prune_day_partitions(stored, key):
     text = REPORTS[key].build(stored, FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in text.splitlines() if "FileScan parquet" in line and "dt" in line]
     assert scans and all("PartitionFilters: [isnotnull(dt" in s and "(dt#" in s for s in scans)
+
+
+def test_a_busy_day_is_written_by_several_tasks(spark, make_tables):
+    import datetime as dt
+    import glob
+
+    day = dt.datetime(2025, 9, 10, 8, 0, 0)
+    rows = [(k, k % 50, day + dt.timedelta(seconds=k), "click", "5") for k in range(2000)]
+    t = make_tables(hist=rows)
+    root = tempfile.mkdtemp(prefix="dunning-layout-day-")
+    write_tables(t, root, files_per_day=4)
+    files = glob.glob(f"{root}/hist_tb/dt=2025-09-10/*.parquet")
+    assert len(files) >= 2
+    assert from_parquet(spark, root).hist.count() == 2000
