@@ -2,11 +2,11 @@
 
 ``hist_tb`` (contact events, the largest table) is partitioned by event day
 (``dt``), so the 30-day and period windows read only the matching folders.
-Each day is spread over ``files_per_day`` writer tasks by a hash of the event
-id, so a busy day (even one holding a third of all events) is written by many
-tasks, not one. ``max_records_per_file`` caps file size. The other tables keep
-their input partitioning unless ``files`` asks for a number of files. Writing
-is a Spark job on the executors.
+The write is rebalanced by day: AQE merges small days into few files and
+splits a busy day (even one holding a third of all events) into several
+tasks of the advisory partition size, so no single task writes a whole day.
+``max_records_per_file`` caps file size. The other tables keep their input
+partitioning unless ``files`` asks for a number of files.
 """
 
 from __future__ import annotations
@@ -22,19 +22,16 @@ def write_tables(
     t: Tables,
     root: str,
     files: int | None = None,
-    files_per_day: int = 8,
     max_records_per_file: int | None = None,
     mode: str = "overwrite",
 ) -> None:
     for name, df in t.by_name().items():
         out = f"{root}/{name}"
-        writer_opts = {"maxRecordsPerFile": str(max_records_per_file)} if max_records_per_file else {}
+        opts = {"maxRecordsPerFile": str(max_records_per_file)} if max_records_per_file else {}
         if name == "hist_tb":
-            spread = F.pmod(F.xxhash64("cod_hist"), F.lit(files_per_day))
-            df = df.withColumn(HIST_PARTITION, F.to_date("data_at"))
-            df = df.repartition(files, HIST_PARTITION, spread) if files else df.repartition(HIST_PARTITION, spread)
-            df.write.mode(mode).options(**writer_opts).partitionBy(HIST_PARTITION).parquet(out)
+            df = df.withColumn(HIST_PARTITION, F.to_date("data_at")).hint("rebalance", HIST_PARTITION)
+            df.write.mode(mode).options(**opts).partitionBy(HIST_PARTITION).parquet(out)
             continue
         if files:
             df = df.repartition(files)
-        df.write.mode(mode).options(**writer_opts).parquet(out)
+        df.write.mode(mode).options(**opts).parquet(out)

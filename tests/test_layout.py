@@ -44,7 +44,13 @@ def test_a_busy_day_is_written_by_several_tasks(spark, make_tables):
     rows = [(k, k % 50, day + dt.timedelta(seconds=k), "click", "5") for k in range(2000)]
     t = make_tables(hist=rows)
     root = tempfile.mkdtemp(prefix="dunning-layout-day-")
-    write_tables(t, root, files_per_day=4)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")  # a "busy" day is now many times the advisory size
+    try:
+        write_tables(t, root)
+    finally:
+        spark.conf.set(key, before)
     files = glob.glob(f"{root}/hist_tb/dt=2025-09-10/*.parquet")
     assert len(files) >= 2
     assert from_parquet(spark, root).hist.count() == 2000
