@@ -50,6 +50,18 @@ def from_parquet(spark: SparkSession, root: str) -> Tables:
     return _bundle(dfs)
 
 
+def from_catalog(spark: SparkSession, database: str | None = None) -> Tables:
+    """Read the tables registered in the session catalog (metastore tables or
+    views), e.g. ``database.cadastros_tb``; partition pruning and statistics
+    come from the catalog."""
+    dfs = {}
+    for name, schema in SCHEMAS.items():
+        df = spark.table(f"{database}.{name}" if database else name)
+        extra = [c for c in df.columns if c not in schema.fieldNames()]
+        dfs[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
+    return _bundle(dfs)
+
+
 def from_jdbc(
     spark: SparkSession,
     url: str,

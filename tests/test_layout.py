@@ -54,3 +54,16 @@ def test_a_busy_day_is_written_by_several_tasks(spark, make_tables):
     files = glob.glob(f"{root}/hist_tb/dt=2025-09-10/*.parquet")
     assert len(files) >= 2
     assert from_parquet(spark, root).hist.count() == 2000
+
+
+def test_catalog_source_reads_registered_tables(spark):
+    from dunning.sources.tables import from_catalog
+
+    derived = from_fixture(spark, SMOKE)
+    derived.register()
+    t = from_catalog(spark)
+    for name, df in t.by_name().items():
+        assert df.schema == derived.by_name()[name].schema
+    got = REPORTS["r05_cpc_period"].build(t, FIXTURE_PARAMS)
+    want = REPORTS["r05_cpc_period"].build(derived, FIXTURE_PARAMS)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
