@@ -19,14 +19,15 @@ from dunning.params import ReportParams
 from dunning.plans.reports import REPORTS
 from dunning.session import configure
 from dunning.sinks.files import write_report
-from dunning.sources.tables import from_fixture, from_parquet
+from dunning.sources.tables import from_catalog, from_fixture, from_parquet
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap = argparse.ArgumentParser(prog="dunning", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--list", action="store_true", help="list the reports and exit")
     ap.add_argument("--tables", help="folder with the eight tables (or the driver folder with --source fixture)")
-    ap.add_argument("--source", choices=["parquet", "fixture"], default="parquet")
+    ap.add_argument("--source", choices=["parquet", "catalog", "fixture"], default="parquet",
+                    help="parquet: folder per table; catalog: --tables names the database; fixture: driver folder")
     ap.add_argument("--report", choices=sorted(REPORTS))
     ap.add_argument("--portfolios", help="comma-separated portfolio codes, e.g. 517,518")
     ap.add_argument("--out", help="output folder; the report's default name is appended")
@@ -72,7 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"error: {exc}", file=sys.stderr)
         return 2
     spark = configure(spark or SparkSession.builder.appName(f"dunning-{a.report}").getOrCreate())
-    tables = from_fixture(spark, a.tables) if a.source == "fixture" else from_parquet(spark, a.tables)
+    readers = {"parquet": from_parquet, "catalog": from_catalog, "fixture": from_fixture}
+    tables = readers[a.source](spark, a.tables)
     path = f"{a.out.rstrip('/')}/{REPORTS[a.report].default_name}"
     rows = write_report(REPORTS[a.report].build(tables, params), path, fmt=a.format)
     print(f"{a.report}: {rows} rows -> {path}")
