@@ -58,7 +58,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     work = os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="dunning-bench-")
-    spark = local_session(cores=cpus, shuffle_partitions=2 * cpus, app="dunning-bench")
+    spark = local_session(cores=cpus, shuffle_partitions=cpus, app="dunning-bench")
 
     t0 = time.perf_counter()
     write_tables(from_fixture(spark, sf_dir), f"{work}/tables", files=cpus)
