@@ -14,24 +14,23 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phone statuses that count as reachable without looking at the note.
-GOOD_PHONE_STATUS = (2, 4, 5, 6, 1)
-# Note fragments that mark a phone as unknown or wrong.
-BAD_NOTE_FRAGMENTS = ("%Descon%", "%incorret%")
-# Agreement status groups.
-STATUS_OPEN = ("P", "A")
-STATUS_SETTLED = ("P", "G", "A")
-STATUS_KNOWN = ("P", "G", "A", "Q", "E")
-STATUS_BROKEN = ("Q", "E")
-# Registration status of inactive debtors; system user id.
-INACTIVE = "INA"
-SYSTEM_USER = "999"
-# Minimum phone text length (bytes); rolling windows.
-MIN_PHONE_BYTES = 8
-RECENT_DAYS = 30
-INTAKE_MONTHS = 2
-REPEATED_DIGITS = r"([0-9])\1{5}"
-
+from dunning.fixed import (
+    BAD_NOTE_FRAGMENTS,
+    GOOD_PHONE_STATUS,
+    INACTIVE,
+    INTAKE_MONTHS,
+    MASK,
+    MIN_PHONE_BYTES,
+    PERIOD_END,
+    PERIOD_START,
+    RECENT_DAYS,
+    REPEATED_DIGITS,
+    STATUS_BROKEN,
+    STATUS_KNOWN,
+    STATUS_OPEN,
+    STATUS_SETTLED,
+    SYSTEM_USER,
+)
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -70,7 +69,7 @@ def min_phone_length(phone, n: int = MIN_PHONE_BYTES) -> Column:
 
 
 def not_masked(phone) -> Column:
-    return ~_c(phone).ilike("%X%")
+    return ~_c(phone).ilike(MASK)
 
 
 def dialable(phone) -> Column:
@@ -132,7 +131,7 @@ def period_start(start: dt.date | None) -> Column | None:
     """Optional inclusive period start at 00:00:00."""
     if start is None:
         return None
-    return F.lit(dt.datetime.combine(start, dt.time(0, 0, 0))).cast("timestamp_ntz")
+    return F.lit(dt.datetime.combine(start, PERIOD_START)).cast("timestamp_ntz")
 
 
 def period_end(end: dt.date | None) -> Column | None:
@@ -140,7 +139,7 @@ def period_end(end: dt.date | None) -> Column | None:
     after 23:59:59 is outside, as in the reference)."""
     if end is None:
         return None
-    return F.lit(dt.datetime.combine(end, dt.time(23, 59, 59))).cast("timestamp_ntz")
+    return F.lit(dt.datetime.combine(end, PERIOD_END)).cast("timestamp_ntz")
 
 
 def day_partition_floor(df, ts_col: Column) -> Column | None:

@@ -13,24 +13,14 @@ from decimal import Decimal, InvalidOperation
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phone status preference order (first is best). A status that
-# is not listed, or null, gets position 0 and therefore sorts before all of them.
-STATUS_PREFERENCE = (2, 4, 5, 6, 1, 0)
-
-# Agreement status code -> label, and the fallback label.
-AGREEMENT_LABELS = (
-    ("A", "Em Acordo"),
-    ("E", "Exceção Rejeitada"),
-    ("G", "Pago"),
-    ("Q", "Quebrado"),
-    ("P", "Em Promessa"),
+from dunning.fixed import (
+    AGREEMENT_LABEL_OTHER,
+    AGREEMENT_LABELS,
+    DATE_TEXT,
+    INSTALMENTS,
+    LUMP_SUM,
+    STATUS_PREFERENCE,
 )
-AGREEMENT_LABEL_OTHER = "Sem Dados"
-
-# Output text formats.
-DATE_TEXT = "dd-MM-yyyy"
-LIST_SEPARATOR = " || "
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -50,13 +40,13 @@ def date_text(d) -> Column:
 def lump_or_instalments(qtd) -> Column:
     """Two-way label: exactly one instalment is AVISTA, anything else
     (including null and 0) is PARCELADO."""
-    return F.when(_c(qtd) == 1, F.lit("AVISTA")).otherwise(F.lit("PARCELADO"))
+    return F.when(_c(qtd) == 1, F.lit(LUMP_SUM)).otherwise(F.lit(INSTALMENTS))
 
 
 def lump_or_instalments_strict(qtd) -> Column:
     """Three-way label: 1 -> AVISTA, more than 1 -> PARCELADO, else null."""
     q = _c(qtd)
-    return F.when(q == 1, F.lit("AVISTA")).when(q > 1, F.lit("PARCELADO"))
+    return F.when(q == 1, F.lit(LUMP_SUM)).when(q > 1, F.lit(INSTALMENTS))
 
 
 def agreement_label(staco) -> Column:

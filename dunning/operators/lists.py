@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dunning.functions.scalars import LIST_SEPARATOR
+from dunning.fixed import LIST_SEPARATOR, PAIR_JOINER
 
 
 def _c(c) -> Column:
@@ -23,7 +23,7 @@ def distinct_list(col, sep: str = LIST_SEPARATOR) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, sep))
 
 
-def distinct_pair_list(a, b, joiner: str = " - ", sep: str = LIST_SEPARATOR) -> Column:
+def distinct_pair_list(a, b, joiner: str = PAIR_JOINER, sep: str = LIST_SEPARATOR) -> Column:
     """``GROUP_CONCAT(DISTINCT CONCAT(a, joiner, b) ORDER BY a, b)``.
 
     The order key (a, b) differs from the distinct value (the joined text):

@@ -6,6 +6,7 @@ import datetime as dt
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
+from dunning.fixed import AGREEMENTS_SINCE, PHONE_SLOTS, TOP
 from dunning.functions.scalars import parse_money_text, parse_ymd
 
 
@@ -27,12 +28,12 @@ class ReportParams:
 
     portfolios: tuple[int, ...]
     as_of: dt.datetime | None = None
-    agreements_since: dt.date = dt.date(2025, 7, 1)
-    phone_slots: int = 7
+    agreements_since: dt.date = AGREEMENTS_SINCE
+    phone_slots: int = PHONE_SLOTS
     start: dt.date | None = None
     end: dt.date | None = None
     min_total: Decimal | None = None
-    top: int = 50
+    top: int = TOP
     infoad: tuple[str, ...] | None = None
     min_contract_total: Decimal | None = None
     hist_ref_col: str = "cod_cli"

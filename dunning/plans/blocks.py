@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dunning.fixed import DOWN_PAYMENT, PAIR_JOINER, RIGHT_PARTY, STATUS_BROKEN, STATUS_KNOWN, STATUS_SETTLED, YEAR_JOINER
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import anti_join, not_in
@@ -48,12 +49,12 @@ def b02_latest_agreement(t: Tables, p: ReportParams) -> DataFrame:
 
 def b03_settled_contracts(latest: DataFrame) -> DataFrame:
     """Contracts whose latest agreement is promised, paid or open."""
-    return latest.where(F.col("staco").isin(list(P.STATUS_SETTLED))).select("nmcont")
+    return latest.where(F.col("staco").isin(list(STATUS_SETTLED))).select("nmcont")
 
 
 def b04_agreement_status(latest: DataFrame) -> DataFrame:
     """Labelled latest agreement per nmcont (known statuses only)."""
-    return latest.where(F.col("staco").isin(list(P.STATUS_KNOWN))).select(
+    return latest.where(F.col("staco").isin(list(STATUS_KNOWN))).select(
         "nmcont",
         F.col("vlr_aco").alias("UltimoValorAcordado"),
         S.lump_or_instalments_strict("qtd_p_aco").alias("TipoAcordo"),
@@ -65,7 +66,7 @@ def b04_agreement_status(latest: DataFrame) -> DataFrame:
 
 def b12_broken_contracts(latest: DataFrame) -> DataFrame:
     """Contracts whose latest agreement is broken or rejected."""
-    return latest.where(F.col("staco").isin(list(P.STATUS_BROKEN))).select("nmcont")
+    return latest.where(F.col("staco").isin(list(STATUS_BROKEN))).select("nmcont")
 
 
 # ---------------------------------------------------------------- contracts
@@ -88,7 +89,7 @@ def contract_instalments(t: Tables, p: ReportParams) -> DataFrame:
     A null ``fat_parc`` fails the NOT LIKE and is dropped, as in the reference.
     """
     return (
-        t.receber.where(P.in_portfolios("cod_cli", p.portfolios) & P.not_contains_ci("fat_parc", "ENTRADA"))
+        t.receber.where(P.in_portfolios("cod_cli", p.portfolios) & P.not_contains_ci("fat_parc", DOWN_PAYMENT))
         .groupBy(*CONTRACT)
         .agg(distinct_list("fat_parc").alias("Contratos"), F.sum("vlrparc").alias("vlr_total"))
     )
@@ -125,7 +126,7 @@ def settled_list_has_null(t: Tables, p: ReportParams) -> Column:
     """
     nulls = _agreements_since(t, p).where(F.col("nmcont").isNull())
     last = nulls.select(F.max_by("staco", "cod_aco").alias("staco"))
-    flag = last.select(F.coalesce(F.col("staco").isin(list(P.STATUS_SETTLED)), F.lit(False))).scalar()
+    flag = last.select(F.coalesce(F.col("staco").isin(list(STATUS_SETTLED)), F.lit(False))).scalar()
     return flag
 
 
@@ -145,10 +146,10 @@ def b06_collateral_summary(t: Tables, p: ReportParams) -> DataFrame:
     )
     return agg.select(
         *CONTRACT,
-        S.concat_text(F.col("r.marca"), F.lit(" - "), F.col("r.modelo")).alias("MarcaModelo"),
+        S.concat_text(F.col("r.marca"), F.lit(PAIR_JOINER), F.col("r.modelo")).alias("MarcaModelo"),
         F.col("r.placa").alias("placa"),
         F.col("r.cor").alias("cor"),
-        S.concat_text(F.col("r.anofab"), F.lit("/"), F.col("r.anomodelo")).alias("AnoFabModelo"),
+        S.concat_text(F.col("r.anofab"), F.lit(YEAR_JOINER), F.col("r.anomodelo")).alias("AnoFabModelo"),
         "QtdGarantiasUnicas",
     )
 
@@ -245,7 +246,7 @@ def last_event_per_registration(t: Tables, p: ReportParams, cpc_only: bool, boun
     """
     ref = p.hist_ref_col
     h = history(t, P.period_start(p.start), P.period_end(p.end)) if bounded else t.hist
-    codes = _lookup(t, P.contains_ci("bsc", "CPC") if cpc_only else F.lit(True))
+    codes = _lookup(t, P.contains_ci("bsc", RIGHT_PARTY) if cpc_only else F.lit(True))
     h = h.join(codes, "ocorr", "left_semi")
     return h.groupBy(F.col(ref).alias("cod_cad")).agg(F.max("data_at").alias("dt_ultimo_cpc"))
 

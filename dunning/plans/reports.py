@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dunning.fixed import STATUS_BROKEN, STATUS_KNOWN, STATUS_OPEN, STATUS_SETTLED
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import not_in
@@ -64,7 +65,7 @@ def r04_agreements_open(t: Tables, p: ReportParams) -> DataFrame:
     promised or open; newest first."""
     latest = B.b01_latest_agreement_by_portfolio(t, p)
     return (
-        latest.where(F.col("staco").isin(list(P.STATUS_OPEN)))
+        latest.where(F.col("staco").isin(list(STATUS_OPEN)))
         .select(
             "nmcont",
             "cod_cli",
@@ -153,11 +154,11 @@ def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
         .join(B.b06_collateral_summary(t, p), CONTRACT, "left")
         .join(latest, "nmcont", "left")
     )
-    settled = F.coalesce(F.col("a_staco").isin(list(P.STATUS_SETTLED)), F.lit(False))
+    settled = F.coalesce(F.col("a_staco").isin(list(STATUS_SETTLED)), F.lit(False))
     out = out.where(~settled & ~B.settled_list_has_null(t, p))
     if kind == "broken":
-        out = out.where(F.col("a_staco").isin(list(P.STATUS_BROKEN)))
-    known = F.col("a_staco").isin(list(P.STATUS_KNOWN))
+        out = out.where(F.col("a_staco").isin(list(STATUS_BROKEN)))
+    known = F.col("a_staco").isin(list(STATUS_KNOWN))
     out = out.select(
         "*",
         F.when(known, F.col("a_vlr")).alias("UltimoValorAcordado"),

@@ -12,11 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Width rule of a column (characters) and money keywords.
-MIN_WIDTH = 10
-MAX_WIDTH = 60
-WIDTH_PAD = 2
-MONEY_KEYWORDS = ("valor", "vlr", "divida", "acordo", "parc", "commission", "collected", "goal")
+from dunning.fixed import MAX_WIDTH, MIN_WIDTH, MONEY_DECIMALS, MONEY_KEYWORDS, WIDTH_PAD, WIDTH_SAMPLE_ROWS  # noqa: F401
 
 
 def display_widths(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
@@ -25,8 +21,8 @@ def display_widths(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
 
     One aggregation pass computes every column's longest value; the result
     has one row per column (position, name, width). ``sample_rows`` limits
-    the scan to the first rows, as the spreadsheet writer did; by default the
-    whole result is measured.
+    the scan to the first rows (the spreadsheet writer used
+    ``WIDTH_SAMPLE_ROWS``); by default the whole result is measured.
     """
     src = df.limit(sample_rows) if sample_rows is not None else df
     aggs = [F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"l{i}") for i, c in enumerate(df.columns)]
@@ -49,7 +45,7 @@ def money_formatted(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        cols.append(F.format_number(c, 2).alias(f.name) if is_money_column(f.name, f.dataType) else c)
+        cols.append(F.format_number(c, MONEY_DECIMALS).alias(f.name) if is_money_column(f.name, f.dataType) else c)
     return df.select(*cols)
 
 
