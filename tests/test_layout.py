@@ -67,3 +67,14 @@ def test_catalog_source_reads_registered_tables(spark):
     got = REPORTS["r05_cpc_period"].build(t, FIXTURE_PARAMS)
     want = REPORTS["r05_cpc_period"].build(derived, FIXTURE_PARAMS)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_filters_reach_the_parquet_reader(stored):
+    text = REPORTS["r06_no_history_30d"].build(stored, FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line]
+    cad = [s for s in scans if "cadastros_tb" in s]
+    hist = [s for s in scans if "hist_tb" in s and "cod_cli" in s.split("]")[0]]
+    assert cad and all("In(cod_cli, [517,518])" in s for s in cad)
+    assert hist and all("GreaterThanOrEqual(data_at," in s for s in hist)
+    # only the columns the report needs are read
+    assert all("email" not in s.split("ReadSchema:")[1] for s in cad)
