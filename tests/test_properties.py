@@ -72,3 +72,11 @@ def test_single_portfolio_reports_union_to_the_pair(tables):
     a = run(tables, "r01_email", portfolios=(517,))
     b = run(tables, "r01_email", portfolios=(518,))
     assert both.exceptAll(a.unionAll(b)).count() == 0 and a.unionAll(b).exceptAll(both).count() == 0
+
+
+def test_contact_lists_hold_no_settled_contract(tables):
+    settled = B.b03_settled_contracts(B.b02_latest_agreement(tables, FIXTURE_PARAMS))
+    regs = tables.cadastros.select("cod_cad", "nmcont")
+    for key in ("r07_recent", "r08_never_contacted", "r09_broken_rejected"):
+        df = run(tables, key).join(regs, "cod_cad")
+        assert df.count() > 0 and df.join(settled, "nmcont", "left_semi").count() == 0, key
