@@ -376,3 +376,13 @@ def test_settled_agreement_without_contract_empties_the_contact_lists(make_table
     # an older settled agreement without contract does not count: the latest one decides
     t = make_tables(**base, acordos=[aco(1, "CT1", "Q"), aco(2, None, "A"), aco(3, None, "E")])
     assert R.r08_never_contacted(t, P).count() == 1
+
+
+def test_history_reference_column_is_a_parameter(make_tables):
+    t = make_tables(
+        cadastros=[cad(1), cad(2)],
+        hist=[(2, 1, TS(2025, 8, 16), "click", "5")],  # cod_hist 2, cod_cli 1
+        stcob=[("click", "CPC")],
+    )
+    assert [r.cod_cad for r in R.r05_cpc_period(t, P).collect()] == [1]
+    assert [r.cod_cad for r in R.r05_cpc_period(t, P.with_(hist_ref_col="cod_hist")).collect()] == [2]
