@@ -128,3 +128,20 @@ def test_reports_match_oracle_on_random_tables(spark, make_tables, seed):
         s_rows = sorted(tuple(_norm(v) for v in x) for x in sdf.collect())
         o_rows = sorted(tuple(_norm(x[i]) for i in idx) for x in rel.fetchall())
         assert s_rows == o_rows, f"seed {seed} {key}: spark {len(s_rows)} rows, oracle {len(o_rows)} rows"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_and_variants_match_oracle_on_random_tables(spark, make_tables, seed):
+    from dunning.plans.catalog import EXTRA
+
+    rows = make_rows(100 + seed)
+    t = make_tables(**rows)
+    con = _duck(rows)
+    for key, fn in EXTRA.items():
+        sdf = fn(t, FIXTURE_PARAMS)
+        rel = con.sql(_oracle_body(OQ.EXTRA[key]))
+        assert sorted(sdf.columns) == sorted(rel.columns), key
+        idx = [rel.columns.index(c) for c in sdf.columns]
+        s_rows = sorted(tuple(_norm(v) for v in x) for x in sdf.collect())
+        o_rows = sorted(tuple(_norm(x[i]) for i in idx) for x in rel.fetchall())
+        assert s_rows == o_rows, f"seed {seed} {key}: spark {len(s_rows)} rows, oracle {len(o_rows)} rows"
