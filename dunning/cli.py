@@ -38,6 +38,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap.add_argument("--top", type=int, default=50)
     ap.add_argument("--as-of", help="report clock 'YYYY-MM-DD HH:MM:SS' (default: now)")
     ap.add_argument("--agreements-since", default="2025-07-01")
+    ap.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of running")
     return ap.parse_args(argv)
 
 
@@ -61,8 +62,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for key, r in REPORTS.items():
             print(f"{key:24s} {r.label}")
         return 0
-    if not (a.tables and a.report and a.out):
-        print("--tables, --report and --out are required", file=sys.stderr)
+    if not (a.tables and a.report and (a.out or a.explain)):
+        print("--tables, --report and --out (or --explain) are required", file=sys.stderr)
         return 2
     if a.report == "r11_largest_debts" and not (a.min_total or "").strip():
         print("error: the largest-debts report needs --min-total", file=sys.stderr)
@@ -75,7 +76,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = configure(spark or SparkSession.builder.appName(f"dunning-{a.report}").getOrCreate())
     readers = {"parquet": from_parquet, "catalog": from_catalog, "fixture": from_fixture}
     tables = readers[a.source](spark, a.tables)
+    df = REPORTS[a.report].build(tables, params)
+    if a.explain:
+        df.explain("formatted")
+        return 0
     path = f"{a.out.rstrip('/')}/{REPORTS[a.report].default_name}"
-    rows = write_report(REPORTS[a.report].build(tables, params), path, fmt=a.format)
+    rows = write_report(df, path, fmt=a.format)
     print(f"{a.report}: {rows} rows -> {path}")
     return 0

@@ -30,3 +30,10 @@ def test_cli_rejects_bad_input(spark, capsys):
 def test_cli_lists_reports(capsys):
     assert main(["--list"]) == 0
     assert len(capsys.readouterr().out.strip().splitlines()) == 11
+
+
+def test_cli_explains_a_plan(spark, capsys):
+    argv = ["--tables", SMOKE, "--source", "fixture", "--report", "r03_phones_top7", "--portfolios", "517",
+            "--explain"]
+    assert main(argv, spark=spark) == 0
+    assert "WindowGroupLimit" in capsys.readouterr().out
