@@ -67,10 +67,12 @@ def test_broken_report_is_within_broken_contracts(tables):
     assert df.where(F.col("StatusUltimoAcordo").isNull()).count() == 0
 
 
-def test_single_portfolio_reports_union_to_the_pair(tables):
-    both = run(tables, "r01_email")
-    a = run(tables, "r01_email", portfolios=(517,))
-    b = run(tables, "r01_email", portfolios=(518,))
+@pytest.mark.parametrize("key", ["r01_email", "r03_phones_top7", "r05_cpc_period", "r06_no_history_30d", "r10_collateral"])
+def test_single_portfolio_reports_union_to_the_pair(tables, key):
+    both = run(tables, key)
+    a = run(tables, key, portfolios=(517,))
+    b = run(tables, key, portfolios=(518,))
+    assert both.count() > 0
     assert both.exceptAll(a.unionAll(b)).count() == 0 and a.unionAll(b).exceptAll(both).count() == 0
 
 
