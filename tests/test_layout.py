@@ -78,3 +78,23 @@ def test_filters_reach_the_parquet_reader(stored):
     assert hist and all("GreaterThanOrEqual(data_at," in s for s in hist)
     # only the columns the report needs are read
     assert all("email" not in s.split("ReadSchema:")[1] for s in cad)
+
+
+def test_runtime_bloom_filter_prunes_phones_before_ranking(spark, stored):
+    """At scale (large phone scans) Spark builds a bloom filter from the
+    selected registrations and applies it to the phone scan, through the
+    ranking window and the pivot, before any shuffle."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = REPORTS["r07_recent"].build(stored, FIXTURE_PARAMS)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    phone_filters = [line for line in plan.splitlines() if "RLIKE(concat(dddfone" in line]
+    assert phone_filters and all("might_contain" in line for line in phone_filters)
