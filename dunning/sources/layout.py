@@ -1,12 +1,16 @@
 """Store the eight tables in the layout the reports read fastest.
 
-``hist_tb`` (contact events, the largest table) is partitioned by event day
-(``dt``), so the 30-day and period windows read only the matching folders.
-The write is rebalanced by day: AQE merges small days into few files and
-splits a busy day (even one holding a third of all events) into several
-tasks of the advisory partition size, so no single task writes a whole day.
-``max_records_per_file`` caps file size. The other tables keep their input
-partitioning unless ``files`` asks for a number of files.
+* ``hist_tb`` (contact events, the largest table) is partitioned by event day
+  (``dt``), so the 30-day and period windows read only the matching folders.
+* Tables whose ``cod_cli`` is the portfolio code (registrations, agreements,
+  instalments, complements, assets) are partitioned by it, so the portfolio
+  filter every report applies skips the other portfolios' folders.
+
+Partitioned writes are rebalanced on the partition column: AQE merges small
+groups into few files and splits a large one (a busy day, a portfolio holding
+a third of all rows) into several tasks of the advisory partition size, so no
+single task writes a whole partition. ``max_records_per_file`` caps file
+size; ``files`` spreads the unpartitioned tables over that many files.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from dunning.sources.tables import Tables
 
 HIST_PARTITION = "dt"
+PORTFOLIO_PARTITIONED = ("cadastros_tb", "acordos_tb", "receber_tb", "rec_comp_tb", "bens_tb")
 
 
 def write_tables(
@@ -29,8 +34,14 @@ def write_tables(
         out = f"{root}/{name}"
         opts = {"maxRecordsPerFile": str(max_records_per_file)} if max_records_per_file else {}
         if name == "hist_tb":
-            df = df.withColumn(HIST_PARTITION, F.to_date("data_at")).hint("rebalance", HIST_PARTITION)
-            df.write.mode(mode).options(**opts).partitionBy(HIST_PARTITION).parquet(out)
+            df = df.withColumn(HIST_PARTITION, F.to_date("data_at"))
+            part = HIST_PARTITION
+        elif name in PORTFOLIO_PARTITIONED:
+            part = "cod_cli"
+        else:
+            part = None
+        if part is not None:
+            df.hint("rebalance", part).write.mode(mode).options(**opts).partitionBy(part).parquet(out)
             continue
         if files:
             df = df.repartition(files)

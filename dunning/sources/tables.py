@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,13 @@ def from_parquet(spark: SparkSession, root: str) -> Tables:
     """
     dfs = {}
     for name, schema in SCHEMAS.items():
-        df = spark.read.parquet(f"{root}/{name}")
+        try:
+            df = spark.read.parquet(f"{root}/{name}")
+        except AnalysisException as exc:
+            # a partitioned write of an empty table leaves no data file
+            if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+                raise
+            df = spark.createDataFrame([], schema)
         extra = [c for c in df.columns if c not in schema.fieldNames()]  # partition columns
         dfs[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
     return _bundle(dfs)
