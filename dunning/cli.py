@@ -1,8 +1,10 @@
 """Command line: pick portfolios and a report, write the result.
 
-    spark-submit -m dunning --tables /data/receivables --report r05_cpc_period \\
+    python -m dunning --tables /data/receivables --report r05_cpc_period \\
         --portfolios 517,518 --start 2025-08-15 --end 2025-08-20 --out /data/out
 
+(on a cluster: ``spark-submit --py-files dunning.zip dunning/__main__.py ...``)
+
 ``--source fixture`` derives the tables from the driver's TPC-H-like folder
 instead of reading stored tables. Prints the row count and the output folder.
 """
