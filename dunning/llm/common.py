@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to a kernel at once; bounds a Python worker's memory, not the work.
-SLICE_ROWS = 512
+#: Rows and bytes of text handed to a kernel at once (a longer text goes alone); bounds a
+#: Python worker's memory, not the work.
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,17 @@ def narrow(df: DataFrame, **want: str) -> DataFrame:
     return positional(df).select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of rows and bytes of text in column ``at``."""
+    upto = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(upto, upto[start] + SLICE_BYTES, "right")) - 1
+        stop = min(max(stop, start + 1), start + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def add_columns(df: DataFrame, column: str, fields: list[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """Append columns computed from one column, batch by batch in Arrow.
 
@@ -54,8 +68,7 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], factory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = factory()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch, at):
                 yield pa.RecordBatch.from_arrays([*part.columns, *kernel(part.column(at))], names=names)
 
     out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *new]))

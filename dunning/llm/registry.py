@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunning.llm import line_crf, mixing, piece_bpe, secrets, simhash
+from dunning.llm import forest, html_layout, line_crf, mixing, piece_bpe, secrets, simhash, sketch, string_kernel, word_bpe
 from dunning.llm.common import narrow, read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrow(read_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
 
 
+def op1_ann_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(read_table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -49,6 +53,12 @@ def op4_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "lossless")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = word_bpe.with_tokens(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > word_bpe.LIMIT).alias("over_limit"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(read_table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
     mix = mixing.plan_mix(docs, F.col("doc_id"), F.array("source"), mixing.word_count(F.col("text")))
@@ -91,18 +101,49 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = string_kernel.train(documents, learn=remainder(F.col("doc_id"), 3) != 1)
+    found = string_kernel.with_language(_documents(spark, sf_dir), model)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sketch.edits(read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        sketch.as_text(F.col("kept")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_kept")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
+        sketch.likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+    )
+
+
+def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = narrow(read_table(spark, sf_dir, "pages"), page_id="page_id", html="html")
+    return html_layout.with_visible_text(pages).select("page_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_ann_prefix_forest,
         op2_simhash_near_dedup,
         op3_quality_classifier,
         op4_sentencepiece_dropout,
+        op5_token_counts,
         op6_source_mixing,
+        op7_language_id,
         op8_secret_scan,
+        op9_scaled_sketch,
+        op10_html_layout,
     )
 }
 ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL}
