@@ -34,6 +34,19 @@ LIMIT = 2048
 REMEMBERED = 600_000
 NEVER = np.iinfo(np.int64).max
 
+# Code points that the split pattern's engine here takes for letters or digits
+# and the tokenizer library, of an earlier Unicode version, does not.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+
 
 def _byte_symbols() -> list[str]:
     """The character that stands for each byte: printable ones for themselves, the rest from 256 on."""
@@ -52,8 +65,13 @@ class WordBpe:
         splits = spec["pre_tokenizer"]["pretokenizers"]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in splits] != ["Split", "ByteLevel"] or not splits[0]["invert"] or splits[1]["use_regex"] or splits[1]["add_prefix_space"]:
             raise ValueError("not a tokenizer of this kind")
-        # white space as the file's pattern engine has it
-        self.split = regex.compile(splits[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
+        # white space as the file's pattern engine has it, and a slower pattern for texts with newer letters
+        pattern, newer = splits[0]["pattern"]["Regex"], "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
+        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.newer = regex.compile(f"[{newer}]")
+        letters, digits = rf"[\p{{L}}--[{newer}]]", rf"[\p{{N}}--[{newer}]]"
+        others = rf"[^\p{{White_Space}}{letters}{digits}]"
+        self.exact = regex.compile("(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", others).replace(r"[\p{L}]", letters).replace(r"[\p{N}]", digits))
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
         self.marks = [t["content"][:2] for t in spec["added_tokens"]]
@@ -110,6 +128,8 @@ class WordBpe:
         if not text.isascii():
             # lower case letter by letter: no final form of sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.newer.search(text):
+                return self.exact.findall(text.lower())
         return self.split.findall(text.lower())
 
 
