@@ -58,14 +58,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     doc = np.repeat(np.arange(len(texts)), sizes)
     char = _letters()[codes]
+    # a separator (1) at both ends of a text, and one between words
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    ends = np.r_[first[1:], len(doc)] if len(doc) else first
+    char, doc = (np.insert(a, np.r_[ends, first], b) for a, b in ((char, np.uint64(0)), (doc, np.r_[doc[first], doc[first]])))
     gap = char == 0
     keep = np.r_[True, ~(gap[1:] & gap[:-1] & (doc[1:] == doc[:-1]))] if len(char) else np.zeros(0, bool)
-    # one separator (1) between words and at both ends of a text
     char, doc = np.where(gap, np.uint64(1), char)[keep], doc[keep]
-    edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    ends = np.r_[edges[1:], len(doc)] if len(doc) else edges
-    own = doc[edges] if len(doc) else doc
-    char, doc = np.insert(char, np.r_[edges, ends], np.uint64(1)), np.insert(doc, np.r_[edges, ends], np.r_[own, own])
     out, of, code = [char], [doc], char
     for n in range(2, ORDERS + 1):
         code = code[:-1] << np.uint64(21) | char[n - 1 :]
@@ -166,7 +165,8 @@ def train(documents: DataFrame, learn: Column | None = None, doc_id: str = "doc_
     kernel = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64)
     target = np.array([[r[0] == x for x in langs] for r in rows], np.float64)
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
-    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])  # K to the power -1/2, up to a rotation
+    large = values > 1e-4 * values.max()
+    root = vectors[:, large] / np.sqrt(values[large])  # K to the power -1/2, up to a rotation
     features = kernel @ root
     solved = np.linalg.solve(features.T @ features + RIDGE * len(rows) / len(sets) * np.eye(root.shape[1]), features.T @ target)
     counts = Counter(r[0] for r in rows)
