@@ -147,9 +147,13 @@ class Page:
         return self.flows[-1]
 
     def text(self, text: str) -> None:
-        if text and not self.concealed:
+        if text and not self.concealed and not self._closed():
             self.flow.text(unescape(text) if "&" in text else text, self.kept > 0)
 
+    def _closed(self) -> bool:
+        """Directly in the body of closed details."""
+        return bool(self.open) and self.open[-1][0] == "details" and self.open[-1][2] == "closed"
+
     def find(self, names: tuple[str, ...], stop: frozenset[str]) -> int | None:
         """Place of the nearest open element of these names, not beyond ``stop``."""
         if not any(self.count[n] for n in names):
@@ -212,7 +216,7 @@ class Page:
 
     def _open(self, name: str, told: dict[str, str], concealing: bool) -> None:
         undo = None
-        if not concealing and name != "summary" and self.open and self.open[-1][0] == "details" and self.open[-1][2] == "closed":
+        if name != "summary" and self._closed():
             concealing = True
         if concealing:
             self.concealed += 1

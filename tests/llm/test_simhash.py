@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from dunning.llm import registry, simhash
+
+
+def plain_fingerprint(text: str | None) -> int:
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def plain_components(prints: list[int], bits: int) -> list[int]:
+    """Index of the first member of each one's component."""
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= bits:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+TEXTS = [None, "", " \t\n", "a", "A b", "a b c", "A B C d", "É é É é", "a\x0bb\x0cc d\x85e", "x " * 5000, "one two three four five six seven", "ONE two three four five six seven", "Straße ﬁ İ ſ"]
+
+
+def test_fingerprint_is_the_plain_one():
+    rng = random.Random(1)
+    words = ["alpha", "beta", "Gamma", "é", "ß", "x", "1"]
+    texts = TEXTS + [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    for text in texts:
+        assert simhash.fingerprint(None if text is None else text.encode()) % (1 << 64) == plain_fingerprint(text)
+
+
+def test_spark_has_the_same_hash(spark):
+    got = spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % (1 << 64)
+    assert got == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 3])
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_links_connect_like_all_pairs(spark, bits, crowd):
+    rng = random.Random(bits)
+    prints = [0]
+    for _ in range(25):
+        centre = rng.getrandbits(64)
+        prints += [centre]
+        for _ in range(6):
+            prints.append(prints[-1] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.3) * (1 << rng.randrange(64)))
+    prints = sorted(set(prints), key=lambda x: x - (1 << 64) if x >> 63 else x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    edges = simhash.links(df, bits, blocks=5, crowd=crowd).collect()
+    assert all(bin((e.u ^ e.v) % (1 << 64)).count("1") <= bits and e.u < e.v for e in edges)
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, bits, blocks=5, crowd=crowd)).collect()}
+    expected = plain_components(prints, bits)
+    assert [found.get(x, x) for x in signed] == [signed[i] for i in expected]
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 300))
+
+
+def test_near_duplicates_edges(spark, make_docs):
+    assert simhash.near_duplicates(make_docs([])).count() == 0
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(5, "a b c d"), (3, "A B C D"), (9, None), (8, ""), (7, "   "), (None, "a b c d"), (None, "only null id here"), (4, long), (6, long + " tail"), (4, long), (11, "quite different text here")]
+    docs = make_docs(rows).withColumn("fp", F.lit("x")).withColumn("component_id", F.lit(0)).withColumn("Text2", F.lit(1))
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add(r.component_id)
+    assert by[5] == by[3] == {3} and by[9] == by[8] == by[7] == {7} and by[4] == {4} and by[6] == {4} and by[11] == {11}
+    assert by[None] == {3, None}
+
+
+def test_keep_one(spark, make_docs):
+    rows = [(5, "a b c d", "en", "s"), (3, "A B C D", "en", "s"), (9, None), (8, ""), (4, "one of a kind"), (4, "one of a kind"), (4, "the same id again"), (None, "a b c d"), (None, "null id alone")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(make_docs(rows)).collect()), key=str)
+    assert got == sorted([(3, "A B C D"), (8, ""), (4, "one of a kind"), (4, "the same id again"), (None, "null id alone")], key=str)
+    assert simhash.keep_one(make_docs([])).count() == 0
+    assert simhash.keep_one(make_docs(rows)).columns == make_docs(rows).columns
+
+
+def test_query_against_brute_force(spark, make_docs, stored):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        text = [rng.choice(words) for _ in range(rng.randint(1, 300))]
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            text[rng.randrange(len(text))] = "changed"
+            rows.append((200 + i, " ".join(text).upper()))
+    got = {r.doc_id: r for r in registry.op2_simhash_near_dedup(spark, stored(documents=make_docs(rows))).collect()}
+    prints = [plain_fingerprint(t) for _, t in sorted(rows)]
+    ids = sorted(i for i, _ in rows)
+    expected = plain_components(prints, 2)
+    assert [got[i].fingerprint for i in ids] == [f"{p:016x}" for p in prints]
+    assert [got[i].component_id for i in ids] == [ids[k] for k in expected]
