@@ -6,7 +6,8 @@ Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]``
 Setup (timed separately as ``setup_sec``): derive the eight report tables from
 the driver's files and store them as a deployment would (``hist_tb``
 partitioned by event day, every table in several files) under
-``$BENCH_WORK_DIR`` (default: a new folder under /tmp).
+``$BENCH_WORK_DIR`` (default, for this local master only: a new folder under /tmp;
+with another master, set in $BENCH_MASTER, the folder must be given and be shared).
 
 Per report: build the plan over the stored tables and run it into the
 ``noop`` sink; one warm-up round, then the median of ``$BENCH_RUNS``
@@ -32,7 +33,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from dunning.params import FIXTURE_PARAMS  # noqa: E402
 from dunning.plans.reports import REPORTS  # noqa: E402
 from dunning.session import local_session  # noqa: E402
-from dunning.sources.layout import write_tables  # noqa: E402
+from dunning.sources.layout import HIST_PARTITION, write_tables  # noqa: E402
 from dunning.sources.tables import from_fixture, from_parquet  # noqa: E402
 
 
@@ -57,15 +58,20 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    work = os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="dunning-bench-")
-    spark = local_session(cores=cpus, shuffle_partitions=cpus, app="dunning-bench")
+    master = os.environ.get("BENCH_MASTER", f"local[{cpus}]")
+    work = os.environ.get("BENCH_WORK_DIR")
+    if not work:
+        if not master.startswith("local["):
+            sys.exit("BENCH_WORK_DIR must name a shared folder when the master is not local")
+        work = tempfile.mkdtemp(prefix="dunning-bench-")
+    spark = local_session(shuffle_partitions=cpus, app="dunning-bench", master=master)
 
     t0 = time.perf_counter()
     write_tables(from_fixture(spark, sf_dir), f"{work}/tables", files=cpus)
     setup = time.perf_counter() - t0
 
     print("stored tables:", file=sys.stderr)
-    stored = medians(spark, from_parquet(spark, f"{work}/tables"), runs)
+    stored = medians(spark, from_parquet(spark, f"{work}/tables", hist_day=HIST_PARTITION), runs)
     print("driver files:", file=sys.stderr)
     direct = medians(spark, from_fixture(spark, sf_dir), runs)
     spark.stop()

@@ -60,14 +60,21 @@ LIST_SEPARATOR = " || "
 PAIR_JOINER = " - "
 YEAR_JOINER = "/"
 
+# Output columns of the three contact-list reports, spelled as the reference names them
+# (users read these headers); the phone columns stand after Portfolio.
+CONTACT_LIST_HEAD = ("cod_cad", "nome", "cpf", "BindingID", "DataNascimento", "Portfolio")
+CONTACT_LIST_TAIL = (
+    "MarcaModelo", "placa", "cor", "AnoFabModelo", "QtdGarantiasUnicas", "Contratos", "TipoProduto",
+    "UltimoValorAcordado", "TipoAcordo", "DataCriacaoGecobi", "StatusUltimoAcordo",
+)
+AGREEMENT_COLUMNS = CONTACT_LIST_TAIL[-4:]
+
 # Largest debts: rows kept.
 TOP = 50
 
-# Output files: column width rule, rows the spreadsheet writer sampled,
-# money keywords and decimals.
+# Output files: column width rule, money keywords and decimals.
 MIN_WIDTH = 10
 MAX_WIDTH = 60
 WIDTH_PAD = 2
-WIDTH_SAMPLE_ROWS = 500
 MONEY_KEYWORDS = ("valor", "vlr", "divida", "acordo", "parc", "commission", "collected", "goal")
 MONEY_DECIMALS = 2

@@ -90,41 +90,32 @@ def human_user(cod_usu="cod_usu") -> Column:
     return _c(cod_usu) != F.lit(SYSTEM_USER)
 
 
-def as_of_ts(as_of: dt.datetime | None) -> Column:
-    if as_of is None:
-        return F.localtimestamp()
-    return F.lit(as_of).cast("timestamp_ntz")
+def as_of_ts(as_of: dt.datetime | None, zone: str | None = None) -> Column:
+    """The report clock as wall time. Without a fixed ``as_of`` it is the current
+    time in ``zone``, or in the session's zone where none is given."""
+    if as_of is not None:
+        return F.lit(as_of).cast("timestamp_ntz")
+    now = F.localtimestamp()
+    return now if zone is None else F.convert_timezone(F.current_timezone(), F.lit(zone), now)
 
 
-def as_of_date(as_of: dt.datetime | None) -> Column:
-    if as_of is None:
-        return F.current_date()
-    return F.lit(as_of.date())
+def as_of_date(as_of: dt.datetime | None, zone: str | None = None) -> Column:
+    return F.lit(as_of.date()) if as_of is not None else as_of_ts(None, zone).cast("date")
 
 
-def days_before(as_of, days: int = RECENT_DAYS) -> Column:
+def days_before(as_of, days: int = RECENT_DAYS, zone: str | None = None) -> Column:
     """``NOW() - INTERVAL n DAY`` (to the second)."""
-    return as_of_ts(as_of) - F.make_dt_interval(F.lit(days))
+    return as_of_ts(as_of, zone) - F.make_dt_interval(F.lit(days))
 
 
-def midnight_days_before(as_of, days: int = RECENT_DAYS) -> Column:
+def midnight_days_before(as_of, days: int = RECENT_DAYS, zone: str | None = None) -> Column:
     """``CURDATE() - INTERVAL n DAY`` (from midnight)."""
-    return F.date_sub(as_of_date(as_of), days).cast("timestamp_ntz")
+    return F.date_sub(as_of_date(as_of, zone), days).cast("timestamp_ntz")
 
 
-def since_ts(col, as_of, days: int = RECENT_DAYS) -> Column:
-    """``col >= NOW() - INTERVAL n DAY``."""
-    return _c(col) >= days_before(as_of, days)
-
-
-def since_midnight(col, as_of, days: int = RECENT_DAYS) -> Column:
-    """``col >= CURDATE() - INTERVAL n DAY``."""
-    return _c(col) >= midnight_days_before(as_of, days)
-
-
-def recent_intake(data_cad, as_of, months: int = INTAKE_MONTHS) -> Column:
+def recent_intake(data_cad, as_of, months: int = INTAKE_MONTHS, zone: str | None = None) -> Column:
     """``data_cad >= CURDATE() - INTERVAL n MONTH`` (month-end clamp)."""
-    return _c(data_cad) >= F.add_months(as_of_date(as_of), -months)
+    return _c(data_cad) >= F.add_months(as_of_date(as_of, zone), -months)
 
 
 def period_start(start: dt.date | None) -> Column | None:
@@ -142,16 +133,21 @@ def period_end(end: dt.date | None) -> Column | None:
     return F.lit(dt.datetime.combine(end, PERIOD_END)).cast("timestamp_ntz")
 
 
-def day_partition_floor(df, ts_col: Column) -> Column | None:
-    """When ``df`` is stored partitioned by event day (column ``dt``), the
-    partition filter implied by ``data_at >= ts``: ``dt >= to_date(ts)``.
-    Spark cannot derive it from the timestamp predicate by itself."""
-    if "dt" not in df.columns:
-        return None
-    return F.col("dt") >= F.to_date(ts_col)
+def settled(staco="staco") -> Column:
+    """Latest agreement promised, paid or open; false when there is none."""
+    return F.coalesce(_c(staco).isin(list(STATUS_SETTLED)), F.lit(False))
 
 
-def day_partition_ceiling(df, ts_col: Column) -> Column | None:
-    if "dt" not in df.columns:
-        return None
-    return F.col("dt") <= F.to_date(ts_col)
+def broken(staco="staco") -> Column:
+    """Latest agreement broken or rejected; false when there is none."""
+    return F.coalesce(_c(staco).isin(list(STATUS_BROKEN)), F.lit(False))
+
+
+def known(staco="staco") -> Column:
+    """An agreement status that has a label; false when there is none."""
+    return F.coalesce(_c(staco).isin(list(STATUS_KNOWN)), F.lit(False))
+
+
+def is_open(staco="staco") -> Column:
+    """Latest agreement promised or open."""
+    return _c(staco).isin(list(STATUS_OPEN))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,31 +78,36 @@ def parse_ymd(text: str) -> dt.date:
         raise ValueError(f"invalid date: {text!r}") from exc
 
 
+# Money text, as a grammar. Both styles may start with the currency and a sign, and digits
+# may be spaced. A comma marks the Brazilian style: dots group, the comma starts the
+# decimals. Without a comma a single dot starts the decimals.
+_MONEY_HEAD = r"^\s*(?:R\$)?\s*([+-]?)\s*"
+BRAZILIAN_MONEY = _MONEY_HEAD + r"([0-9 .]*),([0-9 ]*)$"
+PLAIN_MONEY = _MONEY_HEAD + r"([0-9 ]*)(?:\.([0-9 ]*))?$"
+
+
 def parse_money_text(text: str | None) -> Decimal:
-    """Driver-side money parser for plain (10000.50) or Brazilian
-    (R$ 10.000,50) text. Without a comma, dots are decimal points, so
-    ``10.000`` is ten."""
-    if text is None or not text.strip():
-        raise ValueError("minimum value not given")
-    raw = text.strip().replace("R$", "").replace(" ", "")
-    if "," in raw:
-        raw = raw.replace(".", "").replace(",", ".")
-    try:
-        value = Decimal(raw)
-    except InvalidOperation as exc:
-        raise ValueError("invalid minimum value, e.g. 10000 or 10.000,00") from exc
-    if not value.is_finite():
-        raise ValueError("invalid minimum value, e.g. 10000 or 10.000,00")
-    return value
+    """Amount of an operator-typed text in either style of the money grammar."""
+    for style in (BRAZILIAN_MONEY, PLAIN_MONEY):
+        found = re.match(style, (text or "").rstrip())
+        if found is None:
+            continue
+        sign, whole, part = found[1], re.sub(r"[ .]", "", found[2]), (found[3] or "").replace(" ", "")
+        if whole or part:
+            return Decimal(f"{sign}{whole or 0}.{part or 0}")
+    raise ValueError(f"not an amount: {text!r} (write 2500, 2500.75 or R$ 2.500,75)")
 
 
 def money_from_text(text, scale: int = 2) -> Column:
-    """Column form of ``parse_money_text``: null when the text is not a number."""
-    raw = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
-    raw = F.regexp_replace(F.regexp_replace(raw, r"R\$", ""), " ", "")
-    br = F.regexp_replace(F.regexp_replace(raw, r"\.", ""), ",", ".")
-    cleaned = F.when(F.instr(raw, ",") > 0, br).otherwise(raw)
-    return cleaned.try_cast(f"decimal(38,{scale})")
+    """Column form of the money grammar: null when the text is not an amount."""
+    t = F.regexp_replace(_c(text), r"\s+$", "")
+
+    def amount(style: str) -> Column:
+        sign, whole, part = (F.regexp_replace(F.regexp_extract(t, style, k), "[ .]", "") for k in (1, 2, 3))
+        number = F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.lit("."), F.when(part == "", "0").otherwise(part))
+        return F.when((whole != "") | (part != ""), number.try_cast(f"decimal(38,{scale})"))
+
+    return F.when(t.rlike(BRAZILIAN_MONEY), amount(BRAZILIAN_MONEY)).when(t.rlike(PLAIN_MONEY), amount(PLAIN_MONEY))
 
 
 def ymd_shape(text) -> Column:

@@ -1,16 +1,15 @@
 """Reusable DataFrame operators the reports are composed from."""
 
 from dunning.operators.antijoin import not_in
-from dunning.operators.broadcast import broadcast_if_small
-from dunning.operators.lists import distinct_list, distinct_pair_list
+from dunning.operators.lists import distinct_list, distinct_pair_list, value_list
 from dunning.operators.ranking import latest_per_key, pivot_slots, top_n_per_key
 
 __all__ = [
-    "broadcast_if_small",
     "distinct_list",
     "distinct_pair_list",
     "latest_per_key",
     "not_in",
     "pivot_slots",
     "top_n_per_key",
+    "value_list",
 ]

@@ -2,12 +2,17 @@
 
 Spark plans an uncorrelated NOT IN as a null-aware anti join only when the
 subquery side can be broadcast; beyond that it falls back to a nested-loop
-join. Here the same result comes from a plain shuffle anti join plus two
-scalar subqueries that say whether the list is empty or holds a null:
+join. Here the list is reduced once to its distinct keys, null included, and
+read two ways: a plain shuffle anti join, and a scalar that says whether the
+list is empty or holds a null:
 
 * empty list            -> every left row is kept (even a null key)
 * list holds a null     -> no row is kept (NOT IN is never true)
 * otherwise             -> keep rows whose key is not null and not in the list
+
+The key is grouped inside a struct, which itself is never null. So no filter on it
+is pushed into one reader only, both readers have the same exchange, and the
+list is scanned and shuffled once (the other reader reuses it).
 """
 
 from __future__ import annotations
@@ -15,26 +20,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_K = "__not_in_key"
+_K, _V = "__not_in_key", "v"
 
 
 def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` where ``left[key] NOT IN (SELECT right_key FROM right)``."""
-    right_key = right_key or key
-    keys = right.select(F.col(right_key).alias(_K))
-    # Two existence scalars, each stops at its first row: the null test is an
-    # IsNull filter Parquet answers from row-group null counts.
-    has_null = _exists(keys.where(F.col(_K).isNull()))
-    non_empty = _exists(keys)
-    # Distinct with map-side combine: a hot key shrinks before the shuffle.
-    present = keys.where(F.col(_K).isNotNull()).distinct()
-    kept = left.join(present, left[key] == present[_K], "left_anti")
-    return kept.where(~has_null & (F.col(key).isNotNull() | ~non_empty))
-
-
-def _exists(df: DataFrame):
-    """Uncorrelated scalar subquery: does ``df`` have a row?"""
-    return df.limit(1).select((F.count(F.lit(1)) > 0).alias("e")).scalar()
+    boxed = right.select(F.struct(F.col(right_key or key).alias(_V)).alias(_K))
+    listed = boxed.groupBy(_K).agg(F.count(F.lit(1)).alias("__n"))  # one row per key and task before the shuffle
+    state = listed.agg(F.struct(F.coalesce(F.max(F.col(_K)[_V].isNull()), F.lit(False)).alias("null"), (F.count(F.lit(1)) == 0).alias("empty")).alias("s"))
+    flags = state.scalar()
+    kept = left.join(listed, F.struct(left[key].alias(_V)) == listed[_K], "left_anti")
+    return kept.where(~flags["null"] & (F.col(key).isNotNull() | flags["empty"]))
 
 
 def anti_join(left: DataFrame, key: str, right: DataFrame, right_key: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ordered distinct text lists (``GROUP_CONCAT(DISTINCT x ORDER BY ...)``).
 
 Nulls are skipped; a group with no non-null value gives null. Nothing is
-truncated. Values are deduplicated by a map-side ``collect_set`` before the
-shuffle, so repeated values of a hot key do not pile up in one task.
+truncated. The callers remove repeats in a hash aggregate on (key, value) first, which
+also spreads a hot key's values over tasks; what meets in one task is the list itself.
 """
 
 from __future__ import annotations
@@ -17,9 +17,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def value_list(col, sep: str = LIST_SEPARATOR) -> Column:
+    """Non-null values in ascending order, joined by ``sep``; for values that are distinct already."""
+    values = F.sort_array(F.collect_list(_c(col)))
+    return F.when(F.size(values) > 0, F.array_join(values, sep))
+
+
 def distinct_list(col, sep: str = LIST_SEPARATOR) -> Column:
     """Distinct non-null values in ascending order, joined by ``sep``."""
-    values = F.array_sort(F.collect_set(_c(col)))
+    values = F.sort_array(F.collect_set(_c(col)))
     return F.when(F.size(values) > 0, F.array_join(values, sep))
 
 

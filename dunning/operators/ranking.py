@@ -1,8 +1,8 @@
 """Latest row per key, top-N per key, and slot pivots.
 
-``row_number`` / ``dense_rank`` followed by a ``<= n`` filter plans as a
-WindowGroupLimit: a partial limit runs before the shuffle, so a key that holds
-a third of all rows sends at most ``n`` rows per map task.
+``row_number`` followed by a ``<= n`` filter plans as a WindowGroupLimit: a
+partial limit runs before the shuffle, so a key that holds a third of all rows
+sends at most ``n`` rows per map task.
 """
 
 from __future__ import annotations
@@ -19,23 +19,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) == 1).drop(rank_col)
 
 
-def top_n_per_key(
-    df: DataFrame,
-    key: str,
-    order: Sequence[Column],
-    n: int,
-    rank_col: str = "num",
-    dense: bool = False,
-) -> DataFrame:
-    """Number rows within ``key`` by ``order`` and keep numbers ``<= n``.
-
-    ``dense=True`` gives equal rows (equal on every order column) one number,
-    which is a row number over the deduplicated rows when the order columns
-    cover the deduplication key.
-    """
+def top_n_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int, rank_col: str = "num") -> DataFrame:
+    """Number rows within ``key`` by ``order`` and keep numbers ``<= n``."""
     w = Window.partitionBy(key).orderBy(*order)
-    fn = F.dense_rank() if dense else F.row_number()
-    return df.withColumn(rank_col, fn.over(w)).where(F.col(rank_col) <= n)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
 def slot(rank_col: str, k: int, value: Column) -> Column:

@@ -15,7 +15,9 @@ class ReportParams:
     """Typed values for every template slot of the reports.
 
     portfolios          codes of the selected portfolios (``cod_cli``); at least one
-    as_of               the report clock; ``None`` means ``current_timestamp()``
+    as_of               the report clock as wall time; ``None`` means now
+    zone                time zone of that "now"; ``None`` means the session's (the zone in
+                        which the history's event times are written)
     agreements_since    agreements created on or after this date are considered
     phone_slots         phones kept per registration (drives filter and pivot width)
     start, end          optional inclusive bounds of the right-party-contact report
@@ -23,7 +25,8 @@ class ReportParams:
     top                 rows kept by the largest-debts report
     infoad              optional portfolio-tag filter of the broken-agreements report
     min_contract_total  optional HAVING of the contract-values block (broken report)
-    hist_ref_col        column of ``hist_tb`` that holds the registration id
+    hist_ref_col        column of ``hist_tb`` that holds the registration id in the
+                        right-party-contact report
     """
 
     portfolios: tuple[int, ...]
@@ -37,6 +40,7 @@ class ReportParams:
     infoad: tuple[str, ...] | None = None
     min_contract_total: Decimal | None = None
     hist_ref_col: str = "cod_cli"
+    zone: str | None = None
 
     def __post_init__(self) -> None:
         ports = tuple(int(p) for p in (self.portfolios or ()))
@@ -62,7 +66,7 @@ class ReportParams:
         **kw,
     ) -> "ReportParams":
         """Build from operator-typed text: dates as YYYY-MM-DD, money as
-        ``10000``, ``10000.50``, ``10.000,50`` or ``R$ 10.000,50``."""
+        ``2500``, ``2500.75``, ``2.500,75`` or ``R$ 2.500,75``."""
         s = parse_ymd(start) if start and start.strip() else None
         e = parse_ymd(end) if end and end.strip() else None
         m = parse_money_text(min_total) if min_total is not None else None

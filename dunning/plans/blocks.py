@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dunning.fixed import DOWN_PAYMENT, PAIR_JOINER, RIGHT_PARTY, STATUS_BROKEN, STATUS_KNOWN, STATUS_SETTLED, YEAR_JOINER
+from dunning.fixed import AGREEMENT_COLUMNS, DOWN_PAYMENT, PAIR_JOINER, RIGHT_PARTY, YEAR_JOINER
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import anti_join, not_in
-from dunning.operators.broadcast import broadcast_if_small
-from dunning.operators.lists import distinct_list
+from dunning.operators.lists import value_list
 from dunning.operators.ranking import latest_per_key, pivot_slots, top_n_per_key
 from dunning.params import ReportParams
 from dunning.sources.tables import Tables
@@ -49,72 +48,74 @@ def b02_latest_agreement(t: Tables, p: ReportParams) -> DataFrame:
 
 def b03_settled_contracts(latest: DataFrame) -> DataFrame:
     """Contracts whose latest agreement is promised, paid or open."""
-    return latest.where(F.col("staco").isin(list(STATUS_SETTLED))).select("nmcont")
+    return latest.where(P.settled()).select("nmcont")
+
+
+def agreement_columns(staco: str, vlr: str, qtd: str, data_cad: str) -> list[Column]:
+    """The four agreement columns of a labelled latest agreement; null where the status has no label."""
+    values = (F.col(vlr), S.lump_or_instalments_strict(qtd), S.date_text(data_cad), S.agreement_label(staco))
+    order = dict(zip(("UltimoValorAcordado", "TipoAcordo", "DataCriacaoGecobi", "StatusUltimoAcordo"), values, strict=True))
+    return [F.when(P.known(staco), order[name]).alias(name) for name in AGREEMENT_COLUMNS]
 
 
 def b04_agreement_status(latest: DataFrame) -> DataFrame:
     """Labelled latest agreement per nmcont (known statuses only)."""
-    return latest.where(F.col("staco").isin(list(STATUS_KNOWN))).select(
-        "nmcont",
-        F.col("vlr_aco").alias("UltimoValorAcordado"),
-        S.lump_or_instalments_strict("qtd_p_aco").alias("TipoAcordo"),
-        S.date_text("data_cad").alias("DataCriacaoGecobi"),
-        S.agreement_label("staco").alias("StatusUltimoAcordo"),
-        "staco",
-    )
+    return latest.where(P.known()).select("nmcont", *agreement_columns("staco", "vlr_aco", "qtd_p_aco", "data_cad"), "staco")
 
 
 def b12_broken_contracts(latest: DataFrame) -> DataFrame:
     """Contracts whose latest agreement is broken or rejected."""
-    return latest.where(F.col("staco").isin(list(STATUS_BROKEN))).select("nmcont")
+    return latest.where(P.broken()).select("nmcont")
 
 
 # ---------------------------------------------------------------- contracts
 def contract_complements(t: Tables, p: ReportParams) -> DataFrame:
     """Per contract: product types, BindingID (max int_2) and row count."""
-    return (
+    kinds = (
         t.rec_comp.where(P.in_portfolios("cod_cli", p.portfolios))
-        .groupBy(*CONTRACT)
-        .agg(
-            distinct_list("char_5").alias("TipoProduto"),
-            F.max("int_2").alias("BindingID"),
-            F.count(F.lit(1)).alias("n_comp"),
-        )
+        .groupBy(*CONTRACT, "char_5")
+        .agg(F.max("int_2").alias("int_2"), F.count(F.lit(1)).alias("n"))
+    )
+    return kinds.groupBy(*CONTRACT).agg(
+        value_list("char_5").alias("TipoProduto"), F.max("int_2").alias("BindingID"), F.sum("n").alias("n_comp")
     )
 
 
-def contract_instalments(t: Tables, p: ReportParams) -> DataFrame:
-    """Per contract: distinct non-down-payment instalment ids and their total.
+def eligible_instalments(t: Tables, p: ReportParams) -> DataFrame:
+    """One row per contract and instalment id that is no down payment, with its total.
 
-    A null ``fat_parc`` fails the NOT LIKE and is dropped, as in the reference.
+    A null ``fat_parc`` fails the NOT LIKE and is dropped, as in the reference. The
+    hash aggregate is keyed by the id too, so a hot contract's instalments are spread.
     """
     return (
         t.receber.where(P.in_portfolios("cod_cli", p.portfolios) & P.not_contains_ci("fat_parc", DOWN_PAYMENT))
-        .groupBy(*CONTRACT)
-        .agg(distinct_list("fat_parc").alias("Contratos"), F.sum("vlrparc").alias("vlr_total"))
+        .groupBy(*CONTRACT, "fat_parc")
+        .agg(F.sum("vlrparc").alias("vlr"))
     )
 
 
-def contract_values_base(t: Tables, p: ReportParams) -> DataFrame:
-    """Contracts with at least one complement row and one eligible instalment.
+def with_instalment_lists(contracts: DataFrame, t: Tables, p: ReportParams, min_total=None) -> DataFrame:
+    """``contracts`` (one row per contract, with ``n_comp``) that have an eligible instalment, and ``Contratos``.
 
     The reference joins every complement row to every instalment row of the
     contract and then takes DISTINCT lists; both lists only depend on the two
-    sides separately, so each side is aggregated on its own and the two
-    one-row-per-contract results are joined. The optional minimum applies to
-    ``SUM(vlrparc)`` over that join, i.e. complement rows x instalment total.
+    sides separately, so each side is reduced on its own first. The optional minimum
+    applies to ``SUM(vlrparc)`` over that join, i.e. complement rows x instalment total.
+    Instalments of contracts that ``contracts`` lacks leave at the join, before any list.
     """
-    v = contract_complements(t, p).join(contract_instalments(t, p), CONTRACT, "inner")
-    if p.min_contract_total is not None:
-        v = v.where(F.col("n_comp") * F.col("vlr_total") >= F.lit(p.min_contract_total))
-    return v.select(*CONTRACT, "Contratos", "TipoProduto", "BindingID")
+    joined = contracts.join(eligible_instalments(t, p), CONTRACT)
+    v = joined.groupBy(*contracts.columns).agg(value_list("fat_parc").alias("Contratos"), F.sum("vlr").alias("vlr_total"))
+    if min_total is not None:
+        v = v.where(F.col("n_comp") * F.col("vlr_total") >= F.lit(min_total))
+    return v.drop("n_comp", "vlr_total")
 
 
 def b05_contract_values(t: Tables, p: ReportParams, latest: DataFrame | None = None) -> DataFrame:
-    """``contract_values_base`` minus contracts with a settled latest agreement
-    (``nmcont NOT IN (settled)``, null-aware)."""
+    """Lists per contract, without contracts whose latest agreement is settled
+    (``nmcont NOT IN (settled)``, null-aware); these leave before their lists are made."""
     latest = latest if latest is not None else b02_latest_agreement(t, p)
-    return not_in(contract_values_base(t, p), "nmcont", b03_settled_contracts(latest), "nmcont")
+    kept = not_in(contract_complements(t, p), "nmcont", b03_settled_contracts(latest), "nmcont")
+    return with_instalment_lists(kept, t, p).select(*CONTRACT, "Contratos", "TipoProduto", "BindingID")
 
 
 def settled_list_has_null(t: Tables, p: ReportParams) -> Column:
@@ -126,8 +127,7 @@ def settled_list_has_null(t: Tables, p: ReportParams) -> Column:
     """
     nulls = _agreements_since(t, p).where(F.col("nmcont").isNull())
     last = nulls.select(F.max_by("staco", "cod_aco").alias("staco"))
-    flag = last.select(F.coalesce(F.col("staco").isin(list(STATUS_SETTLED)), F.lit(False))).scalar()
-    return flag
+    return last.select(P.settled()).scalar()
 
 
 # ------------------------------------------------------------------- assets
@@ -138,18 +138,19 @@ def b06_collateral_summary(t: Tables, p: ReportParams) -> DataFrame:
     the row is the least (chassi, placa, marca, modelo, cor, anofab,
     anomodelo), nulls first, so the result is deterministic.
     """
-    pick = F.min(F.struct("chassi", "placa", "marca", "modelo", "cor", "anofab", "anomodelo")).alias("r")
-    agg = (
-        t.bens.where(P.in_portfolios("cod_cli", p.portfolios))
-        .groupBy(*CONTRACT)
-        .agg(pick, F.count_distinct("chassi").alias("QtdGarantiasUnicas"))
-    )
-    return agg.select(
+    assets = t.bens.where(P.in_portfolios("cod_cli", p.portfolios))
+    order = [F.col(c).asc_nulls_first() for c in ("chassi", "placa", "marca", "modelo", "cor", "anofab", "anomodelo")]
+    pick = latest_per_key(assets, CONTRACT, order)
+    chassis = assets.select(*CONTRACT, "chassi").distinct()
+    count = chassis.groupBy(*CONTRACT).agg(F.count("chassi").alias("QtdGarantiasUnicas"))
+    count = count.select(F.col("nmcont").alias("n_nmcont"), F.col("cod_cli").alias("n_cod_cli"), "QtdGarantiasUnicas")
+    same = F.col("nmcont").eqNullSafe(F.col("n_nmcont")) & (F.col("cod_cli") == F.col("n_cod_cli"))
+    return pick.join(count, same).select(
         *CONTRACT,
-        S.concat_text(F.col("r.marca"), F.lit(PAIR_JOINER), F.col("r.modelo")).alias("MarcaModelo"),
-        F.col("r.placa").alias("placa"),
-        F.col("r.cor").alias("cor"),
-        S.concat_text(F.col("r.anofab"), F.lit(YEAR_JOINER), F.col("r.anomodelo")).alias("AnoFabModelo"),
+        S.concat_text("marca", F.lit(PAIR_JOINER), "modelo").alias("MarcaModelo"),
+        "placa",
+        "cor",
+        S.concat_text("anofab", F.lit(YEAR_JOINER), "anomodelo").alias("AnoFabModelo"),
         "QtdGarantiasUnicas",
     )
 
@@ -171,17 +172,17 @@ def b07_ranked_phones(t: Tables, p: ReportParams, quality: bool = True) -> DataF
 
     quality=True adds the status/note, length and mask filters (broken and
     never-contacted reports); the recent-intake report only drops runs of six
-    equal digits. Rows equal on (dddfone, telefone, status) count once, so a
-    dense rank over an order that covers those columns is the row number of
-    the deduplicated rows.
+    equal digits. Rows equal on (dddfone, telefone, status) count once: a hash
+    aggregate on them removes repeats on the map side and spreads a hot
+    registration's phones before they are numbered.
     """
     phone = S.concat_text("dddfone", "telefone")
     cond = P.no_repeated_digits(phone)
     if quality:
         cond = cond & P.phone_quality("status", "obs") & P.min_phone_length(phone) & P.not_masked(phone)
-    f = t.fones.where(cond).select("cod_cad", "dddfone", "telefone", "status", phone.alias("telefones"))
-    ranked = top_n_per_key(f, "cod_cad", phone_order(), p.phone_slots, rank_col="num", dense=True)
-    return ranked.select("cod_cad", "num", "telefones", "status")
+    f = t.fones.where(cond).select("cod_cad", "dddfone", "telefone", "status").distinct()
+    ranked = top_n_per_key(f, "cod_cad", phone_order(), p.phone_slots, rank_col="num")
+    return ranked.select("cod_cad", "num", phone.alias("telefones"), "status")
 
 
 def b09_phone_pivot(ranked: DataFrame, p: ReportParams) -> DataFrame:
@@ -193,36 +194,33 @@ def b09_phone_pivot(ranked: DataFrame, p: ReportParams) -> DataFrame:
 def history(t: Tables, lower=None, upper=None) -> DataFrame:
     """Contact events with ``lower <= data_at <= upper`` (either optional).
 
-    When the table is stored partitioned by event day, the matching day
-    filters are added too, so only the folders inside the window are read.
+    When the table is known to be stored by event day (``Tables.hist_day``), the
+    matching day filters are added too, so only the folders inside the window are read:
+    Spark cannot derive them from the timestamp predicate by itself.
     """
     h = t.hist
-    if lower is not None:
-        h = h.where(F.col("data_at") >= lower)
-        part = P.day_partition_floor(h, lower)
-        h = h.where(part) if part is not None else h
-    if upper is not None:
-        h = h.where(F.col("data_at") <= upper)
-        part = P.day_partition_ceiling(h, upper)
-        h = h.where(part) if part is not None else h
+    for bound, inside in ((lower, lambda a, b: a >= b), (upper, lambda a, b: a <= b)):
+        if bound is not None:
+            h = h.where(inside(F.col("data_at"), bound))
+            if t.hist_day is not None:
+                h = h.where(inside(F.col(t.hist_day), F.to_date(bound)))
     return h
 
 
 def _lookup(t: Tables, cond) -> DataFrame:
     """Occurrence codes matching ``cond``, for a semi join (existence only, so
-    repeated codes need no dedup)."""
-    codes = t.stcob.where(cond).select(F.col("st").alias("ocorr"))
-    return broadcast_if_small(codes, basis=t.stcob)
+    repeated codes need no dedup). The planner broadcasts them by their measured size."""
+    return t.stcob.where(cond).select(F.col("st").alias("ocorr"))
 
 
 def classified_recent_contacts(t: Tables, p: ReportParams) -> DataFrame:
     """Registration ids with a human, classified event since midnight 30 days ago.
 
-    The reference's ``(bsc NOT LIKE '%sistema%' OR bsc NOT LIKE '' OR bsc IS
-    NOT NULL)`` is true for every non-null bsc and unknown for null, so it is
-    ``bsc IS NOT NULL``: the LEFT JOIN becomes a semi join with those codes.
+    An event is classified when its code has a lookup row with a non-null class
+    (the reference's condition on the class is true for every text), so a semi
+    join with those codes is enough.
     """
-    h = history(t, lower=P.midnight_days_before(p.as_of)).where(P.human_user("cod_usu"))
+    h = history(t, lower=P.midnight_days_before(p.as_of, zone=p.zone)).where(P.human_user("cod_usu"))
     h = h.join(_lookup(t, F.col("bsc").isNotNull()), "ocorr", "left_semi")
     return h.select(F.col("cod_cli").alias("cod_cad"))
 
@@ -237,14 +235,13 @@ def b11_no_classified_contact(t: Tables, p: ReportParams, base: DataFrame | None
     return anti_join(base, "cod_cad", classified_recent_contacts(t, p), "cod_cad")
 
 
-def last_event_per_registration(t: Tables, p: ReportParams, cpc_only: bool, bounded: bool = False) -> DataFrame:
-    """MAX(data_at) per registration id over events whose code has a lookup
-    row (optionally a right-party-contact row, optionally within start/end).
+def last_event_per_registration(t: Tables, p: ReportParams, cpc_only: bool, bounded: bool = False, ref: str = "cod_cli") -> DataFrame:
+    """MAX(data_at) per registration id (history column ``ref``) over events whose code
+    has a lookup row (optionally a right-party-contact row, optionally within start/end).
 
     Aggregated before any join, so a registration with very many events is
     reduced map-side to one row per task.
     """
-    ref = p.hist_ref_col
     h = history(t, P.period_start(p.start), P.period_end(p.end)) if bounded else t.hist
     codes = _lookup(t, P.contains_ci("bsc", RIGHT_PARTY) if cpc_only else F.lit(True))
     h = h.join(codes, "ocorr", "left_semi")
@@ -255,7 +252,7 @@ def b13_last_contact(t: Tables, p: ReportParams, cpc_only: bool = True) -> DataF
     """Last (right-party) contact per contract of active registrations.
 
     Computed by the reference inside the large reports but never projected;
-    offered as a block on its own.
+    offered as a block on its own. It always reads ``cod_cli`` as the registration id.
     """
     last = last_event_per_registration(t, p, cpc_only)
     regs = registrations(t, p).select("cod_cad", "nmcont")

@@ -63,7 +63,7 @@ def _quality_phones(t: Tables, p: ReportParams) -> DataFrame:
 
 def b07(t: Tables, p: ReportParams) -> DataFrame:
     """Ranked phones of active registrations, one row per distinct phone."""
-    return _quality_phones(t, p).select("cod_cad", "num", "telefones").distinct()
+    return _quality_phones(t, p).select("cod_cad", "num", "telefones")
 
 
 def b09(t: Tables, p: ReportParams) -> DataFrame:
@@ -82,6 +82,10 @@ def b13(t: Tables, p: ReportParams) -> DataFrame:
     return B.b13_last_contact(t, p, cpc_only=True)
 
 
+def b13_any(t: Tables, p: ReportParams) -> DataFrame:
+    return B.b13_last_contact(t, p, cpc_only=False)
+
+
 # ------------------------------------------------------------------ helpers
 def h01(t: Tables, p: ReportParams) -> DataFrame:
     """Parse money typed in four styles (plain, R$ Brazilian, Brazilian,
@@ -122,7 +126,21 @@ def h04(t: Tables, p: ReportParams) -> DataFrame:
     return money_formatted(R.r04_agreements_open(t, p))
 
 
+def h03_contact_list(t: Tables, p: ReportParams) -> DataFrame:
+    """Widths of a 24-column report as its export shows it (money as text)."""
+    return display_widths(money_formatted(R.r09_broken_rejected(t, p)))
+
+
 # -------------------------------------------------------- parameter variants
+def r07_min_ignored(t: Tables, p: ReportParams) -> DataFrame:
+    """The contract minimum belongs to the broken report alone."""
+    return R.r07_recent(t, p.with_(min_contract_total=Decimal("1500000")))
+
+
+def r08_min_ignored(t: Tables, p: ReportParams) -> DataFrame:
+    return R.r08_never_contacted(t, p.with_(min_contract_total=Decimal("1500000")))
+
+
 def r05_all_time(t: Tables, p: ReportParams) -> DataFrame:
     """Right-party contact report without period bounds."""
     return R.r05_cpc_period(t, p.with_(start=None, end=None))
@@ -159,11 +177,15 @@ EXTRA: dict[str, Query] = {
     "b11_no_classified_contact": b11,
     "b12_broken_contracts": b12,
     "b13_last_contact": b13,
+    "b13_last_contact_any": b13_any,
     "h01_parse_money": h01,
     "h02_valid_date": h02,
     "h03_display_width": h03,
+    "h03_display_width_contact_list": h03_contact_list,
     "h04_money_format": h04,
     "r05_cpc_period_all_time": r05_all_time,
+    "r07_recent_min_ignored": r07_min_ignored,
+    "r08_never_contacted_min_ignored": r08_min_ignored,
     "r09_broken_rejected_tagged": r09_tagged,
     "r11_largest_debts_no_minimum": r11_no_minimum,
 }

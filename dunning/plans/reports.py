@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunning.fixed import STATUS_BROKEN, STATUS_KNOWN, STATUS_OPEN, STATUS_SETTLED
+from dunning.fixed import AGREEMENT_COLUMNS, CONTACT_LIST_HEAD, CONTACT_LIST_TAIL
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import not_in
@@ -46,7 +46,9 @@ def r03_phones_top7(t: Tables, p: ReportParams) -> DataFrame:
 
     Phones are ranked per registration before the join with registrations:
     the registration filters keep or drop whole groups, so the numbering is
-    the same, and the top-N limit runs map-side before the shuffle.
+    the same, and the top-N limit runs map-side before the shuffle. A registration
+    row that is there m times gives one output row in which each phone fills m slots,
+    as joining first would.
     """
     phone = S.concat_text("dddfone", "telefone")
     f = t.fones.where(P.phone_quality("status", "obs") & P.dialable(phone)).select(
@@ -57,7 +59,10 @@ def r03_phones_top7(t: Tables, p: ReportParams) -> DataFrame:
     extra = {"StatusTelefone1": (1, "status"), "ObsTelefone1": (1, "obs")}
     pivot = pivot_slots(ranked, ["cod_cad"], "num", "telefone_txt", p.phone_slots, "Telefone", extra)
     regs = B.registrations(t, p).select(*identity(), "cod_cli", F.col("infoad").alias("portfolio"))
-    return regs.join(pivot, "cod_cad")
+    out = regs.groupBy(*regs.columns).agg(F.count(F.lit(1)).alias("m")).join(pivot, "cod_cad")
+    slots = F.array(*[F.col(f"Telefone{k}") for k in range(1, p.phone_slots + 1)])
+    filled = {f"Telefone{k}": F.when(F.col("m") == 1, F.col(f"Telefone{k}")).otherwise(F.element_at(slots, F.ceil(F.lit(k) / F.col("m")).cast("int"))) for k in range(1, p.phone_slots + 1)}
+    return out.select(*[filled[c].alias(c) if c in filled else c for c in out.columns if c != "m"])
 
 
 def r04_agreements_open(t: Tables, p: ReportParams) -> DataFrame:
@@ -65,7 +70,7 @@ def r04_agreements_open(t: Tables, p: ReportParams) -> DataFrame:
     promised or open; newest first."""
     latest = B.b01_latest_agreement_by_portfolio(t, p)
     return (
-        latest.where(F.col("staco").isin(list(STATUS_OPEN)))
+        latest.where(P.is_open())
         .select(
             "nmcont",
             "cod_cli",
@@ -83,7 +88,7 @@ def r04_agreements_open(t: Tables, p: ReportParams) -> DataFrame:
 def r05_cpc_period(t: Tables, p: ReportParams) -> DataFrame:
     """Last right-party contact per active registration, optionally within
     inclusive start/end dates."""
-    last = B.last_event_per_registration(t, p, cpc_only=True, bounded=True)
+    last = B.last_event_per_registration(t, p, cpc_only=True, bounded=True, ref=p.hist_ref_col)
     regs = B.registrations(t, p).select(*identity())
     return (
         regs.join(last, "cod_cad")
@@ -96,80 +101,72 @@ def r06_no_history_30d(t: Tables, p: ReportParams) -> DataFrame:
     """Active registrations with no human event in the last 30 days (to the
     second). The reference's NOT IN is uncorrelated, so a null id in recent
     history empties the report, exactly as SQL does."""
-    recent = B.history(t, lower=P.days_before(p.as_of)).where(P.human_user("cod_usu"))
+    recent = B.history(t, lower=P.days_before(p.as_of, zone=p.zone)).where(P.human_user("cod_usu"))
     regs = B.registrations(t, p)
     kept = not_in(regs, "cod_cad", recent, "cod_cli")
     return kept.select(*identity(), "cod_cli", F.col("infoad").alias("portfolio"))
 
 
-# Output columns of the three contact-list reports, in order and
-# spelled as the reference names them (users read these headers).
-CONTACT_LIST_COLUMNS = (
-    ["cod_cad", "nome", "cpf", "BindingID", "DataNascimento", "Portfolio"]
-    + [f"Telefone{k}" for k in range(1, 8)]
-    + ["MarcaModelo", "placa", "cor", "AnoFabModelo", "QtdGarantiasUnicas"]
-    + ["Contratos", "TipoProduto"]
-    + ["UltimoValorAcordado", "TipoAcordo", "DataCriacaoGecobi", "StatusUltimoAcordo"]
-)
+def _contracts(t: Tables, p: ReportParams, kind: str) -> DataFrame:
+    """One row per contract that may be listed: complements, assets, latest agreement, instalment ids.
+
+    The latest agreement is joined once, per nmcont only, and read three ways:
+    settled contracts leave (the reference's ``NOT IN``), broken ones define R09,
+    and known statuses give the label columns. A null contract never joins a
+    registration, so the only null effect of ``NOT IN`` left is global: a settled
+    agreement with a null contract empties the report.
+    """
+    latest = B.b02_latest_agreement(t, p).select(
+        "nmcont",
+        F.col("staco").alias("a_staco"),
+        F.col("vlr_aco").alias("a_vlr"),
+        F.col("qtd_p_aco").alias("a_qtd"),
+        F.col("data_cad").alias("a_data_cad"),
+    )
+    side = B.contract_complements(t, p)
+    if kind == "broken":
+        side = side.join(latest.where(P.broken("a_staco")), "nmcont")
+    else:
+        side = side.join(latest, "nmcont", "left").where(~P.settled("a_staco"))
+    side = side.where(~B.settled_list_has_null(t, p))
+    side = side.join(B.b06_collateral_summary(t, p), CONTRACT, "left")
+    side = side.select(
+        *CONTRACT,
+        "n_comp",
+        "BindingID",
+        "TipoProduto",
+        *[c for c in CONTACT_LIST_TAIL if c not in ("Contratos", "TipoProduto", *AGREEMENT_COLUMNS)],
+        *B.agreement_columns("a_staco", "a_vlr", "a_qtd", "a_data_cad"),
+    )
+    return B.with_instalment_lists(side, t, p, p.min_contract_total if kind == "broken" else None)
 
 
 def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
     """Shared assembly of R07 (recent), R08 (never contacted), R09 (broken).
 
-    Registration-level frames are joined on cod_cad; contract-level frames
-    (values, assets) on (nmcont, cod_cli); the latest agreement on nmcont only,
-    as in the reference. The latest agreement is joined once and read three
-    ways: settled contracts leave (the reference's ``NOT IN``), broken ones
-    define R09, and known statuses give the label columns. The final inner
-    join on nmcont already drops null contracts, so the only null effect of
-    ``NOT IN`` left is global: a settled agreement with a null contract
-    empties the report.
+    Everything known per contract is put into one row first; the registrations
+    with their phones meet it last. That join stands at the top, between two
+    exchanges, so a contract shared by very many registrations is split at run time.
     """
-    cad = t.cadastros.where(P.in_portfolios("cod_cli", p.portfolios) & P.active("stcli"))
+    cad = B.registrations(t, p)
     if kind == "recent":
-        cad = cad.where((F.col("data_cad") == F.col("data_arq")) & P.recent_intake("data_cad", p.as_of))
+        cad = cad.where((F.col("data_cad") == F.col("data_arq")) & P.recent_intake("data_cad", p.as_of, zone=p.zone))
     if kind == "broken" and p.infoad:
         cad = cad.where(F.col("infoad").isin(list(p.infoad)))
     if kind == "never":
         cad = B.b11_no_classified_contact(t, p, cad)
-
-    ranked = B.b07_ranked_phones(t, p, quality=(kind != "recent"))
-    phones = B.b09_phone_pivot(ranked, p)
-    regs = cad.select(
+    cad = cad.select(
         *identity(),
         "cod_cli",
         S.date_text("nascto").alias("DataNascimento"),
         F.col("infoad").alias("Portfolio"),
-    ).join(phones, "cod_cad")
+    ).distinct()
 
-    latest = B.b02_latest_agreement(t, p).select(
-        "nmcont",
-        F.col("staco").alias("a_staco"),
-        F.col("vlr_aco").alias("a_vlr"),
-        F.col("qtd_p_aco").alias("a_qtd"),
-        F.col("data_cad").alias("a_data_cad"),
-    )
-    out = (
-        regs.join(B.contract_values_base(t, p), CONTRACT, "inner")
-        .join(B.b06_collateral_summary(t, p), CONTRACT, "left")
-        .join(latest, "nmcont", "left")
-    )
-    settled = F.coalesce(F.col("a_staco").isin(list(STATUS_SETTLED)), F.lit(False))
-    out = out.where(~settled & ~B.settled_list_has_null(t, p))
-    if kind == "broken":
-        out = out.where(F.col("a_staco").isin(list(STATUS_BROKEN)))
-    known = F.col("a_staco").isin(list(STATUS_KNOWN))
-    out = out.select(
-        "*",
-        F.when(known, F.col("a_vlr")).alias("UltimoValorAcordado"),
-        F.when(known, S.lump_or_instalments_strict("a_qtd")).alias("TipoAcordo"),
-        F.when(known, S.date_text("a_data_cad")).alias("DataCriacaoGecobi"),
-        F.when(known, S.agreement_label("a_staco")).alias("StatusUltimoAcordo"),
-    )
+    phones = B.b09_phone_pivot(B.b07_ranked_phones(t, p, quality=(kind != "recent")), p)
+    regs = cad.join(phones, "cod_cad").where("nmcont IS NOT NULL")
+    out = regs.join(_contracts(t, p, kind).repartition(*CONTRACT), CONTRACT)
     slots = [f"Telefone{k}" for k in range(1, p.phone_slots + 1)]
-    cols = [c for c in CONTACT_LIST_COLUMNS if not c.startswith("Telefone")]
-    i = cols.index("Portfolio") + 1
-    return out.select(*cols[:i], *slots, *cols[i:])
+    return out.select(*CONTACT_LIST_HEAD, *slots, *CONTACT_LIST_TAIL)
 
 
 def r07_recent(t: Tables, p: ReportParams) -> DataFrame:
@@ -192,21 +189,22 @@ def r10_collateral(t: Tables, p: ReportParams) -> DataFrame:
     """Distinct chassis count, brand-model list and plate list per active
     registration, most assets first.
 
-    Assets are summarised per contract before the join; registrations that
-    share a contract each get its full summary, as in the reference.
+    Assets are reduced to distinct rows, then summarised per contract, before the
+    join; registrations that share a contract each get its full summary, as in the reference.
     """
-    per_contract = (
-        t.bens.where(P.in_portfolios("cod_cli", p.portfolios))
-        .groupBy(*CONTRACT)
-        .agg(
-            F.count_distinct("chassi").alias("QtdGarantiasUnicas"),
-            distinct_pair_list("marca", "modelo").alias("MarcaModelo"),
-            distinct_list("placa").alias("Placas"),
-        )
+    distinct = (
+        t.bens.where(P.in_portfolios("cod_cli", p.portfolios) & F.col("nmcont").isNotNull())
+        .select(*CONTRACT, "chassi", "marca", "modelo", "placa")
+        .distinct()
+    )
+    per_contract = distinct.groupBy(*CONTRACT).agg(
+        F.size(F.collect_set("chassi")).cast("long").alias("QtdGarantiasUnicas"),
+        distinct_pair_list("marca", "modelo").alias("MarcaModelo"),
+        distinct_list("placa").alias("Placas"),
     )
-    regs = B.registrations(t, p).select(*identity(), "cod_cli")
+    regs = B.registrations(t, p).select(*identity(), "cod_cli").distinct()
     return (
-        regs.join(per_contract, CONTRACT)
+        regs.join(per_contract.repartition(*CONTRACT), CONTRACT)
         .select("cod_cad", "nome", "cpf", "nmcont", "cod_cli", "QtdGarantiasUnicas", "MarcaModelo", "Placas")
         .orderBy(F.col("QtdGarantiasUnicas").desc(), F.col("cod_cad").asc())
     )
@@ -216,25 +214,30 @@ def r11_largest_debts(t: Tables, p: ReportParams) -> DataFrame:
     """Total debt and distinct instalment count per active registration,
     optional minimum total, largest ``top`` first (ties by cod_cad).
 
-    Instalments are summed per contract first (map-side), then joined. The
-    final grouping by the registration columns keeps SQL's result even if a
-    registration row were duplicated (the sum then counts it twice, as the
-    reference's join would).
+    Instalments are summed per contract first; equal registration rows become one
+    with their number, by which the total is multiplied, as the reference's
+    join would. The join stands last, between two exchanges, so a contract shared
+    by very many registrations is split at run time.
     """
-    per_contract = (
-        t.receber.where(P.in_portfolios("cod_cli", p.portfolios))
-        .groupBy(*CONTRACT)
-        .agg(F.count_distinct("fat_parc").alias("n_parc"), F.sum("vlrparc").alias("total"))
+    by_id = (
+        t.receber.where(P.in_portfolios("cod_cli", p.portfolios) & F.col("nmcont").isNotNull())
+        .groupBy(*CONTRACT, "fat_parc")
+        .agg(F.sum("vlrparc").alias("vlr"))
     )
+    per_contract = by_id.groupBy(*CONTRACT).agg(F.count("fat_parc").alias("QtdContratos"), F.sum("vlr").alias("total"))
     regs = B.registrations(t, p).select("cod_cad", "nomecli", "cpfcnpj", *CONTRACT)
-    grouped = (
-        regs.join(per_contract, CONTRACT)
-        .groupBy("cod_cad", "nomecli", "cpfcnpj", "nmcont", "cod_cli")
-        .agg(F.max("n_parc").alias("QtdContratos"), F.sum("total").alias("ValorTotalDivida"))
+    regs = regs.groupBy(*regs.columns).agg(F.count(F.lit(1)).alias("m"))
+    out = regs.join(per_contract.repartition(*CONTRACT), CONTRACT).select(
+        "cod_cad",
+        "nomecli",
+        "cpfcnpj",
+        *CONTRACT,
+        "QtdContratos",
+        (F.col("total") * F.col("m")).cast("decimal(38,2)").alias("ValorTotalDivida"),
     )
     if p.min_total is not None:
-        grouped = grouped.where(F.col("ValorTotalDivida") >= F.lit(p.min_total))
-    return grouped.orderBy(F.col("ValorTotalDivida").desc(), F.col("cod_cad").asc()).limit(p.top)
+        out = out.where(F.col("ValorTotalDivida") >= F.lit(p.min_total))
+    return out.orderBy(F.col("ValorTotalDivida").desc(), F.col("cod_cad").asc()).limit(p.top)
 
 
 @dataclass(frozen=True)
@@ -262,6 +265,3 @@ REPORTS: dict[str, Report] = {
     ]
 }
 
-
-def run(key: str, t: Tables, p: ReportParams) -> DataFrame:
-    return REPORTS[key].build(t, p)

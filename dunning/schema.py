@@ -82,6 +82,9 @@ STCOB = _schema(
     ("bsc", T.StringType()),
 )
 
+# Columns that only the fixture has; a real table may lack them.
+OPTIONAL = ("cod_hist",)
+
 SCHEMAS = {
     "cadastros_tb": CADASTROS,
     "fones_tb": FONES,

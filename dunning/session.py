@@ -1,7 +1,8 @@
 """SparkSession helpers.
 
 On a cluster the session is created by the platform; ``configure`` only fills
-settings that are still unset, so cluster-wide values always win.
+settings that are still unset, so cluster-wide values always win. The session
+time zone is never touched.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
@@ -29,10 +29,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dunning") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dunning", master: str | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, no extra ports)."""
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.master(master or f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -12,21 +12,18 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunning.fixed import MAX_WIDTH, MIN_WIDTH, MONEY_DECIMALS, MONEY_KEYWORDS, WIDTH_PAD, WIDTH_SAMPLE_ROWS  # noqa: F401
+from dunning.fixed import MAX_WIDTH, MIN_WIDTH, MONEY_DECIMALS, MONEY_KEYWORDS, WIDTH_PAD
 
 
-def display_widths(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def display_widths(df: DataFrame) -> DataFrame:
     """Per column: ``max(10, min(longest + 2, 60))`` where ``longest`` is the
     longest text of the header or of any non-null value.
 
-    One aggregation pass computes every column's longest value; the result
-    has one row per column (position, name, width). ``sample_rows`` limits
-    the scan to the first rows (the spreadsheet writer used
-    ``WIDTH_SAMPLE_ROWS``); by default the whole result is measured.
+    One aggregation pass over the whole result computes every column's longest
+    value; the result has one row per column (position, name, width).
     """
-    src = df.limit(sample_rows) if sample_rows is not None else df
     aggs = [F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"l{i}") for i, c in enumerate(df.columns)]
-    longest = src.agg(*aggs)
+    longest = df.agg(*aggs)
     rows = []
     for i, c in enumerate(df.columns):
         top = F.greatest(F.lit(len(c)), F.coalesce(F.col(f"l{i}"), F.lit(0)))
@@ -49,16 +46,24 @@ def money_formatted(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", money_text: bool = False, widths_path: str | None = None) -> int:
     """Write a report and return its row count, observed during the write
-    (no second pass over the data)."""
+    (no second pass over the data).
+
+    ``money_text`` writes money columns as formatted text. ``widths_path`` also writes the
+    column widths of what was written, measured over the written files where
+    they can be read back with their types (not for csv: there over the report itself).
+    """
+    shown = money_formatted(df) if money_text else df
     obs = Observation("report")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    observed = shown.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode(mode)
     if fmt == "csv":
         writer.option("header", "true").csv(path)
-    elif fmt == "parquet":
-        writer.parquet(path)
     else:
         writer.format(fmt).save(path)
-    return int(obs.get["rows"])
+    rows = int(obs.get["rows"])
+    if widths_path is not None:
+        written = shown if fmt == "csv" else df.sparkSession.read.format(fmt).load(path)
+        display_widths(written).coalesce(1).write.mode(mode).option("header", "true").csv(widths_path)  # one row per column
+    return rows

@@ -129,9 +129,7 @@ def derive(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(F.col("n") == 0, F.col("c_mktsegment")).otherwise(F.lit("CDC")).alias("char_5"),
     )
 
-    lop = lo.where((F.col("l_linenumber") == 1) & (lk % 5 == 0)).join(
-        part, F.col("l_partkey") == F.col("p_partkey")
-    )
+    lop = lo.join(part, F.col("l_partkey") == F.col("p_partkey"))
     pk, ps = F.col("p_partkey"), F.col("p_size")
     bens = lop.select(
         _contract(F.col("o_custkey")).alias("nmcont"),

@@ -1,7 +1,8 @@
 """Store the eight tables in the layout the reports read fastest.
 
 * ``hist_tb`` (contact events, the largest table) is partitioned by event day
-  (``dt``), so the 30-day and period windows read only the matching folders.
+  (``HIST_PARTITION``), so the 30-day and period windows read only the matching folders.
+  Readers are told so: ``from_parquet(..., hist_day=HIST_PARTITION)``.
 * Tables whose ``cod_cli`` is the portfolio code (registrations, agreements,
   instalments, complements, assets) are partitioned by it, so the portfolio
   filter every report applies skips the other portfolios' folders.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dunning.sources.tables import Tables
 
-HIST_PARTITION = "dt"
+HIST_PARTITION = "event_day"
 PORTFOLIO_PARTITIONED = ("cadastros_tb", "acordos_tb", "receber_tb", "rec_comp_tb", "bens_tb")
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunning.schema import SCHEMAS
+from dunning.schema import OPTIONAL, SCHEMAS
 
 
 @dataclass(frozen=True)
 class Tables:
+    """``hist_day``: the column of ``hist`` that holds the day of ``data_at``, for tables
+    stored by event day. Only whoever stored the table knows it; it is never guessed."""
+
     cadastros: DataFrame
     fones: DataFrame
     acordos: DataFrame
@@ -21,9 +25,14 @@ class Tables:
     bens: DataFrame
     hist: DataFrame
     stcob: DataFrame
+    hist_day: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.hist_day is not None and self.hist_day not in self.hist.columns:
+            raise ValueError(f"hist_tb has no day column {self.hist_day!r}")
 
     def by_name(self) -> dict[str, DataFrame]:
-        return {f"{f.name}_tb": getattr(self, f.name) for f in fields(self)}
+        return {f"{f.name}_tb": getattr(self, f.name) for f in fields(self) if f.name != "hist_day"}
 
     def register(self) -> None:
         """Expose the tables as temp views under their reference names."""
@@ -32,41 +41,64 @@ class Tables:
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
-    """Select the declared columns in order, cast to the declared types."""
-    schema = SCHEMAS[name]
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """The declared columns in order, cast to the declared types, then any further
+    columns as they are. A column that only the fixture has may be missing."""
+    declared = [f for f in SCHEMAS[name].fields if f.name not in OPTIONAL or f.name in df.columns]
+    extra = [c for c in df.columns if c not in SCHEMAS[name].fieldNames()]
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared], *[F.col(f"`{c}`") for c in extra])
 
 
-def from_parquet(spark: SparkSession, root: str) -> Tables:
+def from_parquet(spark: SparkSession, root: str, hist_day: str | None = None, may_be_empty: Collection[str] = ()) -> Tables:
     """Read ``<root>/<table>`` (a Parquet file or folder) with explicit schemas.
 
-    ``hist_tb`` is best stored partitioned by event date so the 30-day
-    window prunes files; the reader picks partition columns up by itself.
+    ``hist_day`` names the column by whose event day ``hist_tb`` is stored, so that the
+    windows prune files. A folder without data files is an error, as a failed load
+    leaves one, unless the table is listed in ``may_be_empty``.
     """
     dfs = {}
     for name, schema in SCHEMAS.items():
         try:
             df = spark.read.parquet(f"{root}/{name}")
         except AnalysisException as exc:
-            # a partitioned write of an empty table leaves no data file
-            if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            if "UNABLE_TO_INFER_SCHEMA" not in str(exc) or name not in may_be_empty:
                 raise
             df = spark.createDataFrame([], schema)
-        extra = [c for c in df.columns if c not in schema.fieldNames()]  # partition columns
-        dfs[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
-    return _bundle(dfs)
+            if name == "hist_tb" and hist_day is not None:
+                df = df.withColumn(hist_day, F.to_date("data_at"))
+        dfs[name] = _conform(df, name)
+    return _bundle(dfs, hist_day)
 
 
-def from_catalog(spark: SparkSession, database: str | None = None) -> Tables:
+def from_catalog(spark: SparkSession, database: str | None = None, hist_day: str | None = None) -> Tables:
     """Read the tables registered in the session catalog (metastore tables or
     views), e.g. ``database.cadastros_tb``; partition pruning and statistics
     come from the catalog."""
-    dfs = {}
-    for name, schema in SCHEMAS.items():
-        df = spark.table(f"{database}.{name}" if database else name)
-        extra = [c for c in df.columns if c not in schema.fieldNames()]
-        dfs[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
-    return _bundle(dfs)
+    return _bundle({name: _conform(spark.table(f"{database}.{name}" if database else name), name) for name in SCHEMAS}, hist_day)
+
+
+def jdbc_options(
+    url: str,
+    properties: dict[str, str],
+    partitioning: dict[str, tuple[str, int, int, int]] | None = None,
+    single_connection: Collection[str] = (),
+) -> dict[str, dict[str, str]]:
+    """Options of each table's JDBC reader.
+
+    ``partitioning`` maps a table to (column, lower, upper, partitions), so that many
+    tasks read it. A table that is small enough for one connection, and so for one
+    task, must be listed in ``single_connection``; any other is an error.
+    """
+    partitioning = partitioning or {}
+    undecided = sorted(set(SCHEMAS) - set(partitioning) - set(single_connection))
+    if undecided:
+        raise ValueError(f"give a partitioning, or allow a single connection, for: {', '.join(undecided)}")
+    out = {}
+    for name in SCHEMAS:
+        out[name] = {"url": url, "dbtable": name, **properties}
+        if name in partitioning:
+            column, low, high, parts = partitioning[name]
+            out[name] |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return out
 
 
 def from_jdbc(
@@ -74,29 +106,14 @@ def from_jdbc(
     url: str,
     properties: dict[str, str],
     partitioning: dict[str, tuple[str, int, int, int]] | None = None,
+    single_connection: Collection[str] = (),
 ) -> Tables:
-    """Read the tables from a database over JDBC.
+    """Read the tables from a database over JDBC (see ``jdbc_options``).
 
-    ``partitioning`` maps a table name to (column, lower, upper, partitions) so
-    large tables are read by many tasks in parallel instead of one connection.
     Credentials come from ``properties`` (Spark configuration), never a file.
     """
-    partitioning = partitioning or {}
-    dfs = {}
-    for name in SCHEMAS:
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
-        for k, v in properties.items():
-            reader = reader.option(k, v)
-        if name in partitioning:
-            col, lo, hi, n = partitioning[name]
-            reader = (
-                reader.option("partitionColumn", col)
-                .option("lowerBound", str(lo))
-                .option("upperBound", str(hi))
-                .option("numPartitions", str(n))
-            )
-        dfs[name] = _conform(reader.load(), name)
-    return _bundle(dfs)
+    options = jdbc_options(url, properties, partitioning, single_connection)
+    return _bundle({name: _conform(spark.read.format("jdbc").options(**options[name]).load(), name) for name in SCHEMAS})
 
 
 _FIXTURES: dict[tuple, Tables] = {}
@@ -116,5 +133,5 @@ def from_fixture(spark: SparkSession, sf_dir: str) -> Tables:
     return _FIXTURES[key]
 
 
-def _bundle(dfs: dict[str, DataFrame]) -> Tables:
-    return Tables(**{name[: -len("_tb")]: dfs[name] for name in SCHEMAS})
+def _bundle(dfs: dict[str, DataFrame], hist_day: str | None = None) -> Tables:
+    return Tables(**{name[: -len("_tb")]: dfs[name] for name in SCHEMAS}, hist_day=hist_day)

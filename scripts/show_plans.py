@@ -2,7 +2,7 @@
 
 Broadcast joins by estimate are switched off and AQE is off, so every join
 shows as the shuffle join it is at scale (AQE may still pick broadcasts at run
-time from measured sizes). Only the size-checked lookup broadcast remains.
+time from measured sizes).
 
 Usage: python scripts/show_plans.py [--stored] [sf_dir] report ...
 ``--stored`` first writes the tables in the stored layout and plans over them,
@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from dunning.params import FIXTURE_PARAMS  # noqa: E402
 from dunning.plans.reports import REPORTS  # noqa: E402
 from dunning.session import local_session  # noqa: E402
-from dunning.sources.layout import write_tables  # noqa: E402
+from dunning.sources.layout import HIST_PARTITION, write_tables  # noqa: E402
 from dunning.sources.tables import from_fixture, from_parquet  # noqa: E402
 
 SKIP = ("Project", "Filter", "ColumnarToRow", "InputAdapter", "WholeStageCodegen", "Sort ", "Generate")
@@ -67,7 +67,7 @@ def main() -> None:
     if stored:
         root = tempfile.mkdtemp(prefix="dunning-plans-")
         write_tables(t, root, files=4)
-        t = from_parquet(spark, root)
+        t = from_parquet(spark, root, hist_day=HIST_PARTITION)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     for key in args or list(REPORTS):

@@ -37,3 +37,29 @@ def test_cli_explains_a_plan(spark, capsys):
             "--explain"]
     assert main(argv, spark=spark) == 0
     assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_cli_parameters_reach_the_report(spark):
+    from decimal import Decimal
+
+    from dunning.cli import build_params, jdbc_arguments, parse_args
+
+    a = parse_args(["--portfolios", "517", "--infoad", "A, B", "--min-contract-total", "R$ 2.500,75", "--phone-slots", "3",
+                    "--hist-ref-col", "cod_ref", "--zone", "America/Sao_Paulo", "--tables", "jdbc:db://h/d", "--source", "jdbc",
+                    "--jdbc-option", "user=u", "--jdbc-option", "password-conf=spark.my.secret", "--jdbc-partition", "hist_tb:cod_cli:0:99:4",
+                    "--jdbc-single", "stcob_tb"])
+    p = build_params(a)
+    assert (p.infoad, p.min_contract_total, p.phone_slots, p.hist_ref_col, p.zone) == (("A", "B"), Decimal("2500.75"), 3, "cod_ref", "America/Sao_Paulo")
+    got = jdbc_arguments(a, {"spark.my.secret": "s"}.get)
+    assert got == {"url": "jdbc:db://h/d", "properties": {"user": "u", "password": "s"}, "partitioning": {"hist_tb": ("cod_cli", 0, 99, 4)}, "single_connection": ("stcob_tb",)}
+
+
+def test_cli_jdbc_needs_a_decision_per_table(spark, capsys):
+    argv = ["--tables", "jdbc:db://h/d", "--source", "jdbc", "--report", "r01_email", "--portfolios", "517", "--out", "/tmp/x"]
+    assert main(argv, spark=spark) == 2
+    assert "single connection" in capsys.readouterr().err
+
+
+def test_cli_lists_portfolios(capsys):
+    assert main(["--list-portfolios"]) == 0
+    assert capsys.readouterr().out.split() == ["517", "518", "519"]

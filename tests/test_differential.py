@@ -46,6 +46,8 @@ def make_rows(seed: int) -> dict[str, list[tuple]]:
                     d, r.choice([d, d, d - dt.timedelta(days=1)])))
     cad.append((None, "NULL", "00000000000", None, "CT1", 517, "ATI", "AUTO", None, dt.date(2025, 9, 1), dt.date(2025, 9, 1)))
 
+    cad += [r.choice(cad)] * r.randrange(3)  # a repeated registration row
+
     def phone_text():
         kind = r.random()
         if kind < 0.1:

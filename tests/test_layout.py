@@ -6,11 +6,14 @@ from __future__ import annotations
 import tempfile
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from dunning.params import FIXTURE_PARAMS
 from dunning.plans.reports import REPORTS
-from dunning.sources.layout import write_tables
+from dunning.sources.layout import HIST_PARTITION, PORTFOLIO_PARTITIONED, write_tables
 from dunning.sources.tables import from_fixture, from_parquet
+from dunning.schema import SCHEMAS
 from tests.conftest import SMOKE
 
 
@@ -18,7 +21,7 @@ from tests.conftest import SMOKE
 def stored(spark):
     root = tempfile.mkdtemp(prefix="dunning-layout-")
     write_tables(from_fixture(spark, SMOKE), root, files=2)
-    return from_parquet(spark, root)
+    return from_parquet(spark, root, hist_day=HIST_PARTITION)
 
 
 @pytest.mark.parametrize("key", sorted(REPORTS))
@@ -32,8 +35,8 @@ def test_stored_tables_give_the_same_reports(spark, stored, key):
 @pytest.mark.parametrize("key", ["r05_cpc_period", "r06_no_history_30d", "r08_never_contacted"])
 def test_history_windows_prune_day_partitions(stored, key):
     text = REPORTS[key].build(stored, FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "dt" in line]
-    assert scans and all("PartitionFilters: [isnotnull(dt" in s and "(dt#" in s for s in scans)
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "hist_tb" in line]
+    assert scans and all("PartitionFilters: [isnotnull(event_day" in s and "(event_day#" in s for s in scans)
 
 
 def test_a_busy_day_is_written_by_several_tasks(spark, make_tables):
@@ -51,9 +54,49 @@ def test_a_busy_day_is_written_by_several_tasks(spark, make_tables):
         write_tables(t, root)
     finally:
         spark.conf.set(key, before)
-    files = glob.glob(f"{root}/hist_tb/dt=2025-09-10/*.parquet")
+    files = glob.glob(f"{root}/hist_tb/event_day=2025-09-10/*.parquet")
     assert len(files) >= 2
-    assert from_parquet(spark, root).hist.count() == 2000
+    assert from_parquet(spark, root, HIST_PARTITION, PORTFOLIO_PARTITIONED).hist.count() == 2000
+
+
+def test_a_day_column_of_another_meaning_is_not_used(spark, make_tables):
+    """A column that happens to be called dt (a load day) filters nothing."""
+    import datetime as dt
+
+    cad = (1, "N", "1", None, "CT1", 517, "ATI", None, None, None, None)
+    at = dt.datetime(2025, 8, 20, 23, 50)
+    t = make_tables(cadastros=[cad], hist=[(1, 1, at, "click", "5")], stcob=[("click", "CPC")])
+    root = tempfile.mkdtemp(prefix="dunning-layout-load-")
+    for name, df in t.by_name().items():
+        df = df.withColumn("dt", F.lit(dt.date(2025, 8, 21))).drop("cod_hist") if name == "hist_tb" else df
+        df.write.parquet(f"{root}/{name}")
+    read = from_parquet(spark, root)
+    assert "dt" in read.hist.columns and "cod_hist" not in read.hist.columns
+    assert REPORTS["r05_cpc_period"].build(read, FIXTURE_PARAMS).count() == 1
+    with pytest.raises(ValueError):
+        from_parquet(spark, root, hist_day="no_such_day")
+
+
+def test_an_emptied_folder_is_an_error(spark, make_tables):
+    root = tempfile.mkdtemp(prefix="dunning-layout-empty-")
+    t = make_tables()
+    for name, df in t.by_name().items():
+        (df.write.partitionBy("ocorr") if name == "hist_tb" else df.write).parquet(f"{root}/{name}")
+    with pytest.raises(AnalysisException):
+        from_parquet(spark, root)
+    assert from_parquet(spark, root, may_be_empty=("hist_tb",)).hist.count() == 0
+
+
+def test_jdbc_options_need_a_decision_per_table():
+    from dunning.sources.tables import jdbc_options
+
+    parts = {"hist_tb": ("cod_cli", 0, 1000, 16)}
+    with pytest.raises(ValueError, match="acordos_tb"):
+        jdbc_options("jdbc:x", {}, parts)
+    rest = tuple(n for n in SCHEMAS if n != "hist_tb")
+    made = jdbc_options("jdbc:x", {"user": "u"}, parts, rest)
+    assert made["hist_tb"] == {"url": "jdbc:x", "dbtable": "hist_tb", "user": "u", "partitionColumn": "cod_cli", "lowerBound": "0", "upperBound": "1000", "numPartitions": "16"}
+    assert made["stcob_tb"] == {"url": "jdbc:x", "dbtable": "stcob_tb", "user": "u"}
 
 
 def test_catalog_source_reads_registered_tables(spark):
@@ -81,28 +124,6 @@ def test_filters_reach_the_parquet_reader(stored):
     assert all("email" not in s.split("ReadSchema:")[1] for s in cad)
 
 
-def test_runtime_bloom_filter_prunes_phones_before_ranking(spark, stored):
-    """At scale (large phone scans) Spark builds a bloom filter from the
-    selected registrations and applies it to the phone scan, through the
-    ranking window and the pivot, before any shuffle."""
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
-    }
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        plan = REPORTS["r07_recent"].build(stored, FIXTURE_PARAMS)._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    phone_filters = [line for line in plan.splitlines() if "RLIKE(concat(dddfone" in line]
-    # the filter above the phone scan carries the bloom filter (other copies of
-    # the predicate can sit inside bloom-filter creation subqueries)
-    assert any("might_contain" in line and "xxhash64(cod_cad" in line for line in phone_filters)
-
-
 def test_portfolio_filter_prunes_partitions(stored):
     text = REPORTS["r11_largest_debts"].build(stored, FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in text.splitlines() if "FileScan parquet" in line]

@@ -15,6 +15,10 @@ from tests.conftest import SMOKE
 RAW = "region nation customer supplier part orders lineitem events".split()
 
 
+# the training-data queries have tests of their own, in tests/llm
+REFERENCE = [k for k in E.queries() if not k.startswith("op") and k != "pipeline"]
+
+
 def _norm(v):
     if v is None:
         return "<null>"
@@ -35,10 +39,10 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(REFERENCE) <= set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(REFERENCE))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SMOKE)
     rel = duck.sql(E.oracle_sql()[name])

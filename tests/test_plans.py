@@ -1,11 +1,12 @@
 """Physical-plan checks: built-in operators only, no pair explosion, map-side
-limits and a size-checked lookup broadcast."""
+limits, one scan of a NOT IN list."""
 
 from __future__ import annotations
 
 import pytest
 
 from dunning.params import FIXTURE_PARAMS
+from dunning.plans.catalog import EXTRA
 from dunning.plans.reports import REPORTS
 from dunning.sources.tables import from_fixture
 from tests.conftest import SMALL
@@ -40,11 +41,21 @@ def test_latest_agreement_limits_before_the_shuffle(tables):
     assert "WindowGroupLimit" in text
 
 
-def test_lookup_is_broadcast_after_a_size_check(tables):
-    text = plan_text(REPORTS["r05_cpc_period"].build(tables, FIXTURE_PARAMS))
+def test_lookup_is_broadcast_by_its_measured_size(tables):
+    df = REPORTS["r05_cpc_period"].build(tables, FIXTURE_PARAMS)
+    df.collect()
+    text = plan_text(df)
     assert "BroadcastHashJoin" in text and "LeftSemi" in text
 
 
+@pytest.mark.parametrize("build", [REPORTS["r06_no_history_30d"].build, EXTRA["b05_contract_values"]])
+def test_not_in_list_is_read_once(tables, build):
+    """The null and empty tests reuse the exchange of the list that the anti join reads."""
+    df = build(tables, FIXTURE_PARAMS)
+    df.collect()
+    assert "ReusedExchange [__not_in_key" in plan_text(df)
+
+
 def test_history_is_aggregated_before_the_join(tables):
     df = REPORTS["r05_cpc_period"].build(tables, FIXTURE_PARAMS)
     text = df._jdf.queryExecution().optimizedPlan().toString()

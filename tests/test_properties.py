@@ -47,7 +47,7 @@ def test_largest_debts_top_and_order(tables):
 
 def test_no_history_excludes_recent_human_events(tables):
     df = run(tables, "r06_no_history_30d")
-    recent = tables.hist.where(P.since_ts("data_at", FIXTURE_PARAMS.as_of) & P.human_user("cod_usu"))
+    recent = tables.hist.where((F.col("data_at") >= P.days_before(FIXTURE_PARAMS.as_of)) & P.human_user("cod_usu"))
     assert df.join(recent, df.cod_cad == recent.cod_cli, "left_semi").count() == 0
     assert df.count() > 0
 

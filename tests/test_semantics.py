@@ -324,12 +324,15 @@ def test_largest_debts_ties_break_by_registration(make_tables):
 @pytest.mark.parametrize(
     "text,value",
     [
-        ("10000", "10000"),
-        ("10000.50", "10000.50"),
-        ("10.000", "10.000"),  # no comma: the dot is a decimal point
-        ("10.000,50", "10000.50"),
-        ("R$ 10.000,50", "10000.50"),
-        ("  R$1.234.567,8 ", "1234567.8"),
+        ("7", "7"),
+        ("82.25", "82.25"),
+        ("3.750", "3.750"),  # no comma: a single dot starts the decimals
+        ("3.750,", "3750"),
+        ("R$ 48.006,1", "48006.1"),
+        ("  R$12.345.678,90 ", "12345678.90"),
+        ("- 12 500,5", "-12500.5"),
+        (",5", "0.5"),
+        (".5", "0.5"),
     ],
 )
 def test_money_text(spark, text, value):
@@ -338,10 +341,12 @@ def test_money_text(spark, text, value):
     assert row.v == Decimal(value)
 
 
-@pytest.mark.parametrize("text", ["", "   ", "abc", "1,2,3", None])
+@pytest.mark.parametrize("text", ["", "   ", "abc", "1,2,3", "1.2.3", "R$", ",", ".", "1e5", "٣", None])
 def test_money_text_rejects(spark, text):
     with pytest.raises(ValueError):
         S.parse_money_text(text)
+    (row,) = spark.createDataFrame([(text,)], "t string").select(S.money_from_text("t").alias("v")).collect()
+    assert row.v is None
 
 
 def test_date_text(spark):
@@ -386,3 +391,67 @@ def test_history_reference_column_is_a_parameter(make_tables):
     )
     assert [r.cod_cad for r in R.r05_cpc_period(t, P).collect()] == [1]
     assert [r.cod_cad for r in R.r05_cpc_period(t, P.with_(hist_ref_col="cod_hist")).collect()] == [2]
+
+
+def test_last_contact_always_reads_cod_cli(make_tables):
+    t = make_tables(
+        cadastros=[cad(1), cad(2)],
+        hist=[(2, 1, TS(2025, 8, 16), "click", "5"), (1, 2, TS(2025, 8, 17), "view", "5")],
+        stcob=[("click", "CPC"), ("view", "sistema")],
+    )
+    p = P.with_(hist_ref_col="cod_hist")
+    assert {r.nmcont for r in B.b13_last_contact(t, p).collect()} == {"CT1"}
+    assert {r.nmcont for r in B.b13_last_contact(t, p, cpc_only=False).collect()} == {"CT1", "CT2"}
+
+
+def test_contract_minimum_belongs_to_the_broken_report(make_tables):
+    c1, i1 = contract("CT1")
+    t = make_tables(cadastros=[cad(1, data_cad=D(2025, 9, 15))], fones=[phone(1, "912345601")], rec_comp=[c1], receber=[i1], acordos=[aco(1, "CT1", "Q")])
+    p = P.with_(min_contract_total=Decimal("1000"))
+    counts = [f(t, p).count() for f in (R.r07_recent, R.r08_never_contacted, R.r09_broken_rejected)]
+    assert counts == [1, 1, 0] and B.b05_contract_values(t, p).count() == 1
+
+
+def test_repeated_registration_rows(make_tables):
+    """Reports that the reference groups give one row; phones of R03 fill as many slots as there are rows."""
+    c1, i1 = contract("CT1", vlr="10.00")
+    t = make_tables(
+        cadastros=[cad(1, data_cad=D(2025, 9, 15))] * 2,
+        fones=[phone(1, "912345601"), phone(1, "912345602", status=4)],
+        rec_comp=[c1],
+        receber=[i1],
+        bens=[bem("CT1", "A", "y", "P1", "C2")],
+        hist=[(1, 1, TS(2025, 8, 16), "click", "5")],
+        stcob=[("click", "CPC")],
+    )
+    (r3,) = R.r03_phones_top7(t, P).collect()
+    assert [r3[f"Telefone{k}"] for k in range(1, 6)] == ["11912345601", "11912345601", "11912345602", "11912345602", None]
+    for report in (R.r05_cpc_period, R.r07_recent, R.r08_never_contacted, R.r10_collateral):
+        assert report(t, P).count() == 1, report.__name__
+    (debt,) = R.r11_largest_debts(t, P).collect()
+    assert (debt.QtdContratos, debt.ValorTotalDivida) == (1, Decimal("20.00"))
+    assert R.r01_email(t, P).count() == 2
+
+
+def test_default_clock_is_wall_time_in_its_zone(spark, make_tables):
+    """Without as_of, "now" is read in the session's or the given zone, and the session's zone stays."""
+    from zoneinfo import ZoneInfo
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for session, zone in (("Asia/Tokyo", None), ("UTC", "America/Sao_Paulo"), ("Asia/Tokyo", "UTC")):
+        spark.conf.set("spark.sql.session.timeZone", session)
+        try:
+            now = TS.now(ZoneInfo(zone or session)).replace(tzinfo=None)
+            inside, outside = now - dt.timedelta(days=30, minutes=-10), now - dt.timedelta(days=30, minutes=10)
+            t = make_tables(cadastros=[cad(1), cad(2)], hist=[(1, 1, inside, "click", "5"), (2, 2, outside, "click", "5")])
+            got = [r.cod_cad for r in R.r06_no_history_30d(t, ReportParams(portfolios=(517,), zone=zone)).collect()]
+            assert got == [2], (session, zone)
+            assert spark.conf.get("spark.sql.session.timeZone") == session
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_configure_leaves_the_time_zone_alone(spark):
+    from dunning.session import DEFAULTS
+
+    assert "spark.sql.session.timeZone" not in DEFAULTS

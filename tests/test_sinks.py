@@ -29,3 +29,14 @@ def test_money_formatted_only_numeric_money_columns(spark):
     )
     (row,) = money_formatted(df).collect()
     assert (row.ValorTotalDivida, row.TipoAcordo, row.qtd) == ("1,234,567.50", "acordo", 3)
+
+
+def test_write_report_money_text_and_widths(spark):
+    df = spark.createDataFrame([(Decimal("1234567.5"), "a"), (None, "b" * 90)], "valor decimal(18,2), nome string")
+    out = tempfile.mkdtemp(prefix="dunning-sink-money-")
+    for fmt in ("parquet", "csv"):
+        assert write_report(df, f"{out}/{fmt}", fmt=fmt, money_text=True, widths_path=f"{out}/{fmt}_widths") == 2
+        back = spark.read.format(fmt).option("header", "true").load(f"{out}/{fmt}")
+        assert {r.valor for r in back.collect()} == {"1,234,567.50", None}
+        widths = spark.read.option("header", "true").csv(f"{out}/{fmt}_widths").orderBy("posicao").collect()
+        assert [(r.coluna, int(r.largura)) for r in widths] == [("valor", 14), ("nome", 60)]

@@ -13,9 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dunning.params import FIXTURE_PARAMS
+from dunning.plans import blocks as B
 from dunning.plans.reports import REPORTS
 from dunning.schema import SCHEMAS
-from dunning.sources.tables import Tables
+from dunning.sources.tables import Tables, from_fixture
+from tests.conftest import SMOKE
 
 TASKS = 8
 COLD_KEYS = 5000
@@ -85,6 +87,103 @@ def test_hot_registration_phones(spark, base):
     assert written and max(written) <= n_cold + 7 * TASKS
 
 
+def test_one_phone_repeated_on_one_registration(spark, base):
+    n_hot, n_cold = 60_000, 120_000
+    ids, key = _rows(spark, n_hot, n_cold)
+    hot = F.col("id") < n_hot
+    fones = ids.select(
+        key.alias("cod_cad"),
+        F.lit("11").alias("dddfone"),
+        F.when(hot, F.lit("912345678")).otherwise(F.concat(F.lit("9"), F.lpad((F.col("id") * 7919 % 99999989).cast("string"), 8, "0"))).alias("telefone"),
+        F.lit(2).alias("status"),
+        F.lit("ok").alias("obs"),
+    )
+    t = Tables(**{**base, "fones": fones})
+    df = B.b07_ranked_phones(t, FIXTURE_PARAMS)
+    written = shuffle_records(df)
+    # repeats leave on the map side: one row of the hot phone per task
+    assert written and max(written) <= n_cold + TASKS
+    assert df.where("cod_cad = 1").count() == 1
+
+
+def skewed_joins(spark, df) -> tuple[int, int]:
+    """(joins marked as skewed, sort-merge joins) of the executed plan, with thresholds that fit the test's sizes."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df().write.format("noop").mode("overwrite").save()
+        made = df()
+        made.collect()
+        text = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return text.count("SortMergeJoin(skew=true)"), text.count("SortMergeJoin")
+
+
+@pytest.fixture(scope="module")
+def shared_contract(spark, base):
+    """A third of all registrations share contract CT0."""
+    n = 60_000
+    shared = F.col("id") < n // 3
+    cad = spark.range(0, n, numPartitions=TASKS).select(
+        F.col("id").alias("cod_cad"),
+        F.concat(F.lit("Name "), F.md5(F.col("id").cast("string"))).alias("nomecli"),
+        F.md5(F.col("id").cast("string")).alias("cpfcnpj"),
+        F.lit(None).cast("string").alias("email"),
+        F.concat(F.lit("CT"), F.when(shared, F.lit(0)).otherwise(F.col("id")).cast("string")).alias("nmcont"),
+        F.lit(517).alias("cod_cli"),
+        F.lit("ATI").alias("stcli"),
+        F.lit("A").alias("infoad"),
+        F.lit(None).cast("date").alias("nascto"),
+        F.lit(dt.date(2025, 9, 1)).alias("data_cad"),
+        F.lit(dt.date(2025, 9, 1)).alias("data_arq"),
+    )
+    contracts = cad.select("nmcont", "cod_cli").distinct()
+    return Tables(
+        **{
+            **base,
+            "cadastros": cad,
+            "fones": cad.select("cod_cad", F.lit("11").alias("dddfone"), F.concat(F.lit("9"), F.lpad(F.col("cod_cad").cast("string"), 8, "0")).alias("telefone"), F.lit(2).alias("status"), F.lit("ok").alias("obs")),
+            "receber": contracts.select("nmcont", "cod_cli", F.lit("1/1").alias("fat_parc"), F.lit(10).cast("decimal(18,2)").alias("vlrparc")),
+            "rec_comp": contracts.select("nmcont", "cod_cli", F.lit(1).alias("int_2"), F.lit("CDC").alias("char_5")),
+        }
+    )
+
+
+def test_a_contract_of_a_third_of_all_registrations_is_split(spark, shared_contract):
+    t = shared_contract
+    plain = lambda: t.cadastros.select("nmcont", "cod_cad", "nomecli").join(t.receber, "nmcont")
+    assert skewed_joins(spark, plain)[0] == 1  # the control: a plain join is split
+    for key in ("r07_recent", "r08_never_contacted", "r11_largest_debts"):
+        marked, joins = skewed_joins(spark, lambda k=key: REPORTS[k].build(t, FIXTURE_PARAMS.with_(min_total=None)))
+        assert marked >= 1, (key, marked, joins)
+
+
+@pytest.mark.parametrize("key", ["r07_recent", "r08_never_contacted", "r09_broken_rejected"])
+def test_instalments_of_settled_contracts_reach_no_list(spark, key):
+    """They leave at the join with the unsettled contracts, below the list aggregate."""
+    setting = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "500")
+    try:
+        df = REPORTS[key].build(from_fixture(spark, SMOKE), FIXTURE_PARAMS)
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    below = text[text.index("collect_list(fat_parc") :]
+    instalments = below[: below.index("l_extendedprice")]
+    assert "Join Inner, ((nmcont" in instalments and "IN (P,G,A)" in instalments or key == "r09_broken_rejected" and "IN (Q,E)" in instalments
+
+
 def test_hot_registration_history(spark, base):
     n_hot, n_cold = 50_000, 100_000
     ids, key = _rows(spark, n_hot, n_cold)
