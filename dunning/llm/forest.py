@@ -36,16 +36,18 @@ from dunning.llm.common import checkpointed, narrow
 
 TREES, BITS = 24, 32
 CERTAINTY = 0.98
-FOREST_ROWS, QUERY_ROWS = 4096, 1024
+FOREST_ROWS, QUERY_ROWS = 65_536, 512
+#: Queries that reach the root are searched together, so many at once.
+ROOT_QUERIES = 64
 SEED = 1
 #: Prefix length from which on upwards a forest is scanned whole: there its trees' parts cover it.
 ROOT = 3
 
 
 def clean(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): the vectors that take part, as arrays of double, one per id."""
+    """(vec_id, v): the vectors that take part, one per id."""
     rows = narrow(df, vec_id=vec_id, v=vector).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
+    rows = rows.withColumn("vec_id", F.col("vec_id").cast("long"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("v", lambda x: x != 0)
     rows = rows.where(~F.coalesce(bad, F.lit(False)) & ~F.coalesce(zero, F.lit(False)) & (F.size("v") > 0))
@@ -121,17 +123,20 @@ class Forest:
             low = own >> rest << rest
             lows.append(np.stack([np.searchsorted(s, q) for s, q in zip(self.sorted, low, strict=True)]))
             highs.append(np.stack([np.searchsorted(s, q, "right") for s, q in zip(self.sorted, low + (np.uint64(1) << rest) - np.uint64(1), strict=True)]))
-        out = []
+        out, root = [], []
         for q in range(len(queries)):
             seen = np.zeros(n, bool)
             places, scores, worst = [], [], -math.inf
             length = int(longest[q])
             while True:
                 if length <= ROOT:
-                    new = np.flatnonzero(~seen)
-                else:
-                    new = np.unique(np.concatenate([self.order[t, lows[length][t, q] : highs[length][t, q]] for t in range(self.trees)]))
-                    new = new[~seen[new]]
+                    root.append(q)
+                    break
+                new = np.concatenate([self.order[t, lows[length][t, q] : highs[length][t, q]] for t in range(self.trees)])
+                fresh = np.zeros(n, bool)
+                fresh[new] = True
+                fresh &= ~seen
+                new = np.flatnonzero(fresh)
                 seen[new] = True
                 new = new[self.ids[new] != ids[q]]
                 if len(new):
@@ -139,20 +144,33 @@ class Forest:
                     scores.append(self.vectors[new] @ queries[q])
                     if sum(map(len, places)) >= k:
                         worst = np.partition(np.concatenate(scores), -k)[-k]
-                if length <= ROOT or (worst > -math.inf and self.depth(worst, lengths[q], certainty) >= length):
+                if worst == -math.inf:
+                    length -= 1
+                    continue
+                depth = self.depth(worst, lengths[q], certainty)
+                if depth >= length:
+                    place, score = np.concatenate(places), np.concatenate(scores)
+                    out.append(self._best(q, queries[q], place[score >= worst - self._slack(lengths[q])], k))
                     break
-                length -= 1
-            if not places:
-                continue
-            place, score = np.concatenate(places), np.concatenate(scores)
-            slack = 1e-9 * lengths[q] * self.longest
-            place = place[score >= worst - slack]
-            score = exact(self.vectors[place], queries[q])
-            best = nearest(self.ids[place], score, k)
-            out.append((np.full(len(best), q), self.ids[place][best], score[best]))
-        if not out:
-            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                # one bit up; straight to the root if nothing below it can be certain enough
+                length = length - 1 if depth > ROOT else ROOT
+        for start in range(0, len(root), ROOT_QUERIES):
+            part = np.array(root[start : start + ROOT_QUERIES])
+            scores = queries[part] @ self.vectors.T
+            scores[ids[part][:, None] == self.ids[None, :]] = -math.inf
+            worst = np.partition(scores, -min(k, n), axis=1)[:, -min(k, n)]
+            for q, score, low in zip(part, scores, worst, strict=True):
+                out.append(self._best(q, queries[q], np.flatnonzero((score >= low - self._slack(lengths[q])) & (score > -math.inf)), k))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+
+    def _slack(self, length: float) -> float:
+        """More than the summing order can change an inner product."""
+        return 1e-9 * length * self.longest
+
+    def _best(self, q: int, query: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = exact(self.vectors[place], query)
+        best = nearest(self.ids[place], score, k)
+        return np.full(len(best), q), self.ids[place][best], score[best]
 
 
 def _meet(longest: float, k: int, certainty: float):
@@ -174,7 +192,7 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     by_size = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     dims = by_size.dims if by_size else 0
     rows = rows.where(F.size("v") == dims)
-    facts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("square")).first()
     forests, blocks = max(1, math.ceil(facts.n / FOREST_ROWS)), max(1, math.ceil(facts.q / QUERY_ROWS))
     forest = F.pmod(F.xxhash64("vec_id"), F.lit(forests))
     block = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(blocks))
