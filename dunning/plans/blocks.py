@@ -131,21 +131,29 @@ def settled_list_has_null(t: Tables, p: ReportParams) -> Column:
 
 
 # ------------------------------------------------------------------- assets
-def b06_collateral_summary(t: Tables, p: ReportParams) -> DataFrame:
+def b06_collateral_summary(t: Tables, p: ReportParams, null_contract: bool = True) -> DataFrame:
     """Per contract: one asset row and the count of distinct chassis.
 
+    ``null_contract=False`` leaves out assets without a contract; then both parts are
+    partitioned alike and meet without another exchange.
+
     The reference takes the non-grouped columns from an arbitrary row; here
     the row is the least (chassi, placa, marca, modelo, cor, anofab,
     anomodelo), nulls first, so the result is deterministic.
     """
     assets = t.bens.where(P.in_portfolios("cod_cli", p.portfolios))
+    if not null_contract:
+        assets = assets.where(F.col("nmcont").isNotNull())
     order = [F.col(c).asc_nulls_first() for c in ("chassi", "placa", "marca", "modelo", "cor", "anofab", "anomodelo")]
     pick = latest_per_key(assets, CONTRACT, order)
     chassis = assets.select(*CONTRACT, "chassi").distinct()
     count = chassis.groupBy(*CONTRACT).agg(F.count("chassi").alias("QtdGarantiasUnicas"))
-    count = count.select(F.col("nmcont").alias("n_nmcont"), F.col("cod_cli").alias("n_cod_cli"), "QtdGarantiasUnicas")
-    same = F.col("nmcont").eqNullSafe(F.col("n_nmcont")) & (F.col("cod_cli") == F.col("n_cod_cli"))
-    return pick.join(count, same).select(
+    if null_contract:
+        count = count.select(F.col("nmcont").alias("n_nmcont"), F.col("cod_cli").alias("n_cod_cli"), "QtdGarantiasUnicas")
+        both = pick.join(count, F.col("nmcont").eqNullSafe(F.col("n_nmcont")) & (F.col("cod_cli") == F.col("n_cod_cli")))
+    else:
+        both = pick.join(count, CONTRACT)
+    return both.select(
         *CONTRACT,
         S.concat_text("marca", F.lit(PAIR_JOINER), "modelo").alias("MarcaModelo"),
         "placa",

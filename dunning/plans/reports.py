@@ -89,12 +89,8 @@ def r05_cpc_period(t: Tables, p: ReportParams) -> DataFrame:
     """Last right-party contact per active registration, optionally within
     inclusive start/end dates."""
     last = B.last_event_per_registration(t, p, cpc_only=True, bounded=True, ref=p.hist_ref_col)
-    regs = B.registrations(t, p).select(*identity())
-    return (
-        regs.join(last, "cod_cad")
-        .groupBy("cod_cad", "nome", "cpf", "nmcont")
-        .agg(F.max("dt_ultimo_cpc").alias("dt_ultimo_cpc"))
-    )
+    regs = B.registrations(t, p).select(*identity()).distinct()
+    return regs.join(last, "cod_cad").select("cod_cad", "nome", "cpf", "nmcont", "dt_ultimo_cpc")
 
 
 def r06_no_history_30d(t: Tables, p: ReportParams) -> DataFrame:
@@ -129,7 +125,7 @@ def _contracts(t: Tables, p: ReportParams, kind: str) -> DataFrame:
     else:
         side = side.join(latest, "nmcont", "left").where(~P.settled("a_staco"))
     side = side.where(~B.settled_list_has_null(t, p))
-    side = side.join(B.b06_collateral_summary(t, p), CONTRACT, "left")
+    side = side.join(B.b06_collateral_summary(t, p, null_contract=False), CONTRACT, "left")
     side = side.select(
         *CONTRACT,
         "n_comp",
