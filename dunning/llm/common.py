@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 #: Rows and bytes of text handed to a kernel at once (a longer text goes alone); bounds a
 #: Python worker's memory, not the work.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
+HASH_RANGE = 1 << 40
+#: Times the sample that is sorted for it.
+SPARE = 8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +104,20 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+def hash_order(key: str, seed: int) -> Column:
+    """Seeded order of keys, from 0 to below ``HASH_RANGE``."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(HASH_RANGE))
+
+
+def likely_first(key: str, seed: int, rows: int, different: Column) -> Column:
+    """Holds for the first few times ``rows`` of ``different`` keys in hash order, and for
+    all of a small number: what a sample of ``rows`` can come from, so that its
+    sort does not grow with the input."""
+    return hash_order(key, seed) < F.least(F.lit(1.0), F.lit(SPARE * rows) / F.greatest(different, F.lit(1))) * HASH_RANGE
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """The ``rows`` rows with the smallest seeded hash of ``key``."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    return df.orderBy(order, F.col(key)).limit(rows)
+    different = df.agg(F.approx_count_distinct(key)).first()[0]
+    near = df.where(likely_first(key, seed, rows, F.lit(different)))
+    return near.orderBy(hash_order(key, seed), F.col(key)).limit(rows)

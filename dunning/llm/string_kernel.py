@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunning.llm.common import add_columns, checkpointed, narrow
+from dunning.llm.common import add_columns, checkpointed, hash_order, likely_first, narrow
 from dunning.llm.hashing import Lookup
 
 ORDERS = 3
@@ -142,8 +142,10 @@ def train(documents: DataFrame, learn: Column | None = None, doc_id: str = "doc_
     docs = narrow(documents, doc_id=doc_id, text=text, lang=lang).where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     if learn is not None:
         docs = docs.where(learn)
-    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
-    ranked = docs.select("doc_id", "lang").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rn") <= DOCS_PER_LANG)
+    order = [hash_order("doc_id", SEED), F.col("doc_id")]
+    sizes = docs.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("different"))  # one row per language
+    near = docs.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(likely_first("doc_id", SEED, DOCS_PER_LANG, F.col("different")))
+    ranked = near.select("doc_id", "lang").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rn") <= DOCS_PER_LANG)
     chosen = ranked.orderBy("rn", *order).limit(SAMPLE_DOCS).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "rn")
     sample = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))  # at most SAMPLE_DOCS rows
     sample = checkpointed(sample.select("doc_id", "lang", "text", "rn").limit(2 * SAMPLE_DOCS))
