@@ -68,6 +68,11 @@ CONTACT_LIST_TAIL = (
     "UltimoValorAcordado", "TipoAcordo", "DataCriacaoGecobi", "StatusUltimoAcordo",
 )
 AGREEMENT_COLUMNS = CONTACT_LIST_TAIL[-4:]
+AGREEMENT_VALUE, AGREEMENT_KIND, AGREEMENT_CREATED, AGREEMENT_STATUS = AGREEMENT_COLUMNS
+
+# Columns that the reference's agreement blocks select.
+LATEST_BY_PORTFOLIO_COLUMNS = ("nmcont", "cod_cli", "cod_aco", "data_cad", "vlr_aco", "qtd_p_aco", "staco")
+LATEST_COLUMNS = ("nmcont", "cod_aco", "data_aco", "data_cad", "vlr_aco", "qtd_p_aco", "staco")
 
 # Largest debts: rows kept.
 TOP = 50

@@ -11,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dunning.fixed import AGREEMENT_COLUMNS, DOWN_PAYMENT, PAIR_JOINER, RIGHT_PARTY, YEAR_JOINER
+from dunning.fixed import (
+    AGREEMENT_CREATED,
+    AGREEMENT_KIND,
+    AGREEMENT_STATUS,
+    AGREEMENT_VALUE,
+    DOWN_PAYMENT,
+    PAIR_JOINER,
+    RIGHT_PARTY,
+    YEAR_JOINER,
+)
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import anti_join, not_in
@@ -53,9 +62,13 @@ def b03_settled_contracts(latest: DataFrame) -> DataFrame:
 
 def agreement_columns(staco: str, vlr: str, qtd: str, data_cad: str) -> list[Column]:
     """The four agreement columns of a labelled latest agreement; null where the status has no label."""
-    values = (F.col(vlr), S.lump_or_instalments_strict(qtd), S.date_text(data_cad), S.agreement_label(staco))
-    order = dict(zip(("UltimoValorAcordado", "TipoAcordo", "DataCriacaoGecobi", "StatusUltimoAcordo"), values, strict=True))
-    return [F.when(P.known(staco), order[name]).alias(name) for name in AGREEMENT_COLUMNS]
+    values = {
+        AGREEMENT_VALUE: F.col(vlr),
+        AGREEMENT_KIND: S.lump_or_instalments_strict(qtd),
+        AGREEMENT_CREATED: S.date_text(data_cad),
+        AGREEMENT_STATUS: S.agreement_label(staco),
+    }
+    return [F.when(P.known(staco), v).alias(name) for name, v in values.items()]
 
 
 def b04_agreement_status(latest: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dunning.fixed import LATEST_BY_PORTFOLIO_COLUMNS, LATEST_COLUMNS
 from dunning.functions import scalars as S
 from dunning.params import ReportParams
 from dunning.plans import blocks as B
@@ -29,15 +30,11 @@ def _scan(attr: str) -> Query:
 
 # ------------------------------------------------------------------- blocks
 def b01(t: Tables, p: ReportParams) -> DataFrame:
-    return B.b01_latest_agreement_by_portfolio(t, p).select(
-        "nmcont", "cod_cli", "cod_aco", "data_cad", "vlr_aco", "qtd_p_aco", "staco"
-    )
+    return B.b01_latest_agreement_by_portfolio(t, p).select(*LATEST_BY_PORTFOLIO_COLUMNS)
 
 
 def b02(t: Tables, p: ReportParams) -> DataFrame:
-    return B.b02_latest_agreement(t, p).select(
-        "nmcont", "cod_aco", "data_aco", "data_cad", "vlr_aco", "qtd_p_aco", "staco"
-    )
+    return B.b02_latest_agreement(t, p).select(*LATEST_COLUMNS)
 
 
 def b03(t: Tables, p: ReportParams) -> DataFrame:

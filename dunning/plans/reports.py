@@ -12,7 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunning.fixed import AGREEMENT_COLUMNS, CONTACT_LIST_HEAD, CONTACT_LIST_TAIL
+from dunning.fixed import (
+    AGREEMENT_COLUMNS,
+    AGREEMENT_CREATED,
+    AGREEMENT_KIND,
+    AGREEMENT_VALUE,
+    CONTACT_LIST_HEAD,
+    CONTACT_LIST_TAIL,
+)
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import not_in
@@ -75,10 +82,10 @@ def r04_agreements_open(t: Tables, p: ReportParams) -> DataFrame:
             "nmcont",
             "cod_cli",
             "cod_aco",
-            S.date_text("data_cad").alias("DataCriacaoGecobi"),
-            F.col("vlr_aco").alias("UltimoValorAcordado"),
+            S.date_text("data_cad").alias(AGREEMENT_CREATED),
+            F.col("vlr_aco").alias(AGREEMENT_VALUE),
             "qtd_p_aco",
-            S.lump_or_instalments("qtd_p_aco").alias("TipoAcordo"),
+            S.lump_or_instalments("qtd_p_aco").alias(AGREEMENT_KIND),
             "staco",
         )
         .orderBy(F.col("cod_aco").desc())

@@ -34,11 +34,6 @@ class Tables:
     def by_name(self) -> dict[str, DataFrame]:
         return {f"{f.name}_tb": getattr(self, f.name) for f in fields(self) if f.name != "hist_day"}
 
-    def register(self) -> None:
-        """Expose the tables as temp views under their reference names."""
-        for name, df in self.by_name().items():
-            df.createOrReplaceTempView(name)
-
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
     """The declared columns in order, cast to the declared types, then any further
