@@ -8,7 +8,7 @@ reported only after decoding a candidate and parsing what it holds:
   that starts as a private or public key does (a version or big integer, or an
   algorithm identifier with an object id);
 * ``ssh``  base64 of the SSH key formats: length-prefixed fields that fill it, or the
-  private-key container's magic;
+  private-key container with its nested public keys;
 * ``jwt``  three dot-separated parts: a JSON header naming an algorithm, a JSON body, a signature.
 
 Spans are in code points, end exclusive. Nulls and edges: a null or empty text has
@@ -84,18 +84,45 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The private container, or length-prefixed fields that start with a key type and fill the data."""
-    if data.startswith(SSH_MAGIC):
-        return len(data) > len(SSH_MAGIC) + 4
-    fields, at = [], 0
-    while at + 4 <= len(data):
+def _fields(data: bytes, at: int, most: int) -> tuple[list[bytes], int]:
+    """Up to ``most`` length-prefixed fields from ``at`` on, and where they end."""
+    found = []
+    while len(found) < most and at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
+            break
+        found.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    return found, at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Length-prefixed fields that start with a key type and fill the data."""
+    found, end = _fields(data, 0, 16)
+    return end == len(data) and len(found) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", found[0]) is not None
+
+
+def ssh_container_size(data: bytes) -> int | None:
+    """Bytes of the private-key container at the start of the data: cipher, key derivation and
+    its options, the number of keys, so many public keys, and the private part."""
+    if not data.startswith(SSH_MAGIC):
+        return None
+    names, at = _fields(data, len(SSH_MAGIC), 3)
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if len(names) < 3 or not 1 <= keys <= 16:
+        return None
+    parts, end = _fields(data, at + 4, keys + 1)
+    return end if len(parts) == keys + 1 and all(is_ssh_key(k) for k in parts[:-1]) else None
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the sequence at the start of the data, by its own length."""
+    if len(data) < 4 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4:
+        return None
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if n else 2 + data[1]
 
 
 def _base64(text: str, urlsafe: bool = False) -> bytes | None:
@@ -106,6 +133,39 @@ def _base64(text: str, urlsafe: bool = False) -> bytes | None:
         return None
 
 
+def _end_of(text: str, size: int) -> int | None:
+    """Where the base64 of ``size`` bytes ends in ``text`` (which may hold line ends), with its
+    padding; None if that is not the end of a line."""
+    left = -(-size * 4 // 3)
+    for m in re.finditer(r"[A-Za-z0-9+/]+", text):
+        if left < len(m[0]):
+            return None
+        left -= len(m[0])
+        if not left:
+            return m.end() + len(re.match(r"={0,2}", text[m.end() : m.end() + 2])[0])
+    return None
+
+
+def confirmed(run: str) -> tuple[int, int] | None:
+    """(place in KINDS, length) of the key that a base64 run starts with; lines of other
+    text may follow it in the run."""
+    line = re.split(r"\r?\n", run, maxsplit=1)[0]
+    first = _base64(line)
+    if first is not None and is_ssh_key(first):
+        return 4, len(line)
+    if first is not None and is_der_key(first):
+        return 3, len(line)
+    whole = re.sub(r"[\r\n=]", "", run)
+    data = _base64(whole[: len(whole) // 4 * 4]) or b""
+    for size, kind in ((der_size(data), 3), (ssh_container_size(data), 4)):
+        end = None if size is None else _end_of(run, size)
+        if end is not None:
+            data = _base64(run[:end]) or b""
+            if kind == 4 and ssh_container_size(data) == len(data) or kind == 3 and is_der_key(data):
+                return kind, end
+    return None
+
+
 def is_jwt(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -123,14 +183,8 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in BASE64.finditer(text):
-        # wrapped key text may run on into ordinary lines: try the whole and each line end
-        ends = [m.end(), *(m.start() + x.start() for x in reversed(list(re.finditer(r"\r?\n", m[0]))))]
-        for end in ends:
-            data = _base64(text[m.start() : end])
-            kind = None if data is None else 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
-            if kind is not None:
-                out.append((m.start(), kind, end))
-                break
+        if found := confirmed(m[0]):
+            out.append((m.start(), found[0], m.start() + found[1]))
     for m in HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), 3, m.end()))

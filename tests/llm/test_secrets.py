@@ -35,7 +35,7 @@ RSA = der(0x30, der(0x02, b"\0") + der(0x02, b"\x01" * 129) + der(0x02, b"\1\0\1
 PKCS8 = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b"")) + der(0x04, RSA))
 SPKI = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b"")) + der(0x03, b"\0" * 80))
 SSH = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", b"\7" * 32))
-CONTAINER = secrets.SSH_MAGIC + b"\0\0\0\4none" * 6
+CONTAINER = secrets.SSH_MAGIC + b"\0\0\0\4none" * 2 + bytes(4) + (1).to_bytes(4, "big") + len(SSH).to_bytes(4, "big") + SSH + (64).to_bytes(4, "big") + b"\x05" * 64
 
 
 def b64(data: bytes) -> str:
@@ -71,6 +71,11 @@ def test_keys_are_confirmed():
         assert text[start:end] == b64(data)
     wrapped = "-----BEGIN PRIVATE KEY-----\n" + re.sub("(.{64})", "\\1\n", b64(PKCS8)) + "\n-----END PRIVATE KEY-----\nmore words follow"
     assert kinds(wrapped).count("der") == 1
+    for data, kind in ((PKCS8, "der"), (CONTAINER, "ssh"), (RSA, "der")):
+        lines = re.sub("(.{70})", "\\1\n", b64(data)).rstrip("\n")
+        text = f"{lines}\nwords{'that' * 20}\nfollow"  # a line that could be base64 stands right after it
+        (start, _, end) = next(x for x in secrets.spans(text) if secrets.KINDS[x[1]] == kind)
+        assert text[start:end] == lines
     assert "der" in kinds(RSA.hex()) and "der" in kinds(RSA.hex().upper())
     assert "jwt" in kinds(f"Bearer {JWT}.")
 
@@ -79,10 +84,16 @@ def test_lookalikes_are_not_confirmed():
     broken = bytearray(RSA)
     broken[6] ^= 0x55
     cut = JWT.split(".")
-    for text in (b64(RSA[:-1]), b64(RSA + b"\0\0\0"), b64(bytes(broken)), b64(SSH[:-3]), "MIIB" + "A" * 200, "AAAAC3Nz" + "Q" * 60, f"{url(b'[1]')}.{cut[1]}.{cut[2]}", f"{url(json.dumps({'typ': 'x'}).encode())}.{cut[1]}.{cut[2]}", "eyJhbGci.notjson.sig", "M" * 5000):
+    for text in (b64(RSA[:-1]), b64(RSA + b"\0\0\0"), b64(bytes(broken)), b64(SSH[:-3]), "MIIB" + "A" * 200, "AAAAC3Nz" + "Q" * 60, f"{url(b'[1]')}.{cut[1]}.{cut[2]}", f"{url(json.dumps({'typ': 'x'}).encode())}.{cut[1]}.{cut[2]}", "eyJhbGci.notjson.sig", "M" * 5000, b64(CONTAINER[:-70]), b64(secrets.SSH_MAGIC + bytes(60))):
         assert not {"der", "ssh", "jwt"} & set(kinds(text)), text
 
 
+def test_long_runs_end_soon():
+    lines = "\n".join("MIIB" + "A" * 60 for _ in range(20000))
+    assert not {"der", "ssh"} & set(kinds(lines))
+    assert not set(kinds("eyJ" + "a." * 100000)) and not {"der"} & set(kinds("30" * 200000))
+
+
 def test_redaction():
     text = f"a token = abcdef0123456789 b {JWT} c 00112233445566778899 d"
     found = secrets.spans(text)
