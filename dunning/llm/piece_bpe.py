@@ -29,6 +29,7 @@ import re
 from array import array
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,9 @@ LONGEST = 64
 
 
 LOW64 = (1 << 64) - 1
+NEVER = 1 << 62
+#: Chunks up to this length keep their agenda in a list, longer ones in a heap.
+SHORT = 64
 #: Odd multipliers that spread a candidate's place over 64 bits.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -100,19 +104,44 @@ class Pieces:
 
     def segment(self, chunk: str, rate: float = 0.0, key: int = 0) -> list[int]:
         """Ids of one chunk. ``key``: seed of the hash that decides which candidates are skipped."""
-        rank, n = self.rank.get, len(chunk)
         limit = int(rate * (1 << 64))
         salt = xxhash.xxh64_intdigest(chunk, key) if limit else 0
-        # a candidate is one number, so that the agenda compares numbers: rank, start, end
-        bits = max(8, n.bit_length())
-        mask, high = (1 << bits) - 1, 2 * bits
-        end = list(range(1, n + 1))  # the symbol at i is chunk[i:end[i]]; 0 once merged away
+        cuts = (self._short if len(chunk) <= SHORT else self._long)(chunk, limit, salt)
+        out, ids = [], self.ids
+        for a, b in pairwise(cuts):
+            found = ids.get(chunk[a:b])
+            if found is None:
+                out += [self.bytes[x] for x in chunk[a:b].encode()]
+            else:
+                out.append(found)
+        return out
+
+    def _short(self, chunk: str, limit: int, salt: int) -> list[int]:
+        """Where symbols start, and the end. The agenda is a list of the ranks at each place, searched for its least."""
+        rank, n, (spread, mix), low = self.rank.get, len(chunk), MIX, LOW64
+        at = list(range(n + 1))
+        agenda = [rank(chunk[i : i + 2], NEVER) for i in range(n - 1)]
+        while agenda and (least := min(agenda)) != NEVER:
+            k = agenda.index(least)
+            i, stop = at[k], at[k + 2]
+            if limit and (((i << 40 | at[k + 1] << 20 | stop) * spread & low ^ salt) * mix & low) < limit:
+                agenda[k] = NEVER
+                continue
+            del at[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank(chunk[i : at[k + 2]], NEVER)
+            if k:
+                agenda[k - 1] = rank(chunk[at[k - 1] : stop], NEVER)
+        return at
+
+    def _long(self, chunk: str, limit: int, salt: int) -> list[int]:
+        """As ``_short``, with a heap for the agenda; an entry is one number: rank, start, end."""
+        rank, n, (spread, mix), low = self.rank.get, len(chunk), MIX, LOW64
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        end = list(range(1, n + 1))  # the symbol at i ends at end[i]; 0 once merged away
         prev = list(range(-1, n))
-        agenda = []
-        for i in range(n - 1):
-            r = rank(chunk[i : i + 2])
-            if r is not None:
-                agenda.append(r << high | i << bits | i + 2)
+        agenda = [r << 2 * bits | i << bits | i + 2 for i in range(n - 1) if (r := rank(chunk[i : i + 2])) is not None]
         heapify(agenda)
         while agenda:
             found = heappop(agenda)
@@ -120,29 +149,23 @@ class Pieces:
             mid = end[i]
             if not mid or mid >= stop or end[mid] != stop:
                 continue  # one of its symbols has changed
-            if limit and ((((i << high | mid << bits | stop) + 1) * MIX[0] & LOW64 ^ salt) * MIX[1] & LOW64) < limit:
+            if limit and (((i << 40 | mid << 20 | stop) * spread & low ^ salt) * mix & low) < limit:
                 continue
             end[i], end[mid] = stop, 0
             if stop < n:
                 prev[stop] = i
                 r = rank(chunk[i : end[stop]])
                 if r is not None:
-                    heappush(agenda, r << high | i << bits | end[stop])
+                    heappush(agenda, r << 2 * bits | i << bits | end[stop])
             p = prev[i]
             if p >= 0:
                 r = rank(chunk[p:stop])
                 if r is not None:
-                    heappush(agenda, r << high | p << bits | stop)
-        out, i = [], 0
-        while i < n:
-            stop = end[i]
-            found = self.ids.get(chunk[i:stop])
-            if found is not None:
-                out.append(found)
-            else:
-                out += [self.bytes[b] for b in chunk[i:stop].encode()]
-            i = stop
-        return out
+                    heappush(agenda, r << 2 * bits | p << bits | stop)
+        at = [0]
+        while at[-1] < n:
+            at.append(end[at[-1]])
+        return at
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(META + text.replace(" ", META)) if text else []

@@ -51,6 +51,13 @@ def test_dropout_skips_merges():
     assert skipped > sum(len(PIECES.encode(text, 0.05, k)) for k in range(50)) / 50 > len(plain)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdefghinorst▁é.", min_size=1, max_size=90), st.sampled_from([0.0, 0.1, 0.5]), st.integers(0, 9))
+def test_both_agendas_merge_alike(chunk, rate, salt):
+    limit = int(rate * (1 << 64))
+    assert PIECES._short(chunk, limit, salt * 0x123456789ABCDEF) == PIECES._long(chunk, limit, salt * 0x123456789ABCDEF)
+
+
 def test_memory_forgets_without_changing_ids():
     rng = random.Random(0)
     chunks = ["▁" + "".join(rng.choice("aeionrst") for _ in range(rng.randint(1, 8))) for _ in range(2000)] + ["x" * 100, None]
