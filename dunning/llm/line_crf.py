@@ -6,8 +6,9 @@ have a transition weight. Forward-backward gives each line's probability of bein
 good; the document's raw quality is their mean weighted by line length, and a
 logistic step fitted on the same training rows turns that into the score.
 
-Training uses a bounded sample of labelled documents (``SAMPLE_DOCS``), whose
-lines all carry their document's label. Shapes count characters by class and
+Training uses a bounded sample of labelled documents (``SAMPLE_DOCS``, each of at
+most ``SAMPLE_LINES`` lines), whose lines all carry their document's label; every
+document is scored over all its lines. Shapes count characters by class and
 words by ending, so nothing in them depends on a language's words.
 
 Nulls and edges: a null, empty or blank text has no lines and gets the score of
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from dunning.llm.common import add_columns, as_bytes, bounded_sample, narrow
 
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS, SAMPLE_LINES = 6000, 1000
 #: A document is predicted good from this score on.
 THRESHOLD = 0.3
 SEED = 3
@@ -234,6 +235,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", learn
         known = known.where(learn)
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", sample_docs, SEED)
     rows = narrow(documents, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
+    rows = rows.where(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= SAMPLE_LINES)
     packed = add_columns(rows, "text", [T.StructField("lines", T.BinaryType())], _pack).select("doc_id", "label", "lines")
     got = sorted((r.doc_id, bytes(r.lines), r.label) for r in packed.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_docs).collect())
     parts = [np.frombuffer(b, np.float32).reshape(-1, SHAPES + 1) for _, b, _ in got]
