@@ -21,6 +21,7 @@ regression); without any labelled document every text gets ``und``.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -40,38 +41,50 @@ SEED = 7
 UNKNOWN = "und"
 #: Entries of the presence matrix made at once; bounds memory.
 CELLS = 4_000_000
+#: Letters whose n-grams are looked up at once; bounds memory for a very long text.
+WINDOW = 1 << 18
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Code point to that of its lower case plus 1; 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint64)
+    """Code point to that of its lower case plus 2; 0 for what is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         if (s := chr(c)).isalpha():
             table[c] = ord(s.lower()[0]) + 2
     return table
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of the texts and the number of the text each is from; repeats included."""
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' letters with a separator (1) at both ends of a text and one between words, and the number of the text each is from."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
     char = _letters()[codes]
-    # a separator (1) at both ends of a text, and one between words
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     ends = np.r_[first[1:], len(doc)] if len(doc) else first
-    char, doc = (np.insert(a, np.r_[ends, first], b) for a, b in ((char, np.uint64(0)), (doc, np.r_[doc[first], doc[first]])))
+    char, doc = (np.insert(a, np.r_[ends, first], b) for a, b in ((char, 0), (doc, np.r_[doc[first], doc[first]])))
     gap = char == 0
     keep = np.r_[True, ~(gap[1:] & gap[:-1] & (doc[1:] == doc[:-1]))] if len(char) else np.zeros(0, bool)
-    char, doc = np.where(gap, np.uint64(1), char)[keep], doc[keep]
-    out, of, code = [char], [doc], char
-    for n in range(2, ORDERS + 1):
-        code = code[:-1] << np.uint64(21) | char[n - 1 :]
-        same = doc[: len(doc) - n + 1] == doc[n - 1 :]
-        out.append(code[same])
-        of.append(doc[: len(doc) - n + 1][same])
-    return np.concatenate(out), np.concatenate(of)
+    return np.where(gap, np.uint32(1), char)[keep], doc[keep]
+
+
+def grams(texts: list[str], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed n-grams of the texts, repeats included, and the number of the text each is from; as many letters at once as ``window``."""
+    char, doc = letters(texts)
+    for start in range(0, len(char), window):
+        part, of = char[start : start + window + ORDERS - 1].astype(np.uint64), doc[start : start + window + ORDERS - 1]
+        code, firsts = part, min(window, len(part))
+        yield code[:firsts], of[:firsts]
+        for n in range(2, ORDERS + 1):
+            code = code[:-1] << np.uint64(21) | part[n - 1 :]
+            same = np.flatnonzero(of[: len(code)][:firsts] == of[n - 1 :][:firsts])
+            yield code[same], of[same]
+
+
+def gram_set(text: str) -> np.ndarray:
+    """Different n-grams of a text, sorted."""
+    found = [np.unique(code) for code, _ in grams([text])]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def has_letter(text: str | None) -> bool:
@@ -86,11 +99,11 @@ class Presence:
         self.place = Lookup(vocabulary, np.arange(self.size), -1)
 
     def rows(self, texts: list[str]) -> np.ndarray:
-        code, doc = grams(texts)
-        at = self.place[code]
-        known = at >= 0
         out = np.zeros((len(texts), self.size), np.float32)
-        out[doc[known], at[known]] = 1
+        for code, doc in grams(texts):
+            at = self.place[code]
+            known = np.flatnonzero(at >= 0)
+            out[doc[known], at[known]] = 1
         return out / np.maximum(np.sqrt(out.sum(axis=1, keepdims=True)), 1)
 
 
@@ -120,7 +133,7 @@ def predict(texts: list[str | None], model: dict | None, presence: Presence | No
 
 def _gram_sets():
     def run(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array([np.unique(grams([t])[0]).tobytes() for t in texts.to_pylist()], pa.binary())]
+        return [pa.array([gram_set(t).tobytes() for t in texts.to_pylist()], pa.binary())]
 
     return run
 
