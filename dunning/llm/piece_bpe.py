@@ -3,23 +3,24 @@
 Encoding follows the model: spaces become the meta symbol, one is put in front,
 and candidate merges of neighbouring symbols are taken from an agenda by piece
 score, leftmost first. With dropout, a candidate that comes up is skipped when a
-keyed hash of (seed, variant, chunk, candidate) falls below the rate; a skipped
+keyed hash of (seed, document, place of the chunk in it, candidate) falls below the rate; a skipped
 candidate returns only if a neighbour's merge makes it anew. What is left and not in the vocabulary is
 spelled in bytes. Rate 0 gives the library's own ids.
 
 A merge never crosses the start of a run of meta symbols, nor a character that is
 part of no longer piece, nor (where no piece does) the edge between letters and
-others, so a text falls into chunks that are segmented alone and remembered (a
-bounded number per worker). The hash is keyed by chunk and by one of
-``variants`` numbers drawn from the row's id, not by the place in the text: a
-document uses one variant throughout, equal inputs always give equal ids, and a
-word has up to ``variants`` segmentations across the corpus.
+others, so a text falls into chunks that are segmented alone. Every occurrence of a
+chunk draws anew for each of its candidates. What is remembered (a bounded number per
+worker) holds no draw: for a chunk and the candidates skipped so far, the candidates that
+come up from there if no more are skipped, and the ids. Draws are made over
+many occurrences at once, and the first skip leads on to the next remembered state. Equal
+rows (key and text) always give equal ids.
 
 Decoding is exact: a meta symbol in the text itself is spelled in bytes, so
 ``decode(encode(x)) == x`` for every text without lone surrogates.
 
-Nulls and edges: a null text has null ids, an empty text none; a null id draws the
-variant of an empty key; long texts are encoded whole; an empty table gives an
+Nulls and edges: a null text has null ids, an empty text none; a null id draws by the
+text alone; long texts are encoded whole; an empty table gives an
 empty result.
 """
 
@@ -42,10 +43,11 @@ from dunning.llm.common import SLICE_ROWS
 
 META = "▁"
 DROPOUT = 0.1
-VARIANTS = 2
 SEED = 4
-#: Segmentations remembered by a task; bounds memory, not results.
+#: States remembered by a worker; bounds memory, not results.
 REMEMBERED = 500_000
+#: Chunks whose draws are made at once; bounds memory, not results.
+AT_ONCE = 100_000
 #: Longer chunks (in characters) are not remembered.
 LONGEST = 64
 
@@ -56,6 +58,8 @@ NEVER = 1 << 62
 SHORT = 64
 #: Odd multipliers that spread a candidate's place over 64 bits.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Step from one chunk's place to the next, and the rounds that spread it (SplitMix64).
+STEP, ROUNDS = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 
 
 def _crossing(piece: str, letter: re.Pattern) -> set[str]:
@@ -105,8 +109,13 @@ class Pieces:
     def segment(self, chunk: str, rate: float = 0.0, key: int = 0) -> list[int]:
         """Ids of one chunk. ``key``: seed of the hash that decides which candidates are skipped."""
         limit = int(rate * (1 << 64))
-        salt = xxhash.xxh64_intdigest(chunk, key) if limit else 0
-        cuts = (self._short if len(chunk) <= SHORT else self._long)(chunk, limit, salt)
+        return self.drawn(chunk, limit, xxhash.xxh64_intdigest(chunk, key) if limit else 0)
+
+    def drawn(self, chunk: str, limit: int, salt: int) -> list[int]:
+        """Ids of one chunk; a candidate is skipped when its hash with ``salt`` is below ``limit``."""
+        return self.spell(chunk, (self._short if len(chunk) <= SHORT else self._long)(chunk, limit, salt))
+
+    def spell(self, chunk: str, cuts: list[int]) -> list[int]:
         out, ids = [], self.ids
         for a, b in pairwise(cuts):
             found = ids.get(chunk[a:b])
@@ -134,6 +143,27 @@ class Pieces:
                 agenda[k - 1] = rank(chunk[at[k - 1] : stop], NEVER)
         return at
 
+    def trail(self, chunk: str, skipped: frozenset[int], first: int) -> tuple[list[int], list[int]]:
+        """As ``_short``, skipping the candidates of these ordinals alone; also the places, spread, of the candidates from ordinal ``first`` on."""
+        rank, n, spread, low = self.rank.get, len(chunk), MIX[0], LOW64
+        at, places, ordinal = list(range(n + 1)), [], -1
+        agenda = [rank(chunk[i : i + 2], NEVER) for i in range(n - 1)]
+        while agenda and (least := min(agenda)) != NEVER:
+            k = agenda.index(least)
+            i, stop = at[k], at[k + 2]
+            ordinal += 1
+            if ordinal in skipped:
+                agenda[k] = NEVER
+                continue
+            if ordinal >= first:
+                places.append((i << 40 | at[k + 1] << 20 | stop) * spread & low)
+            del at[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank(chunk[i : at[k + 2]], NEVER)
+            if k:
+                agenda[k - 1] = rank(chunk[at[k - 1] : stop], NEVER)
+        return at, places
+
     def _long(self, chunk: str, limit: int, salt: int) -> list[int]:
         """As ``_short``, with a heap for the agenda; an entry is one number: rank, start, end."""
         rank, n, (spread, mix), low = self.rank.get, len(chunk), MIX, LOW64
@@ -193,7 +223,7 @@ def split_meta(pieces: Pieces, text: str) -> list[str | None]:
 
 
 class Memory(dict):
-    """Chunk to its ids as int32 bytes, for one variant. Chunks not met again while half the room fills are forgotten."""
+    """Chunk to its ids as int32 bytes, for one key. Chunks not met again while half the room fills are forgotten."""
 
     def __init__(self, pieces: Pieces, rate: float, key: int, room: int):
         self.pieces, self.rate, self.key, self.half, self.old = pieces, rate, key, max(1, room // 2), {}
@@ -211,30 +241,140 @@ class Memory(dict):
         return found
 
 
-def variant_key(seed: int, variant: int) -> int:
-    return xxhash.xxh64_intdigest(b"%d" % variant, seed)
-
+def salts(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each document key and place of a chunk in it."""
+    z = keys + (places + np.uint64(1)) * np.uint64(STEP)
+    for shift, by in ROUNDS:
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return z ^ (z >> np.uint64(31))
+
+
+def _gather(flat: array, kind: type, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` one after another, and the number of the stretch that each value is of."""
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(owner)) + (starts - (ends - sizes))[owner]
+    return np.frombuffer(flat, kind)[at] if len(at) else np.empty(0, kind), owner
+
+
+class States:
+    """What follows for a chunk from the candidates skipped so far: the places of the candidates that
+    come up if no more are skipped, and the ids then. States are numbered; a skip leads to another."""
+
+    def __init__(self, pieces: Pieces, rate: float, room: int):
+        self.pieces, self.limit, self.room = pieces, int(rate * (1 << 64)), max(1, room)
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str | None, int] = {}
+        self.next: dict[int, int] = {}
+        self.parent, self.first = array("q"), array("q")  # the state before the last skip, and the ordinal after it
+        self.places, self.place_ends = array("Q"), array("q", [0])
+        self.ids, self.id_ends = array("i"), array("q", [0])
+
+    def _add(self, ids: list[int], places: list[int], parent: int, first: int) -> int:
+        self.places.extend(places)
+        self.place_ends.append(len(self.places))
+        self.ids.extend(ids)
+        self.id_ends.append(len(self.ids))
+        self.parent.append(parent)
+        self.first.append(first)
+        return len(self.parent) - 1
+
+    def _root(self, chunk: str | None, key: int, place: int) -> int:
+        if chunk is not None and len(chunk) > LONGEST:  # drawn at once, not remembered
+            salt = int(salts(np.array([key], np.uint64), np.array([place], np.uint64))[0])
+            return self._add(self.pieces.drawn(chunk, self.limit, salt), [], -1, 0)
+        if chunk is None:
+            found = self._add([self.pieces.bytes[b] for b in META.encode()], [], -1, 0)
+        else:
+            cuts, places = self.pieces.trail(chunk, frozenset(), 0)
+            found = self._add(self.pieces.spell(chunk, cuts), places, -1, 0)
+        self.roots[chunk] = found
+        return found
 
-@lru_cache(maxsize=2)
-def _memories(model: bytes, rate: float, variants: int, seed: int, room: int) -> tuple[Pieces, list[Memory]]:
-    """Kept by a Python worker from one task to the next."""
-    pieces = Pieces(model)
-    return pieces, [Memory(pieces, rate, variant_key(seed, v), room // variants) for v in range(variants)]
+    def _after(self, state: int, j: int, chunk: str) -> int:
+        """The state after the ``j``-th candidate of ``state`` has been skipped."""
+        first = self.first[state] + j + 1
+        skipped, at = [first - 1], state
+        while self.parent[at] >= 0:
+            skipped.append(self.first[at] - 1)
+            at = self.parent[at]
+        cuts, places = self.pieces.trail(chunk, frozenset(skipped), first)
+        found = self.next[state << 8 | j] = self._add(self.pieces.spell(chunk, cuts), places, state, first)
+        return found
 
+    def _spans(self, ends: array, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.frombuffer(ends, np.int64)
+        return ends[states], ends[states + 1] - ends[states]
+
+    def encode(self, chunks: list[str | None], keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the chunks, and how many each has. ``keys``: of a chunk's document; ``places``: of the chunk in it."""
+        if len(self.parent) > self.room or len(self.ids) > 16 * self.room:
+            self.forget()
+        found = list(map(self.roots.get, chunks))
+        for i, state in enumerate(found):
+            if state is None:
+                known = self.roots.get(chunks[i])  # may have been met just before
+                found[i] = self._root(chunks[i], int(keys[i]), int(places[i])) if known is None else known
+        states, salt = np.array(found, np.int64), salts(keys, places)
+        open_ = np.arange(len(chunks))
+        while len(open_):
+            now = states[open_]
+            starts, sizes = self._spans(self.place_ends, now)
+            values, owner = _gather(self.places, np.uint64, starts, sizes)
+            skip = np.flatnonzero((values ^ salt[open_][owner]) * np.uint64(MIX[1]) <= np.uint64(self.limit - 1))
+            who = owner[skip]
+            firsts = np.flatnonzero(np.diff(who, prepend=-1))
+            who = who[firsts]
+            j = skip[firsts] - (np.cumsum(sizes) - sizes)[who]
+            open_ = open_[who]
+            steps = (now[who] << 8 | j).tolist()
+            after = list(map(self.next.get, steps))
+            for i, state in enumerate(after):
+                if state is None:
+                    known = self.next.get(steps[i])
+                    after[i] = self._after(steps[i] >> 8, steps[i] & 255, chunks[open_[i]]) if known is None else known
+            states[open_] = after
+        starts, sizes = self._spans(self.id_ends, states)
+        return _gather(self.ids, np.int32, starts, sizes)[0], sizes
 
-def _encoder(shared, rate: float, variants: int, seed: int, room: int):
-    pieces, memories = _memories(shared.value, rate, variants, seed, room)
 
-    def run(texts: pa.Array, chosen: pa.Array) -> list[pa.Array]:
-        flat, ends, empty, exact = [], [0], [], []
-        for text, variant in zip(texts.to_pylist(), chosen.to_pylist(), strict=True):
-            found = array("i", b"".join(map(memories[variant].__getitem__, split_meta(pieces, text))) if text else b"")
-            flat.append(found.tobytes())
-            ends.append(ends[-1] + len(found))
-            empty.append(text is None)
-            exact.append(None if text is None else pieces.decode(found) == text)
-        values = pa.array(np.frombuffer(b"".join(flat), np.int32))
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(empty, pa.bool_())), pa.array(exact, pa.bool_())]
+@lru_cache(maxsize=2)
+def _states(model: bytes, rate: float, room: int) -> tuple[Pieces, States | Memory]:
+    """Kept by a Python worker from one task to the next. Without dropout nothing is drawn."""
+    pieces = Pieces(model)
+    return pieces, States(pieces, rate, room) if int(rate * (1 << 64)) else Memory(pieces, 0.0, 0, room)
+
+
+def _drawn(states: States, split: list[list[str | None]], keys: np.ndarray) -> list[np.ndarray]:
+    """Ids of every text, from its chunks and its key."""
+    counts = np.array([len(x) for x in split], np.int64)
+    ends = np.cumsum(counts)
+    chunks = [c for x in split for c in x]
+    row = np.repeat(np.arange(len(split)), counts)
+    places = (np.arange(len(chunks)) - (ends - counts)[row]).astype(np.uint64)
+    parts = [states.encode(chunks[i : i + AT_ONCE], keys[row[i : i + AT_ONCE]], places[i : i + AT_ONCE]) for i in range(0, len(chunks), AT_ONCE)]
+    ids = np.concatenate([np.empty(0, np.int32), *[p[0] for p in parts]])
+    upto = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *[p[1] for p in parts]]))])[ends]
+    return np.split(ids, upto[:-1]) if len(split) else []
+
+
+def _encoder(shared, rate: float, room: int):
+    pieces, states = _states(shared.value, rate, room)
+
+    def run(texts: pa.Array, keys: pa.Array) -> list[pa.Array]:
+        texts = texts.to_pylist()
+        split = [split_meta(pieces, text) if text else [] for text in texts]
+        if isinstance(states, States):
+            found = _drawn(states, split, keys.to_numpy().view(np.uint64))
+        else:
+            found = [np.frombuffer(b"".join(map(states.__getitem__, x)), np.int32) for x in split]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        exact = [None if text is None else pieces.decode(ids.tolist()) == text for text, ids in zip(texts, found, strict=True)]
+        values = pa.array(np.concatenate([np.empty(0, np.int32), *found]))
+        empty = pa.array([text is None for text in texts], pa.bool_())
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=empty), pa.array(exact, pa.bool_())]
 
     return run
 
@@ -254,16 +394,17 @@ def _kernels(df: DataFrame, fields: list[T.StructField], used: list[int], keep:
     return df.mapInArrow(run, schema)
 
 
-def with_ids(df: DataFrame, model: bytes, text: str = "text", key: Column | None = None, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, remembered: int = REMEMBERED) -> DataFrame:
-    """``df``, ``ids`` (array of int) and ``lossless`` (whether decoding them gave the text). ``key`` (by default the text) draws a row's variant."""
-    if not 0 <= dropout <= 1 or variants < 1:
-        raise ValueError("dropout must be 0 to 1 and variants at least 1")
+def with_ids(df: DataFrame, model: bytes, text: str = "text", key: Column | None = None, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED) -> DataFrame:
+    """``df``, ``ids`` (array of int) and ``lossless`` (whether decoding them gave the text). ``key`` and the text draw what is skipped in a row."""
+    if not 0 <= dropout <= 1:
+        raise ValueError("dropout must be 0 to 1")
     names, at = df.columns, df.columns.index(text)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.coalesce((F.col(f"`{text}`") if key is None else key).cast("string"), F.lit(""))), F.lit(variants)).cast("int")
-    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], drawn.alias("variant"))
+    given = F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit(""))
+    drawn = F.xxhash64(F.lit(seed), given, F.col(f"`{text}`"))
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], drawn.alias("key"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # a model file of a few MB
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), True), T.StructField("lossless", T.BooleanType(), True)]
-    return _kernels(plain, fields, [at, len(names)], len(names), partial(_encoder, shared, dropout, variants, seed, remembered)).toDF(*names, "ids", "lossless")
+    return _kernels(plain, fields, [at, len(names)], len(names), partial(_encoder, shared, dropout, remembered)).toDF(*names, "ids", "lossless")
 
 
 def _decoder(shared):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,3 +90,30 @@ def test_query_round_trip(spark):
     got = registry.op4_sentencepiece_dropout(spark, "/root/testdata/sf0.001")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert got.where("NOT lossless OR lossless IS NULL OR n_ids <> size(ids)").count() == 0
+
+
+def test_states_draw_as_the_plain_agenda():
+    rng = random.Random(1)
+    chunks = ["▁" + "".join(rng.choice("aeionrst") for _ in range(rng.randint(1, 12))) for _ in range(300)] * 5 + ["x" * 100, None, "▁" + "the" * 40]
+    for rate in (0.1, 0.6, 1.0):
+        keys = np.array([rng.getrandbits(64) for _ in chunks], np.uint64)
+        places = np.arange(len(chunks), dtype=np.uint64)
+        expected = [[PIECES.bytes[b] for b in "▁".encode()] if c is None else PIECES.drawn(c, int(rate * (1 << 64)), int(s)) for c, s in zip(chunks, piece_bpe.salts(keys, places))]
+        for room in (3, 10**6):
+            states = piece_bpe.States(PIECES, rate, room)
+            for _ in range(2):
+                ids, sizes = states.encode(chunks, keys, places)
+                assert ids.tolist() == [i for x in expected for i in x] and sizes.tolist() == [len(x) for x in expected]
+
+
+def test_occurrences_and_documents_draw_apart(spark, make_docs):
+    text = " ".join(["nation"] * 400)
+    got = piece_bpe.with_ids(make_docs([(i, text) for i in range(40)] + [(None, text), (None, text + " x")]), MODEL, key=F.col("doc_id")).collect()
+    assert all(r.lossless for r in got) and len({tuple(r.ids) for r in got}) == len(got)
+    n, (_, candidates) = 40000, PIECES.trail("▁nation", frozenset(), 0)
+    keys, places = np.full(n, 7, np.uint64), np.arange(n, dtype=np.uint64)
+    ids, sizes = piece_bpe.States(PIECES, 0.1, 1000).encode(["▁nation"] * n, keys, places)
+    assert len({tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])}) > 5
+    hashes = (np.array(candidates, np.uint64)[:, None] ^ piece_bpe.salts(keys, places)) * np.uint64(piece_bpe.MIX[1])
+    skipped = hashes < np.uint64(int(0.1 * (1 << 64)))
+    assert np.all(abs(skipped.mean(axis=1) - 0.1) < 0.01) and abs((~skipped).all(axis=0).mean() - 0.9 ** len(candidates)) < 0.02
