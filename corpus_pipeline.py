@@ -12,7 +12,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dunning.llm import line_crf, mixing, piece_bpe, secrets, simhash
@@ -44,8 +44,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with seeded merge-dropout."""
-    made = piece_bpe.with_ids(docs.select("doc_id", "source", "text"), tokenizer_file("piece_bpe_32k.model"), key=F.col("doc_id"))
+    """Token ids of every document, with seeded merge-dropout; each pass over a document draws anew.
+
+    The mix repeats a document's row at most ``mixing.MAX_PASSES`` times; equal rows are numbered here.
+    """
+    alike = Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(0))
+    passes = docs.select("doc_id", "source", "text").withColumn("pass", F.row_number().over(alike))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "pass")
+    made = piece_bpe.with_ids(passes, tokenizer_file("piece_bpe_32k.model"), key=key)
     return made.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "lossless")
 
 

@@ -69,3 +69,15 @@ def test_hot_source_and_copies(spark, make_docs, stored):
     got = corpus_pipeline.run(spark, stored(documents=make_docs(rows), labels=labels))
     times = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert not any(i >= 1000 for i in times) and max(times.values()) <= 3
+
+
+def test_passes_over_a_document_draw_apart(spark, make_docs):
+    text = "international organizations considered several alternatives " * 10
+    docs = make_docs([(1, text, "en", "a")] * 3 + [(None, text, "en", "a")] * 2 + [(2, "x", "en", "a")])
+    got = corpus_pipeline.encode(spark, docs, SF).collect()
+    pieces = piece_bpe.Pieces(registry.tokenizer_file("piece_bpe_32k.model"))
+    long = [r for r in got if r.doc_id != 2]
+    assert len(got) == 6 and len({tuple(r.ids) for r in long}) == 5
+    assert all(pieces.decode(r.ids) == text and r.lossless for r in long)
+    again = corpus_pipeline.encode(spark, docs.repartition(4), SF).collect()
+    assert sorted(r.ids for r in again) == sorted(r.ids for r in got)
