@@ -42,8 +42,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 #: Base64 (also over several lines, as in key files) that can hold a key: it starts with a
-#: DER sequence's tag and long length, an SSH field length, or the SSH container's magic.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{28,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: DER sequence's tag and long length, an SSH field length, or the SSH container's magic. The
+#: last line may be of any length, or padding alone.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{28,}(?:\r?\n[A-Za-z0-9+/]+)*(?:(?:\r?\n)?=){0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -142,7 +143,7 @@ def _end_of(text: str, size: int) -> int | None:
             return None
         left -= len(m[0])
         if not left:
-            return m.end() + len(re.match(r"={0,2}", text[m.end() : m.end() + 2])[0])
+            return m.end() + len(re.match(r"(?:(?:\r?\n)?=){0,%d}" % (-size % 3), text[m.end() :])[0])
     return None
 
 
@@ -156,7 +157,7 @@ def confirmed(run: str) -> tuple[int, int] | None:
     if first is not None and is_der_key(first):
         return 3, len(line)
     whole = re.sub(r"[\r\n=]", "", run)
-    data = _base64(whole[: len(whole) // 4 * 4]) or b""
+    data = _base64(whole[: len(whole) - (len(whole) % 4 == 1)]) or b""
     for size, kind in ((der_size(data), 3), (ssh_container_size(data), 4)):
         end = None if size is None else _end_of(run, size)
         if end is not None:

@@ -120,3 +120,34 @@ def test_frames(spark, make_docs, stored):
     assert secrets.redact(make_docs([])).count() == 0
     folder = stored(documents=docs)
     assert registry.op8_secret_scan(spark, folder).where("doc_id = 5").first().spans.startswith("assign:3:")
+
+
+def sized(size: int) -> bytes:
+    """A DER key of so many bytes."""
+    for n in range(size):
+        if len(made := der(0x30, der(0x02, b"\0") + der(0x04, b"\x09" * n))) == size:
+            return made
+    raise ValueError(size)
+
+
+def sized_container(size: int) -> bytes:
+    head = CONTAINER[: -4 - 64]
+    return head + (size - len(head) - 4).to_bytes(4, "big") + b"\x05" * (size - len(head) - 4)
+
+
+def wrapped(data: bytes, columns: int, end: str = "\n") -> str:
+    text = b64(data)
+    return end.join(text[i : i + columns] for i in range(0, len(text), columns))
+
+
+def found_whole(body: str, before: str, after: str, kind: str) -> bool:
+    text = before + body + after
+    return (len(before), secrets.KINDS.index(kind), len(before) + len(body)) in secrets.spans(text)
+
+
+def test_last_lines_of_every_length():
+    for size in range(300, 300 + 48):
+        assert found_whole(wrapped(sized(size), 64), "-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n", "der"), size
+    assert found_whole(wrapped(sized(241), 64), "", "\nwords", "der")
+    for size in range(300, 300 + 105):
+        assert found_whole(wrapped(sized_container(size), 70), "KEY-----\n", "\n-----END", "ssh"), size
