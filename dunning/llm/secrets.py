@@ -4,7 +4,7 @@ Three base kinds are found by shape: ``assign`` (a value given to a password-lik
 name), ``access`` (an access key id) and ``hex`` (a long hex run). Further kinds are
 reported only after decoding a candidate and parsing what it holds:
 
-* ``der``  base64 or hex of one DER sequence whose nested lengths fill it exactly and
+* ``der``  base64 (common or URL-safe; lines may be indented, their ends escaped) or hex of one DER sequence whose nested lengths fill it exactly and
   that starts as a private or public key does (a version or big integer, or an
   algorithm identifier with an object id);
 * ``ssh``  base64 of the SSH key formats: length-prefixed fields that fill it, or the
@@ -41,10 +41,17 @@ ASSIGN_CHARS = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: Between two lines of a key: a line end, also escaped as in JSON text, and an indent.
+JOIN = r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
 #: Base64 (also over several lines, as in key files) that can hold a key: it starts with a
 #: DER sequence's tag and long length, an SSH field length, or the SSH container's magic. The
-#: last line may be of any length, or padding alone.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{28,}(?:\r?\n[A-Za-z0-9+/]+)*(?:(?:\r?\n)?=){0,2}")
+#: last line may be of any length, or padding alone. In the common and in the URL-safe alphabet.
+BASE64 = tuple(
+    re.compile(rf"(?:(?<![{abc}])|(?<=\\n))(?:M[A-P]|AAAA[A-Z]|b3BlbnNzaC1rZXktdjE)[{abc}]{{28,}}(?:{JOIN}[{abc}]+)*(?:(?:{JOIN})?=){{0,2}}") for abc in ("A-Za-z0-9+/", "A-Za-z0-9_-")
+)
+JOINED = re.compile(JOIN)
+NOT_DATA = re.compile(f"{JOIN}|=")
+LINE = re.compile(f"{JOIN}|([A-Za-z0-9+/_-]+)")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -127,7 +134,7 @@ def der_size(data: bytes) -> int | None:
 
 
 def _base64(text: str, urlsafe: bool = False) -> bytes | None:
-    text = re.sub(r"[\r\n=]", "", text)
+    text = NOT_DATA.sub("", text)
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_" if urlsafe else None, validate=True)
     except (binascii.Error, ValueError):
@@ -138,30 +145,32 @@ def _end_of(text: str, size: int) -> int | None:
     """Where the base64 of ``size`` bytes ends in ``text`` (which may hold line ends), with its
     padding; None if that is not the end of a line."""
     left = -(-size * 4 // 3)
-    for m in re.finditer(r"[A-Za-z0-9+/]+", text):
+    for m in LINE.finditer(text):
+        if m[1] is None:
+            continue
         if left < len(m[0]):
             return None
         left -= len(m[0])
         if not left:
-            return m.end() + len(re.match(r"(?:(?:\r?\n)?=){0,%d}" % (-size % 3), text[m.end() :])[0])
+            return m.end() + len(re.match(rf"(?:(?:{JOIN})?=){{0,{-size % 3}}}", text[m.end() :])[0])
     return None
 
 
 def confirmed(run: str) -> tuple[int, int] | None:
     """(place in KINDS, length) of the key that a base64 run starts with; lines of other
     text may follow it in the run."""
-    line = re.split(r"\r?\n", run, maxsplit=1)[0]
-    first = _base64(line)
+    line = JOINED.split(run, maxsplit=1)[0]
+    first = _base64(line, urlsafe=True)
     if first is not None and is_ssh_key(first):
         return 4, len(line)
     if first is not None and is_der_key(first):
         return 3, len(line)
-    whole = re.sub(r"[\r\n=]", "", run)
-    data = _base64(whole[: len(whole) - (len(whole) % 4 == 1)]) or b""
+    whole = NOT_DATA.sub("", run)
+    data = _base64(whole[: len(whole) - (len(whole) % 4 == 1)], urlsafe=True) or b""
     for size, kind in ((der_size(data), 3), (ssh_container_size(data), 4)):
         end = None if size is None else _end_of(run, size)
         if end is not None:
-            data = _base64(run[:end]) or b""
+            data = _base64(run[:end], urlsafe=True) or b""
             if kind == 4 and ssh_container_size(data) == len(data) or kind == 3 and is_der_key(data):
                 return kind, end
     return None
@@ -183,7 +192,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in BASE64.finditer(text):
+    for m in (m for pattern in BASE64 for m in pattern.finditer(text)):
         if found := confirmed(m[0]):
             out.append((m.start(), found[0], m.start() + found[1]))
     for m in HEX_KEY.finditer(text):

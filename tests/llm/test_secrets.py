@@ -151,3 +151,19 @@ def test_last_lines_of_every_length():
     assert found_whole(wrapped(sized(241), 64), "", "\nwords", "der")
     for size in range(300, 300 + 105):
         assert found_whole(wrapped(sized_container(size), 70), "KEY-----\n", "\n-----END", "ssh"), size
+
+
+def test_escaped_indented_and_url_safe_keys():
+    for size in range(300, 300 + 48):
+        for end in ("\\n", "\\r\\n", "\\\\n", "\n    ", "\r\n\t", "\n"):
+            before = f'"private_key": "-----BEGIN PRIVATE KEY-----{end}'
+            assert found_whole(wrapped(sized(size), 64, end), before, f'{end}-----END PRIVATE KEY-----{end}"', "der"), (size, end)
+    assert found_whole(wrapped(sized_container(301), 70, "\\n"), "KEY-----\\n", "\\n-----END", "ssh")
+    service = json.dumps({"private_key": f"-----BEGIN PRIVATE KEY-----\n{wrapped(PKCS8, 64)}\n-----END PRIVATE KEY-----\n"})
+    assert kinds(service).count("der") == 1
+    data = der(0x30, der(0x02, b"\0") + der(0x04, bytes(range(256))))
+    text = base64.urlsafe_b64encode(data).decode()
+    assert "-" in text and "_" in text
+    for body in (text, text.rstrip("="), "\n".join(text[i : i + 64] for i in range(0, len(text), 64))):
+        assert found_whole(body, "key: ", "\n", "der")
+    assert found_whole(b64(RSA), "-", "-x", "der")
