@@ -7,8 +7,9 @@ layout writes lines: paragraphs, headings, lists, tables and the like are set of
 a blank line, other blocks start a new line, list items get a bullet or their number
 and an indent, ``pre`` keeps its spaces, and the cells of a table are aligned in columns.
 Elements that are not shown are left out: scripts, styles, templates, titles,
-comments, ``hidden``, ``display:none`` and ``visibility:hidden``, hidden inputs, and the body of
-closed ``details``. Nothing else is: navigation and advertisements are text too.
+comments, ``hidden``, ``display:none`` and ``visibility:hidden``, titles and descriptions in drawings, the options
+of a closed list but the one chosen, inputs that show no text (password, checkbox, ...), audio, video, canvas and
+objects' inner text, and the body of closed ``details``. Nothing else is: navigation and advertisements are text too.
 
 No step recurses, so any depth of nesting is read. Nulls and edges: null stays null;
 an empty page or one that shows nothing gives an empty text; broken markup never fails (a
@@ -30,7 +31,9 @@ from dunning.llm.common import add_columns
 # Element names with the same role.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style template title xmp textarea".split())
-NOT_SHOWN = frozenset("datalist iframe noembed noframes noscript object script style svg template title audio canvas video math select".split())
+NOT_SHOWN = frozenset("datalist iframe noembed noframes noscript object script style template title audio canvas video".split())
+#: In drawings and formulas, what is not their text.
+ASIDE = frozenset("annotation annotation-xml defs desc metadata symbol clippath mask marker pattern".split())
 #: Set off by a blank line.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul xmp".split())
 #: Start a new line.
@@ -58,7 +61,9 @@ MAX_SPAN = 100
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-TELLING = re.compile(r"hidden|style|type|span|start|value|open|reversed", re.I)
+TELLING = re.compile(r"hidden|style|type|span|start|value|open|reversed|selected|multiple|size", re.I)
+#: Types of inputs that show no value as text.
+NO_TEXT = frozenset("hidden password checkbox radio file image color range".split())
 CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -141,6 +146,7 @@ class Page:
         self.concealed = self.kept = 0
         self.tables: list[Table] = []
         self.lists: list[list] = []
+        self.choices: list[tuple[list, bool]] = []
 
     @property
     def flow(self) -> Layout:
@@ -184,12 +190,15 @@ class Page:
             if not self.tables:
                 return  # a table's part outside any table is dropped, its text is not
             self._table_part(name)
-        concealing = name in NOT_SHOWN or "hidden" in told or CONCEALED.search(told.get("style", "")) is not None
+        drawn = self.count["svg"] or self.count["math"]
+        concealing = name in NOT_SHOWN or drawn and name in ASIDE or "hidden" in told or CONCEALED.search(told.get("style", "")) is not None
         if name in VOID:
             if not self.concealed and not concealing:
                 self._void(name, told)
             return
-        self._open(name, told, concealing)
+        self._open(name, told, bool(concealing))
+        if drawn and attributes.rstrip().endswith("/"):
+            self._end()  # an empty element of a drawing or formula
 
     def _table_part(self, name: str) -> None:
         inside = frozenset(("table",))
@@ -211,7 +220,7 @@ class Page:
             self.flow.block(True)
         elif name == "wbr":
             pass
-        elif name == "input" and told.get("type", "text").lower() in ("submit", "button", "reset"):
+        elif name == "input" and told.get("type", "text").lower() not in NO_TEXT:
             self.text(told.get("value", ""))
 
     def _open(self, name: str, told: dict[str, str], concealing: bool) -> None:
@@ -245,6 +254,15 @@ class Page:
                     self.lists[-1][1] += 1
                 flow.indents.append(" " * len(mark))
                 flow.marker, undo = mark, flow
+            elif name == "select":
+                self.choices.append(([], "multiple" in told or told.get("size", "1").strip() not in ("", "0", "1")))
+                self.flows.append(Layout())
+                undo = True
+            elif name == "option" and self.choices:
+                self.flows.append(Layout())
+                undo = ("selected" in told,)
+            elif name == "text" and self.count["svg"]:
+                flow.block(False)
             elif name in ("dd", "blockquote"):
                 flow.block(name in SPACED)
                 flow.indents.append("    " if name == "dd" else "> ")
@@ -272,6 +290,18 @@ class Page:
             cell = self.flows.pop().result()
             if self.tables and self.tables[-1].rows:
                 self.tables[-1].rows[-1] += [cell] + [[] for _ in range(undo - 1)]
+        elif name == "option" and undo:
+            self.choices[-1][0].append((undo[0], " ".join(self.flows.pop().result())))
+        elif name == "select" and undo:
+            options, listed = self.choices.pop()
+            loose = self.flows.pop().result()
+            shown = options if listed else [x for x in options if x[0]][-1:] or options[:1]
+            for line in [*loose, *(x for _, x in shown)]:
+                if listed:
+                    self.flow.end_line()
+                self.flow.text(line, False)
+        elif name == "text" and self.count["svg"]:
+            flow.block(False)
         elif name == "table" and undo is not None:
             flow.end_line()
             lines = self.tables.pop().lines()

@@ -105,3 +105,18 @@ def test_edges(spark, stored):
     got = registry.op10_html_layout(spark, stored(pages=pages)).collect()
     assert sorted(((r.page_id or 0), r.text or "", r.n_chars) for r in got if r.page_id != 4) == [(0, "b", 1), (1, "a", 1), (1, "a", 1), (2, "", 0), (3, "", 0)]
     assert registry.op10_html_layout(spark, stored(pages=pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+        ("<svg><title>t</title><defs/><desc>d</desc><path d='M0'/><text x=1>label</text><text>two</text></svg>after", "label\ntwo\nafter"),
+        ("in <select><option>one<option selected>two<option>three</select> out", "in two out"),
+        ("<select><option>one<option>two</select>", "one"),
+        ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+        ("<input value=typed> <input type=password value=p><input type=checkbox value=c>", "typed"),
+    ],
+)
+def test_drawings_formulas_and_inputs_show_their_text(html, text):
+    assert show(html) == text
