@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 #: Python worker's memory, not the work.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 HASH_RANGE = 1 << 40
+#: What a null id counts as in an order: below every id.
+FIRST = -(1 << 63)
 #: Times the sample that is sorted for it.
 SPARE = 8
 
@@ -45,6 +47,11 @@ def narrow(df: DataFrame, **want: str) -> DataFrame:
     return positional(df).select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of rows and bytes of text in column ``at``."""
     upto = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]

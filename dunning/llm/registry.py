@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunning.llm import forest, html_layout, line_crf, mixing, piece_bpe, secrets, simhash, sketch, string_kernel, word_bpe
+from dunning.llm import forest, html_layout, line_crf, line_dedup, mixing, piece_bpe, secrets, simhash, sketch, string_kernel, word_bpe
 from dunning.llm.common import narrow, read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,29 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.with_visible_text(pages).select("page_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.with_bitmaps(read_table(spark, sf_dir, "documents"), carry_text=True)
+    kept = F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep")), 256)
+    return made.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+r AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id < r.last_doc AS dropped FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -144,6 +167,7 @@ QUERIES: dict[str, Query] = {
         op8_secret_scan,
         op9_scaled_sketch,
         op10_html_layout,
+        op12_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL, "op12_line_dedup": OP12_SQL}

@@ -21,14 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunning.llm.common import narrow
+from dunning.llm.common import FIRST, let, narrow
 
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
 SCALE = 4
 #: Documents of one stretch of ids, and stretches at most (then they grow).
 STRETCH_ROWS, STRETCHES = 1024, 4096
-FIRST = -(1 << 63)
 
 
 def hashes(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
@@ -39,12 +38,7 @@ def hashes(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (shingle_words - 1), F.lit(1)))
         return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(shingle_words))))).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(words, shingles)
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` over a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
+    return let(words, shingles)
 
 
 def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
@@ -55,7 +49,7 @@ def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE)
         low = F.array_distinct(F.filter(found, lambda h: h < F.lit(below)))
         return F.when((F.size(low) > 0) | (F.size(found) == 0), F.sort_array(low)).otherwise(F.array(F.array_min(found)))
 
-    return _let(hashes(F.coalesce(text, F.lit("")), shingle_words), kept)
+    return let(hashes(F.coalesce(text, F.lit("")), shingle_words), kept)
 
 
 def merged(sketches: Column) -> Column:
