@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunning.llm import forest, html_layout, line_crf, line_dedup, mixing, piece_bpe, secrets, simhash, sketch, string_kernel, word_bpe
+from dunning.llm import divergence, forest, html_layout, line_crf, line_dedup, mixing, piece_bpe, secrets, simhash, sketch, string_kernel, word_bpe
 from dunning.llm.common import narrow, read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,45 @@ FROM m GROUP BY doc_id
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+o AS (
+  SELECT id, lang, source, translate(unnest(t), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY o.lang, o.source, o.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+ln AS (SELECT lang, sum(n)::HUGEINT AS n FROM gn GROUP BY lang),
+p AS (
+  SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (gn.n + 5 * v.v) AS p
+  FROM gn JOIN k ON gn.lang = k.lang JOIN v ON gn.lang = v.lang
+          LEFT JOIN c ON gn.lang = c.lang AND gn.source = c.source AND k.term = c.term),
+q AS (
+  SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 5)) // (any_value(ln.n) + 5 * any_value(v.v)) AS q
+  FROM c JOIN ln ON c.lang = ln.lang JOIN v ON c.lang = v.lang GROUP BY c.lang, c.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+           LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -168,6 +207,7 @@ QUERIES: dict[str, Query] = {
         op9_scaled_sketch,
         op10_html_layout,
         op12_line_dedup,
+        op13_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL, "op12_line_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
