@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunning.llm import divergence, forest, html_layout, line_crf, line_dedup, mixing, piece_bpe, secrets, simhash, sketch, string_kernel, word_bpe
+from dunning.llm import divergence, forest, html_layout, line_crf, line_dedup, mixing, piece_bpe, prefix_trie, secrets, simhash, sketch, string_kernel, word_bpe
 from dunning.llm.common import narrow, read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,42 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.with_visible_text(pages).select("page_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE x AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR AS s, 0::BIGINT AS i, 4294967295::BIGINT AS crc FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT conv_id, s, i + 1,
+         CASE WHEN i % 9 = 0 THEN xor(crc, ascii(substr(s, i // 9 + 1, 1))::BIGINT) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END
+  FROM x WHERE i < 9 * length(s)),
+h AS (SELECT conv_id, xor(crc, 4294967295::BIGINT) % 9 AS h FROM x WHERE i = 9 * length(s)),
+t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (
+  SELECT t.conv_id, CASE WHEN t.conv_id % 5 = 0 THEN t.turns
+                         ELSE list_concat(coalesce(b.turns, [])[1:h.h], t.turns[h.h + 1:]) END AS turns
+  FROM t JOIN h ON t.conv_id = h.conv_id LEFT JOIN t b ON b.conv_id = t.conv_id - t.conv_id % 5),
+u AS (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r),
+p AS (SELECT conv_id, d, turns[1:d] AS node, turns[1:d - 1] AS parent, len(turns) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE strlen(turns[d].t) END AS bytes FROM u),
+n AS (
+  SELECT node, d, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS members
+  FROM p GROUP BY node, d),
+k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY parent, d),
+s AS (
+  SELECT q.node, q.d, sum(n.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM n LEFT JOIN k ON n.node = k.node AND n.d = k.d JOIN p q ON q.conv_id = n.conv_id AND q.d <= n.d GROUP BY q.node, q.d)
+SELECT n.conv_id, n.d::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.members) AS ends_sha256
+FROM n LEFT JOIN k ON n.node = k.node AND n.d = k.d JOIN s ON n.node = s.node AND n.d = s.d
+       LEFT JOIN n m ON n.d > 0 AND n.parent = m.node AND m.d = n.d - 1
+"""
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_dedup.with_bitmaps(read_table(spark, sf_dir, "documents"), carry_text=True)
     kept = F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep")), 256)
@@ -206,8 +242,9 @@ QUERIES: dict[str, Query] = {
         op8_secret_scan,
         op9_scaled_sketch,
         op10_html_layout,
+        op11_prefix_trie,
         op12_line_dedup,
         op13_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
+ORACLES: dict[str, str] = {"op6_source_mixing": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
