@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunning.llm.common import FIRST, let, narrow
+from dunning.llm.common import FIRST, checkpointed, let, narrow
 
 KEY_CHARS, KEY_DOCS = 40, 5
 #: Most keys that may be hot (the bound of the broadcast), and least lines of a hot one.
@@ -109,7 +109,7 @@ def with_bitmaps(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carr
     often is split at run time.
     """
     rows = _rows(df, doc_id, text)
-    gone = dropped_lines(key_lines(rows)).groupBy("x_doc", "x_row").agg(F.sort_array(F.collect_set("pos")).alias("x_gone"))
+    gone = dropped_lines(checkpointed(key_lines(rows))).groupBy("x_doc", "x_row").agg(F.sort_array(F.collect_set("pos")).alias("x_gone"))
     n_lines = F.size(split_lines(F.col("text")))
     full = rows.select("doc_id", *(["text"] if carry_text else []), "x_doc", "x_row", n_lines.alias("n_lines"))
     met = full.join(gone, ["x_doc", "x_row"], "left").withColumn("x_gone", F.coalesce("x_gone", F.array().cast("array<int>")))
