@@ -79,8 +79,10 @@ def dropped_lines(lines: DataFrame) -> DataFrame:
     key = Window.partitionBy(*KEY)
     down = key.orderBy(F.col("x_doc").desc(), "pos")
     opens = ~F.lag("x_doc").over(down).eqNullSafe(F.col("x_doc"))  # a document's first line with this key
-    streamed = rest.repartitionByRange(*KEY).withColumns({"last_doc": F.first("x_doc").over(down), "opens": opens.cast("int")})
-    found.append(streamed.withColumn("n_docs", F.sum("opens").over(key)).drop("opens"))
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    streamed = rest.repartitionByRange(*KEY).withColumns({"last_doc": F.first("x_doc").over(whole), "n": F.count(F.lit(1)).over(whole), "opens": opens.cast("int")})
+    many = streamed.where(F.col("n") >= KEY_DOCS)  # most keys have a line or two and are done here
+    found.append(many.withColumn("n_docs", F.sum("opens").over(key)).drop("n", "opens"))
     gone = [f.where(falls).select("x_doc", "x_row", "pos") for f in found]
     return gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
 
