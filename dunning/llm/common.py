@@ -53,8 +53,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded number of rows and bytes of text in column ``at``."""
-    upto = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+    """Parts of a batch with a bounded number of rows and bytes of text (or list elements) in column ``at``."""
+    size = pc.list_value_length if pa.types.is_list(batch.column(at).type) else pc.binary_length
+    upto = np.r_[0, np.cumsum(pc.fill_null(size(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(upto, upto[start] + SLICE_BYTES, "right")) - 1

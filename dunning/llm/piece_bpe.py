@@ -10,11 +10,10 @@ spelled in bytes. Rate 0 gives the library's own ids.
 A merge never crosses the start of a run of meta symbols, nor a character that is
 part of no longer piece, nor (where no piece does) the edge between letters and
 others, so a text falls into chunks that are segmented alone. Every occurrence of a
-chunk draws anew for each of its candidates. What is remembered (a bounded number per
-worker) holds no draw: for a chunk and the candidates skipped so far, the candidates that
-come up from there if no more are skipped, and the ids. Draws are made over
-many occurrences at once, and the first skip leads on to the next remembered state. Equal
-rows (key and text) always give equal ids.
+chunk draws anew for each of its candidates. What is remembered (a bounded number of chunks per
+worker) holds no draw: the candidates that come up if none is skipped, and the ids then.
+Draws are made over many occurrences at once; those with a skip are segmented anew, their
+agendas side by side in numpy. Equal rows (key and text) always give equal ids.
 
 Decoding is exact: a meta symbol in the text itself is spelled in bytes, so
 ``decode(encode(x)) == x`` for every text without lone surrogates.
@@ -39,12 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunning.llm.common import SLICE_ROWS
+from dunning.llm.common import slices
+from dunning.llm.hashing import Lookup
 
 META = "▁"
 DROPOUT = 0.1
 SEED = 4
-#: States remembered by a worker; bounds memory, not results.
+#: Chunks remembered by a worker; bounds memory, not results.
 REMEMBERED = 500_000
 #: Chunks whose draws are made at once; bounds memory, not results.
 AT_ONCE = 100_000
@@ -93,6 +93,9 @@ class Pieces:
         self.spelled = [p.replace(META, " ").encode() for p in self.pieces]
         for b, i in enumerate(self.bytes):
             self.spelled[i] = bytes([b])
+        lengths = np.array([len(x) for x in self.spelled], np.int64)
+        #: Every piece's bytes one after another, and where they start and how many they are.
+        self.spelling, self.spans = np.frombuffer(b"".join(self.spelled), np.uint8), (np.cumsum(lengths) - lengths, lengths)
         long = [p for p in self.ids if len(p) > 1]
         if any(META in p.lstrip(META) for p in long):
             raise ValueError("pieces must not run across spaces")
@@ -249,7 +252,7 @@ def salts(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _gather(flat: array, kind: type, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gather(flat: array | np.ndarray, kind: type, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``flat`` one after another, and the number of the stretch that each value is of."""
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -257,52 +260,121 @@ def _gather(flat: array, kind: type, starts: np.ndarray, sizes: np.ndarray) -> t
     return np.frombuffer(flat, kind)[at] if len(at) else np.empty(0, kind), owner
 
 
+class Agendas:
+    """The agendas of many chunks side by side: chunks of one length are the rows of a matrix, and a step takes the
+    least candidate of every row. Symbols are numbered; 0 is a character that no longer piece holds."""
+
+    BITS = 20
+
+    def __init__(self, pieces: Pieces):
+        number = {c: i for i, c in enumerate(sorted({x for p in pieces.rank for x in (*p, p)}), 1)}
+        pairs = [(number[p[:k]] << self.BITS | number[p[k:]], r << self.BITS | number[p]) for p, r in pieces.rank.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        self.merge = Lookup(*np.array(pairs, np.int64).T, missing=NEVER)
+        self.char = np.zeros(0x110000, np.int64)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.char[ord(c)] = i
+        self.id_of = np.full(len(number) + 1, -1, np.int32)
+        for c, i in number.items():
+            self.id_of[i] = pieces.ids.get(c, -1)
+        self.alone = {ord(c): i for c, i in pieces.ids.items() if len(c) == 1 and c not in number}
+        self.bytes = np.array(pieces.bytes, np.int32)
+
+    def run(self, chunks: list[str], limit: int = 0, salts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks and how many each has; without ``limit`` also the places, spread, of their candidates, and how many.
+
+        With it, a candidate is skipped when its hash with the chunk's salt is below it."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(lengths, kind="stable")
+        made = [self._alike([chunks[i] for i in rows], int(lengths[rows[0]]), limit, None if salts is None else salts[rows]) for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(rows)]
+        back = np.argsort(order, kind="stable")
+        out = []
+        for flat, sizes, kind in ((0, 1, np.int32), (2, 3, np.uint64)):
+            every = np.concatenate([np.empty(0, np.int64), *[m[sizes] for m in made]])
+            out += [_gather(np.concatenate([np.empty(0, kind), *[m[flat] for m in made]]), kind, (np.cumsum(every) - every)[back], every[back])[0], every[back]]
+        return tuple(out)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.merge[(left << self.BITS | right).ravel().astype(np.uint64)].reshape(left.shape)
+
+    def _alike(self, chunks: list[str], length: int, limit: int, salts: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        n = len(chunks)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
+        # one column more than characters: an end without a symbol, which place -1 names too, where no candidate ever stands
+        symbol = np.concatenate([self.char[codes], np.zeros((n, 1), np.int64)], axis=1)
+        after = np.tile(np.arange(1, length + 2), (n, 1))
+        before = np.tile(np.arange(-1, length), (n, 1))
+        alive = np.ones((n, length), bool)
+        agenda = np.full((n, length + 1), NEVER, np.int64)
+        agenda[:, : length - 1] = self._pair(symbol[:, : length - 1], symbol[:, 1:length])
+        row, came = np.arange(n), []
+        while len(row):
+            now = agenda[row]
+            i = now.argmin(axis=1)
+            least = now[np.arange(len(row)), i]
+            there = least != NEVER
+            row, i, least = row[there], i[there], least[there]
+            mid = after[row, i]
+            stop = after[row, mid]
+            place = (i << 40 | mid << 20 | stop).astype(np.uint64) * np.uint64(MIX[0])
+            r = row
+            if limit:
+                skip = (place ^ salts[row]) * np.uint64(MIX[1]) <= np.uint64(limit - 1)
+                agenda[row[skip], i[skip]] = NEVER
+                r, i, mid, stop, least = row[~skip], i[~skip], mid[~skip], stop[~skip], least[~skip]
+            else:
+                came.append((row, place))
+            made = least & ((1 << self.BITS) - 1)
+            symbol[r, i], after[r, i], alive[r, mid] = made, stop, False
+            before[r, stop] = i
+            agenda[r, mid] = NEVER
+            agenda[r, i] = self._pair(made, symbol[r, stop])
+            left = before[r, i]
+            agenda[r, left] = self._pair(symbol[r, left], made)
+        ids, sizes = self._spelled(symbol[:, :length][alive], codes[alive], alive.sum(axis=1))
+        rows = np.concatenate([np.empty(0, np.int64), *[c[0] for c in came]])
+        by_row = np.argsort(rows, kind="stable")
+        places = np.concatenate([np.empty(0, np.uint64), *[c[1] for c in came]])[by_row]
+        return ids, sizes, places, np.bincount(rows, minlength=n)
+
+    def _spelled(self, symbols: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the symbols, in bytes where there is no piece, and how many each row has."""
+        ids = self.id_of[symbols]
+        for j in np.flatnonzero(symbols == 0) if self.alone else ():
+            ids[j] = self.alone.get(int(codes[j]), -1)
+        odd = ids < 0
+        if not odd.any():
+            return ids, counts
+        code = codes[odd]
+        times = np.ones(len(ids), np.int64)
+        times[odd] += (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        flat, spelled = np.repeat(ids, times), np.repeat(odd, times)
+        flat[spelled] = self.bytes[np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        upto = np.r_[0, np.cumsum(times)]
+        ends = np.r_[0, np.cumsum(counts)]
+        return flat, upto[ends[1:]] - upto[ends[:-1]]
+
+
 class States:
-    """What follows for a chunk from the candidates skipped so far: the places of the candidates that
-    come up if no more are skipped, and the ids then. States are numbered; a skip leads to another."""
+    """For chunks met before, the places of the candidates that come up if none is skipped, and the ids then."""
 
     def __init__(self, pieces: Pieces, rate: float, room: int):
         self.pieces, self.limit, self.room = pieces, int(rate * (1 << 64)), max(1, room)
+        self.agendas = Agendas(pieces)
         self.forget()
 
     def forget(self) -> None:
-        self.roots: dict[str | None, int] = {}
-        self.next: dict[int, int] = {}
-        self.parent, self.first = array("q"), array("q")  # the state before the last skip, and the ordinal after it
-        self.places, self.place_ends = array("Q"), array("q", [0])
-        self.ids, self.id_ends = array("i"), array("q", [0])
-
-    def _add(self, ids: list[int], places: list[int], parent: int, first: int) -> int:
-        self.places.extend(places)
-        self.place_ends.append(len(self.places))
-        self.ids.extend(ids)
-        self.id_ends.append(len(self.ids))
-        self.parent.append(parent)
-        self.first.append(first)
-        return len(self.parent) - 1
-
-    def _root(self, chunk: str | None, key: int, place: int) -> int:
-        if chunk is not None and len(chunk) > LONGEST:  # drawn at once, not remembered
-            salt = int(salts(np.array([key], np.uint64), np.array([place], np.uint64))[0])
-            return self._add(self.pieces.drawn(chunk, self.limit, salt), [], -1, 0)
-        if chunk is None:
-            found = self._add([self.pieces.bytes[b] for b in META.encode()], [], -1, 0)
-        else:
-            cuts, places = self.pieces.trail(chunk, frozenset(), 0)
-            found = self._add(self.pieces.spell(chunk, cuts), places, -1, 0)
-        self.roots[chunk] = found
-        return found
-
-    def _after(self, state: int, j: int, chunk: str) -> int:
-        """The state after the ``j``-th candidate of ``state`` has been skipped."""
-        first = self.first[state] + j + 1
-        skipped, at = [first - 1], state
-        while self.parent[at] >= 0:
-            skipped.append(self.first[at] - 1)
-            at = self.parent[at]
-        cuts, places = self.pieces.trail(chunk, frozenset(skipped), first)
-        found = self.next[state << 8 | j] = self._add(self.pieces.spell(chunk, cuts), places, state, first)
-        return found
+        self.roots: dict[str | None, int] = {None: 0}  # a meta symbol in the text itself
+        self.places, self.place_ends = array("Q"), array("q", [0, 0])
+        self.ids = array("i", [self.pieces.bytes[b] for b in META.encode()])
+        self.id_ends = array("q", [0, len(self.ids)])
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids, sizes, places, candidates = self.agendas.run(chunks)
+        self.roots.update(zip(chunks, range(len(self.roots), len(self.roots) + len(chunks))))
+        for flat, ends, values, counts in ((self.ids, self.id_ends, ids, sizes), (self.places, self.place_ends, places, candidates)):
+            ends.frombytes((np.cumsum(counts) + len(flat)).astype(np.int64).tobytes())
+            flat.frombytes(values.tobytes())
 
     def _spans(self, ends: array, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.frombuffer(ends, np.int64)
@@ -310,34 +382,30 @@ class States:
 
     def encode(self, chunks: list[str | None], keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the chunks, and how many each has. ``keys``: of a chunk's document; ``places``: of the chunk in it."""
-        if len(self.parent) > self.room or len(self.ids) > 16 * self.room:
+        if len(self.roots) > self.room:
             self.forget()
         found = list(map(self.roots.get, chunks))
-        for i, state in enumerate(found):
-            if state is None:
-                known = self.roots.get(chunks[i])  # may have been met just before
-                found[i] = self._root(chunks[i], int(keys[i]), int(places[i])) if known is None else known
+        if None in found:
+            unknown = {c for c, state in zip(chunks, found) if state is None and len(c) <= LONGEST}
+            if unknown:
+                self._learn(list(unknown))
+            found = [self.roots.get(c, -1) for c in chunks]
         states, salt = np.array(found, np.int64), salts(keys, places)
-        open_ = np.arange(len(chunks))
-        while len(open_):
-            now = states[open_]
-            starts, sizes = self._spans(self.place_ends, now)
-            values, owner = _gather(self.places, np.uint64, starts, sizes)
-            skip = np.flatnonzero((values ^ salt[open_][owner]) * np.uint64(MIX[1]) <= np.uint64(self.limit - 1))
-            who = owner[skip]
-            firsts = np.flatnonzero(np.diff(who, prepend=-1))
-            who = who[firsts]
-            j = skip[firsts] - (np.cumsum(sizes) - sizes)[who]
-            open_ = open_[who]
-            steps = (now[who] << 8 | j).tolist()
-            after = list(map(self.next.get, steps))
-            for i, state in enumerate(after):
-                if state is None:
-                    known = self.next.get(steps[i])
-                    after[i] = self._after(steps[i] >> 8, steps[i] & 255, chunks[open_[i]]) if known is None else known
-            states[open_] = after
-        starts, sizes = self._spans(self.id_ends, states)
-        return _gather(self.ids, np.int32, starts, sizes)[0], sizes
+        known = np.flatnonzero(states >= 0)
+        starts, sizes = self._spans(self.place_ends, states[known])
+        values, owner = _gather(self.places, np.uint64, starts, sizes)
+        skips = (values ^ salt[known][owner]) * np.uint64(MIX[1]) <= np.uint64(self.limit - 1)
+        again = known[np.unique(owner[skips])]
+        drawn, many, _, _ = self.agendas.run([chunks[i] for i in again], self.limit, salt[again])
+        long = np.flatnonzero(states < 0)  # drawn at once, not remembered
+        apart = [np.array(self.pieces.drawn(chunks[i], self.limit, int(salt[i])), np.int32) for i in long]
+        pool = np.concatenate([np.frombuffer(self.ids, np.int32), drawn, *apart])
+        starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[known], sizes[known] = self._spans(self.id_ends, states[known])
+        starts[again], sizes[again] = len(self.ids) + np.cumsum(many) - many, many
+        sizes[long] = [len(x) for x in apart]
+        starts[long] = len(self.ids) + len(drawn) + np.cumsum(sizes[long]) - sizes[long]
+        return _gather(pool, np.int32, starts, sizes)[0], sizes
 
 
 @lru_cache(maxsize=2)
@@ -360,6 +428,15 @@ def _drawn(states: States, split: list[list[str | None]], keys: np.ndarray) -> l
     return np.split(ids, upto[:-1]) if len(split) else []
 
 
+def _lossless(pieces: Pieces, texts: list[str | None], found: list[np.ndarray]) -> list[bool | None]:
+    """Whether the ids of a text spell it, for all texts at once."""
+    starts, lengths = pieces.spans
+    ids = np.concatenate([np.empty(0, np.int32), *found])
+    spelled = _gather(pieces.spelling, np.uint8, starts[ids], lengths[ids])[0].tobytes()
+    upto = np.r_[0, np.cumsum(lengths[ids])][np.r_[0, np.cumsum([len(x) for x in found], dtype=np.int64)]].tolist()
+    return [None if text is None else spelled[a + 1 : b] == text.encode() for text, a, b in zip(texts, upto, upto[1:], strict=False)]
+
+
 def _encoder(shared, rate: float, room: int):
     pieces, states = _states(shared.value, rate, room)
 
@@ -371,7 +448,7 @@ def _encoder(shared, rate: float, room: int):
         else:
             found = [np.frombuffer(b"".join(map(states.__getitem__, x)), np.int32) for x in split]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        exact = [None if text is None else pieces.decode(ids.tolist()) == text for text, ids in zip(texts, found, strict=True)]
+        exact = _lossless(pieces, texts, found)
         values = pa.array(np.concatenate([np.empty(0, np.int32), *found]))
         empty = pa.array([text is None for text in texts], pa.bool_())
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=empty), pa.array(exact, pa.bool_())]
@@ -387,8 +464,7 @@ def _kernels(df: DataFrame, fields: list[T.StructField], used: list[int], keep:
     def run(batches):
         kernel = factory()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch, used[0]):
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *kernel(*[part.column(i) for i in used])], names=columns)
 
     return df.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from dunning.llm import piece_bpe, registry
 
 MODEL = registry.tokenizer_file("piece_bpe_32k.model")
 PIECES = piece_bpe.Pieces(MODEL)
+AGENDAS = piece_bpe.Agendas(PIECES)
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,25 @@ def test_occurrences_and_documents_draw_apart(spark, make_docs):
     hashes = (np.array(candidates, np.uint64)[:, None] ^ piece_bpe.salts(keys, places)) * np.uint64(piece_bpe.MIX[1])
     skipped = hashes < np.uint64(int(0.1 * (1 << 64)))
     assert np.all(abs(skipped.mean(axis=1) - 0.1) < 0.01) and abs((~skipped).all(axis=0).mean() - 0.9 ** len(candidates)) < 0.02
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abeinorst▁é.漢🙂\x01", min_size=1, max_size=64), max_size=30), st.sampled_from([0.0, 0.1, 0.6, 1.0]), st.integers(0, 9))
+def test_agendas_side_by_side_are_the_single_ones(chunks, rate, seed):
+    limit, rng = int(rate * (1 << 64)), random.Random(seed)
+    salts = np.array([rng.getrandbits(64) for _ in chunks], np.uint64)
+    ids, sizes, places, candidates = AGENDAS.run(chunks, limit, salts)
+    cut = lambda flat, n: [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] if len(chunks) else []
+    assert cut(ids, sizes) == [PIECES.drawn(c, limit, int(s)) for c, s in zip(chunks, salts)]
+    if not limit:
+        assert cut(places, candidates) == [PIECES.trail(c, frozenset(), 0)[1] for c in chunks]
+
+
+def test_very_long_texts_are_held_one_at_a_time():
+    import pyarrow as pa
+
+    from dunning.llm.common import SLICE_BYTES, slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (SLICE_BYTES // 2 + 1)] * 7 + ["y"] * 9), pa.array([[1] * (SLICE_BYTES // 2 + 1)] * 3 + [[]] * 13)], names=["text", "ids"])
+    assert [s.num_rows for s in slices(batch, 0)] == [1] * 6 + [10]
+    assert [s.num_rows for s in slices(batch, 1)] == [1, 1, 14]
