@@ -4,12 +4,14 @@ A tokenizer feeds a tree builder that keeps the open elements, ends those whose
 tags may be left out (p, li, dt, dd, option, table parts), adds the table parts that may
 be left out, and drops end tags that match nothing. As elements open and close, a
 layout writes lines: paragraphs, headings, lists, tables and the like are set off by
-a blank line, other blocks start a new line, list items get a bullet or their number
-and an indent, ``pre`` keeps its spaces, and the cells of a table are aligned in columns.
+a blank line, other blocks start a new line, list items get a bullet or their number (``start``,
+``reversed`` and ``value`` are followed) and an indent, ``pre`` keeps its spaces, and the cells of a table are aligned
+in columns: spanned columns and rows keep their place, and a line too wide for a column goes on below.
 Elements that are not shown are left out: scripts, styles, templates, titles,
-comments, ``hidden``, ``display:none`` and ``visibility:hidden``, titles and descriptions in drawings, the options
-of a closed list but the one chosen, inputs that show no text (password, checkbox, ...), audio, video, canvas and
-objects' inner text, and the body of closed ``details``. Nothing else is: navigation and advertisements are text too.
+comments, ``hidden``, ``display:none``, ``visibility:hidden`` (but not what is ``visible`` inside), titles and descriptions
+in drawings, the options of a closed list but the one chosen, inputs that show no text (password, checkbox, ...), audio, video,
+canvas and objects' inner text, and the body of closed ``details``. Nothing else is: navigation and advertisements are
+text too, and so is what only a style sheet or a script would hide, as these are not followed.
 
 No step recurses, so any depth of nesting is read. Nulls and edges: null stays null;
 an empty page or one that shows nothing gives an empty text; broken markup never fails (a
@@ -54,17 +56,21 @@ IMPLIED_END = {
     "optgroup": (("option", "optgroup"), frozenset(("select",))),
 }
 
-#: Widest column that is aligned, and the space between columns.
-ALIGN_WIDTH, GUTTER = 40, "  "
-MAX_SPAN = 100
+#: Widest line of a cell that others follow in its row (wider ones go on below), and the space between columns.
+WIDEST, GUTTER = 160, "  "
+MAX_SPAN, MAX_ROWS = 100, 65534
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TELLING = re.compile(r"hidden|style|type|span|start|value|open|reversed|selected|multiple|size", re.I)
+#: What counts the items of reversed lists: comments and raw text to pass over, and the tags of lists and items.
+ITEMS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea)\b.*?(?:</\1|\Z)|<(/?)(ol|ul|menu|dir|li)(?=[\s/>])", re.I | re.S)
 #: Types of inputs that show no value as text.
 NO_TEXT = frozenset("hidden password checkbox radio file image color range".split())
-CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+CONCEALED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
+WHOLE = re.compile(r"-?[0-9]{1,9}")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -113,23 +119,54 @@ class Layout:
 
     def result(self) -> list[str]:
         self.end_line()
-        while self.lines and not self.lines[-1]:
-            self.lines.pop()
-        return self.lines
+        shown = [i for i, line in enumerate(self.lines) if line]
+        return self.lines[shown[0] : shown[-1] + 1] if shown else []
+
+
+def wrapped(lines: list[str]) -> list[str]:
+    """Lines of at most ``WIDEST`` characters, cut at spaces where there are any."""
+    out = []
+    for line in lines:
+        while len(line) > WIDEST:
+            cut = line.rfind(" ", len(line) - len(line.lstrip(" ")), WIDEST + 1)
+            out.append(line[: cut if cut > 0 else WIDEST])
+            line = line[cut + 1 if cut > 0 else WIDEST :]
+        out.append(line)
+    return out
 
 
 class Table:
     def __init__(self):
         self.rows: list[list[list[str]]] = []
+        #: Columns that cells of rows above reach down to, and for how many more rows.
+        self.hanging: dict[int, int] = {}
+
+    def row(self) -> None:
+        if self.rows:
+            self.hanging = {c: n - (c >= len(self.rows[-1])) for c, n in self.hanging.items() if n > (c >= len(self.rows[-1]))}
+        self.rows.append([])
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        row = self.rows[-1]
+        while self.hanging.get(len(row), 0) > 0:
+            self.hanging[len(row)] -= 1
+            row.append([])
+        for k in range(columns):
+            self.hanging[len(row)] = rows - 1
+            row.append([] if k else lines)
 
     def lines(self) -> list[str]:
+        rows = [[*map(wrapped, row[:-1]), *row[-1:]] for row in self.rows]
         widths: list[int] = []
-        for row in self.rows:
+        for row in rows:
             widths += [0] * (len(row) - len(widths))
-            for i, cell in enumerate(row):
-                widths[i] = max(widths[i], *(len(x) for x in cell if len(x) <= ALIGN_WIDTH), 0)
+            for i, cell in enumerate(row[:-1]):
+                widths[i] = max(widths[i], *map(len, cell), 0)
+        for row in rows:  # a last cell widens its column up to the same bound
+            if row:
+                widths[len(row) - 1] = max(widths[len(row) - 1], *(len(x) for x in row[-1] if len(x) <= WIDEST), 0)
         out = []
-        for row in self.rows:
+        for row in rows:
             for k in range(max(map(len, row), default=0)):
                 parts = [cell[k] if k < len(cell) else "" for cell in row]
                 out.append(GUTTER.join(p.ljust(w) for p, w in zip(parts, widths, strict=False)).rstrip())
@@ -137,13 +174,17 @@ class Table:
 
 
 class Page:
-    """Tree builder: open elements as (name, whether it conceals, what to undo at its end)."""
+    """Tree builder: open elements as (name, whether it conceals, what to undo at its end, whether text was unseen before it).
 
-    def __init__(self):
+    ``items``: for the place of a reversed list's tag, its items."""
+
+    def __init__(self, items: dict[int, int]):
         self.flows = [Layout()]
-        self.open: list[tuple[str, bool, object]] = []
+        self.open: list[tuple[str, bool, object, bool]] = []
         self.count: Counter[str] = Counter()
         self.concealed = self.kept = 0
+        self.unseen = False
+        self.items, self.place = items, 0
         self.tables: list[Table] = []
         self.lists: list[list] = []
         self.choices: list[tuple[list, bool]] = []
@@ -153,7 +194,7 @@ class Page:
         return self.flows[-1]
 
     def text(self, text: str) -> None:
-        if text and not self.concealed and not self._closed():
+        if text and not self.concealed and not self.unseen and not self._closed():
             self.flow.text(unescape(text) if "&" in text else text, self.kept > 0)
 
     def _closed(self) -> bool:
@@ -193,7 +234,8 @@ class Page:
         drawn = self.count["svg"] or self.count["math"]
         concealing = name in NOT_SHOWN or drawn and name in ASIDE or "hidden" in told or CONCEALED.search(told.get("style", "")) is not None
         if name in VOID:
-            if not self.concealed and not concealing:
+            seen = VISIBILITY.search(told.get("style", ""))
+            if not self.concealed and not concealing and not (seen[1].lower() in ("hidden", "collapse") if seen else self.unseen):
                 self._void(name, told)
             return
         self._open(name, told, bool(concealing))
@@ -211,6 +253,7 @@ class Page:
         else:
             self.end_down_to(self.find(("caption", "colgroup", "tr", *ROW_GROUPS), inside))
             self.end_down_to(self.find(tuple(ROW_GROUPS), inside))
+            self.tables[-1].hanging = {}  # no cell reaches into the next group of rows
 
     def _void(self, name: str, told: dict[str, str]) -> None:
         if name == "br":
@@ -224,7 +267,9 @@ class Page:
             self.text(told.get("value", ""))
 
     def _open(self, name: str, told: dict[str, str], concealing: bool) -> None:
-        undo = None
+        undo, unseen = None, self.unseen
+        if seen := VISIBILITY.search(told.get("style", "")):
+            self.unseen = seen[1].lower() in ("hidden", "collapse")
         if name != "summary" and self._closed():
             concealing = True
         if concealing:
@@ -233,25 +278,28 @@ class Page:
             flow = self.flow
             if name in CELLS:
                 self.flows.append(Layout())
-                undo = max(1, min(MAX_SPAN, int(s))) if (s := told.get("colspan", "")).isascii() and s.isdigit() else 1
+                columns, rows = (int(s) if WHOLE.fullmatch(s := told.get(a, "")) else 1 for a in ("colspan", "rowspan"))
+                undo = max(1, min(MAX_SPAN, columns)), min(MAX_ROWS, rows) if rows > 0 else MAX_ROWS if rows == 0 else 1
             elif name == "tr":
                 if self.tables:
-                    self.tables[-1].rows.append([])
+                    self.tables[-1].row()
             elif name == "table":
                 flow.block(True)
                 self.tables.append(Table())
                 undo = len(self.flows)
             elif name in LISTS:
                 flow.block(not self.lists)
-                first = int(s) if (s := told.get("start", "1")).isascii() and s.isdigit() and len(s) < 10 else 1
-                self.lists.append([name == "ol", first])
+                first = int(s) if WHOLE.fullmatch(s := told.get("start", "")) else self.items.get(self.place, 1)
+                self.lists.append([name == "ol", first, -1 if "reversed" in told else 1])
                 undo = True
             elif name == "li":
                 flow.end_line()
                 mark = "- "
                 if self.lists and self.lists[-1][0]:
+                    if WHOLE.fullmatch(s := told.get("value", "")):
+                        self.lists[-1][1] = int(s)
                     mark = f"{self.lists[-1][1]}. "
-                    self.lists[-1][1] += 1
+                    self.lists[-1][1] += self.lists[-1][2]
                 flow.indents.append(" " * len(mark))
                 flow.marker, undo = mark, flow
             elif name == "select":
@@ -274,11 +322,11 @@ class Page:
             if name in KEEPS_SPACE:
                 self.kept += 1
                 undo = "kept"
-        self.open.append((name, concealing, undo))
+        self.open.append((name, concealing, undo, unseen))
         self.count[name] += 1
 
     def _end(self) -> None:
-        name, concealing, undo = self.open.pop()
+        name, concealing, undo, self.unseen = self.open.pop()
         self.count[name] -= 1
         if concealing:
             self.concealed -= 1
@@ -289,7 +337,7 @@ class Page:
         if name in CELLS and undo is not None:
             cell = self.flows.pop().result()
             if self.tables and self.tables[-1].rows:
-                self.tables[-1].rows[-1] += [cell] + [[] for _ in range(undo - 1)]
+                self.tables[-1].cell(cell, *undo)
         elif name == "option" and undo:
             self.choices[-1][0].append((undo[0], " ".join(self.flows.pop().result())))
         elif name == "select" and undo:
@@ -343,11 +391,29 @@ class Page:
         return "\n".join(self.flow.result())
 
 
+def reversed_items(html: str) -> dict[int, int]:
+    """The number of items of every reversed list, by the place of its tag."""
+    found: dict[int, int] = {}
+    lists: list[int] = []
+    for m in ITEMS.finditer(html) if re.search("reversed", html, re.I) else ():
+        if m[3] is None:
+            continue
+        if m[3].lower() == "li":
+            if lists and not m[2]:
+                found[lists[-1]] += 1
+        elif not m[2]:
+            lists.append(m.start())
+            found[m.start()] = 0
+        elif lists:
+            lists.pop()
+    return {at: n for at, n in found.items() if re.match(r"<ol\b[^>]*\breversed\b", html[at : at + 1000], re.I)}
+
+
 def visible_text(html: str | None) -> str | None:
     """What a page shows, line by line."""
     if html is None:
         return None
-    page, at, n = Page(), 0, len(html)
+    page, at, n = Page(reversed_items(html)), 0, len(html)
     last = html.rfind(">")
     while at < n:
         less = html.find("<", at)
@@ -370,7 +436,7 @@ def visible_text(html: str | None) -> str | None:
                 page.text("<")
                 at = less + 1
             continue
-        name, at = m[2].lower(), m.end()
+        name, at, page.place = m[2].lower(), m.end(), less
         if m[1]:
             page.end(name)
             continue

@@ -43,6 +43,8 @@ CASES = [
     ("<input type=hidden value=h><input type=submit value=Go>", "Go"),
     ("<h1>T</h1><blockquote>q<p>r</blockquote>e", "T\n\n> q\n\n> r\n\ne"),
     ("&nbsp;x&#233;&eacute;&#xE9;", "xééé"),
+    ("<pre><p>\nword", "word"),
+    ("<pre>\n\n\na\n\n</pre>", "a"),
 ]
 
 
@@ -120,3 +122,40 @@ def test_edges(spark, stored):
 )
 def test_drawings_formulas_and_inputs_show_their_text(html, text):
     assert show(html) == text
+
+
+LONG = " ".join(["word"] * 70)
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        # spans keep the columns of the rows below
+        ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>1<td>2</table>", "ab  c\n    d\n1   2"),
+        ("<table><tr><th>h<td rowspan=3>x<th>k<tr><td>1<td>2<tr><td>3<td>4<tr><td>5<td>6<td>7</table>", "h  x  k\n1     2\n3     4\n5  6  7"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+        ("<table><tr><td rowspan=2 colspan=2>q<td>r<tr><td>s<tr><td>t<td>u<td>v</table>", "q     r\n      s\nt  u  v"),
+        ("<table><tr><td>a<tr><td>b<td rowspan=2>c<td>d<tr><td>e<tr><td>f<td>g</table>", "a\nb  c  d\ne\nf  g"),
+        # wide cells stay in line
+        (f"<table><tr><td>{'x' * 60}<td>1<tr><td>y<td>2</table>", "x" * 60 + "  1\ny" + " " * 61 + "2"),
+        (f"<table><tr><td>{LONG}<td>1<td>end<tr><td>y<td>2</table>", f"{' '.join(['word'] * 32)}  1  end\n{' '.join(['word'] * 32)}\n{' '.join(['word'] * 6)}\ny{' ' * 160}2"),
+        (f"<table><tr><td>y<td>{LONG}</table>", f"y  {LONG}"),
+        # numbers of items
+        ("<ol reversed><li>a<li>b<ul><li>in</ul><li>c</ol>", "3. a\n2. b\n   - in\n1. c"),
+        ("<ol start=3 reversed><li value=9>a<li>b</ol>", "9. a\n8. b"),
+        ("<ol><li>a<li value=7>b<li>c<li value=x>d<li value=-2>e</ol>", "1. a\n7. b\n8. c\n9. d\n-2. e"),
+        ("<ol reversed><!-- <li> --><script>'<li>'</script><li>a<li>b</ol>", "2. a\n1. b"),
+        # what is visible inside something hidden
+        ("<div style='visibility:hidden'>a<p style='visibility: visible'>b<i>c</i></p>d</div>e", "bc\n\ne"),
+        ("<div style='display:none'>a<p style='visibility:visible'>b</p></div>e", "e"),
+        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c<tr><td>1<td>2<td>3</table>", "a     c\n1  2  3"),
+        ("x <input style='visibility:hidden' value=v> y", "x y"),
+    ],
+)
+def test_layout_of_spans_wide_cells_numbers_and_visible_children(html, text):
+    assert show(html) == text
+
+
+def test_many_spans_and_reversed_lists_end_soon():
+    for html in ("<ol reversed>" * 20000, "<ol reversed><li>x" * 3000, "<table>" + "<tr><td rowspan=65534 colspan=100>x" * 300, f"<table>{'<tr><td>' + 'w' * 3000 + '<td>x' * 2}</table>"):
+        assert len(show(html)) < 200 * len(html)
