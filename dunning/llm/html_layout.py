@@ -59,6 +59,8 @@ IMPLIED_END = {
 #: Widest line of a cell that others follow in its row (wider ones go on below), and the space between columns.
 WIDEST, GUTTER = 160, "  "
 MAX_SPAN, MAX_ROWS = 100, 65534
+#: Columns in which spans are followed; further right a cell takes one column of its own row.
+MAX_COLUMNS = 1000
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -151,8 +153,9 @@ class Table:
         while self.hanging.get(len(row), 0) > 0:
             self.hanging[len(row)] -= 1
             row.append([])
-        for k in range(columns):
-            self.hanging[len(row)] = rows - 1
+        for k in range(columns if len(row) + columns <= MAX_COLUMNS else 1):
+            if rows > 1 and len(row) < MAX_COLUMNS:
+                self.hanging[len(row)] = rows - 1
             row.append([] if k else lines)
 
     def lines(self) -> list[str]:
@@ -161,7 +164,8 @@ class Table:
         for row in rows:
             widths += [0] * (len(row) - len(widths))
             for i, cell in enumerate(row[:-1]):
-                widths[i] = max(widths[i], *map(len, cell), 0)
+                if cell:
+                    widths[i] = max(widths[i], *map(len, cell))
         for row in rows:  # a last cell widens its column up to the same bound
             if row:
                 widths[len(row) - 1] = max(widths[len(row) - 1], *(len(x) for x in row[-1] if len(x) <= WIDEST), 0)
@@ -169,7 +173,7 @@ class Table:
         for row in rows:
             for k in range(max(map(len, row), default=0)):
                 parts = [cell[k] if k < len(cell) else "" for cell in row]
-                out.append(GUTTER.join(p.ljust(w) for p, w in zip(parts, widths, strict=False)).rstrip())
+                out.append(GUTTER.join(p.ljust(w) for p, w in zip(parts, widths, strict=False) if w or p).rstrip())
         return out
 
 
