@@ -20,6 +20,7 @@ null or repeated ids or a null label are left out or count once each.
 from __future__ import annotations
 
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SAMPLE_DOCS, SAMPLE_LINES = 6000, 1000
 #: A document is predicted good from this score on.
 THRESHOLD = 0.3
 SEED = 3
+#: Lines of a stretch that are worked through one after another.
+STRETCH = 512
 STEPS = 250
 RIDGE = 1e-3
 
@@ -116,13 +119,40 @@ def with_neighbours(shapes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class Chains:
-    """The lines of many documents as a batch of chains, longest first."""
+    """The lines of many documents as chains, worked on side by side.
+
+    Long documents are cut into stretches of ``STRETCH`` lines. What a stretch does to the two states
+    before it is one 2 x 2 matrix; these pass on what comes in from left and right, stretch by stretch, and then
+    all stretches are worked on at once. So the steps taken grow with the number of stretches, not of lines.
+    """
 
     def __init__(self, doc: np.ndarray):
-        self.docs, first, sizes = np.unique(doc, return_index=True, return_counts=True)
-        order = np.argsort(-sizes, kind="stable")
-        self.docs, first, sizes = self.docs[order], first[order], sizes[order]
-        self.steps = [first[: np.searchsorted(-sizes, -t)] + t for t in range(int(sizes[0]) if len(sizes) else 0)]
+        _, first, sizes = np.unique(doc, return_index=True, return_counts=True)
+        pieces = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        length = np.minimum(STRETCH, sizes[owner] - nth * STRETCH)
+        order = np.argsort(-length, kind="stable")
+        self.start = (first[owner] + nth * STRETCH)[order]
+        length = length[order]
+        self.last = self.start + length - 1
+        self.steps = [self.start[: np.searchsorted(-length, -t)] + t for t in range(int(length[0]) if len(length) else 0)]
+        self.opens = nth[order] == 0
+        place = np.argsort(order)
+        #: Stretches that are the first, second, ... after a document's opening one, and the stretch before each.
+        by_round = np.argsort(nth, kind="stable")
+        cuts = np.searchsorted(nth[by_round], np.arange(1, int(nth.max()) + 2)) if len(nth) else []
+        self.rounds = [(place[now - 1], place[now]) for now in (by_round[a:b] for a, b in pairwise(cuts))]
+        self.follows = np.setdiff1d(np.arange(len(doc)), first, assume_unique=True)
+
+    def _forward(self, unary: np.ndarray, trans: np.ndarray, enter: np.ndarray) -> np.ndarray:
+        """Messages from the left, given those of the lines before the stretches."""
+        forward = np.zeros_like(unary)
+        for t, rows in enumerate(self.steps):
+            prev = forward[rows - 1] if t else enter
+            came = np.stack([np.logaddexp(prev[:, 0] + trans[0, b], prev[:, 1] + trans[1, b]) for b in (0, 1)], axis=1)
+            forward[rows] = unary[rows] + (came if t else np.where(self.opens[:, None], 0.0, came))
+        return forward
 
     def marginals(self, score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """P(good) of every line, expected transition counts (2 x 2) and the log of the partition functions' product.
@@ -131,28 +161,26 @@ class Chains:
         """
         n = len(score)
         unary = np.stack([np.zeros(n), score], axis=1)
-        forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-        log_z = 0.0
-        for t, rows in enumerate(self.steps):
-            forward[rows] = unary[rows]
-            if t:
-                prev = forward[rows - 1]
-                for b in (0, 1):
-                    forward[rows, b] += np.logaddexp(prev[:, 0] + trans[0, b], prev[:, 1] + trans[1, b])
+        enter, leave = np.zeros((len(self.start), 2)), np.zeros((len(self.start), 2))
+        if self.rounds:
+            alone = [self._forward(unary, trans, np.broadcast_to(e, enter.shape))[self.last] for e in (np.array([0.0, -np.inf]), np.array([-np.inf, 0.0]))]
+            through, done = np.stack(alone, axis=1), alone[0].copy()  # what an opening stretch ends with needs nothing before it
+            for prev, now in self.rounds:
+                enter[now] = done[prev]
+                done[now] = np.logaddexp(done[prev, :1] + through[now, 0], done[prev, 1:] + through[now, 1])
+            for prev, now in reversed(self.rounds):
+                leave[prev] = np.logaddexp(through[now, :, 0] + leave[now, :1], through[now, :, 1] + leave[now, 1:])
+        forward, backward = self._forward(unary, trans, enter), np.zeros((n, 2))
+        backward[self.last] = leave
         for rows in reversed(self.steps[1:]):
             back = unary[rows] + backward[rows]
             for a in (0, 1):
                 backward[rows - 1, a] = np.logaddexp(back[:, 0] + trans[a, 0], back[:, 1] + trans[a, 1])
         both = forward + backward
         z = np.logaddexp(both[:, 0], both[:, 1])
-        pairs = np.zeros((2, 2))
-        for rows in self.steps[1:]:
-            for a in (0, 1):
-                for b in (0, 1):
-                    pairs[a, b] += np.exp(forward[rows - 1, a] + trans[a, b] + unary[rows, b] + backward[rows, b] - z[rows]).sum()
-        if self.steps:
-            log_z = z[self.steps[0]].sum()
-        return np.exp(both[:, 1] - z), pairs, log_z
+        rows, ahead = self.follows, unary + backward
+        pairs = np.array([[np.exp(forward[rows - 1, a] + trans[a, b] + ahead[rows, b] - z[rows]).sum() for b in (0, 1)] for a in (0, 1)])
+        return np.exp(both[:, 1] - z), pairs, float(z[self.start[self.opens]].sum())
 
 
 def doc_quality(marginal: np.ndarray, size: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:

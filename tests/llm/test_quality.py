@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dunning.llm import line_crf, registry
@@ -12,7 +14,9 @@ from dunning.llm import line_crf, registry
 SF = "/root/testdata/sf0.1"
 
 
-def test_marginals_are_those_of_all_labelings():
+@pytest.mark.parametrize("stretch", [1, 2, 3, 512])
+def test_marginals_are_those_of_all_labelings(stretch, monkeypatch):
+    monkeypatch.setattr(line_crf, "STRETCH", stretch)
     rng = np.random.default_rng(0)
     doc = np.array([0, 0, 0, 1, 2, 2, 2, 2])
     score, trans = rng.normal(size=8), rng.normal(size=(2, 2))
@@ -30,6 +34,24 @@ def test_marginals_are_those_of_all_labelings():
     assert np.allclose(got, expected) and np.allclose(pairs, counts) and np.isclose(log_z, total)
 
 
+def test_one_very_long_document_takes_seconds(monkeypatch):
+    rng = np.random.default_rng(1)
+    doc = np.r_[np.zeros(400_000, int), np.full(700, 1), np.full(3, 2)]
+    score, trans = rng.normal(size=len(doc)) * 3, rng.normal(size=(2, 2))
+    began = time.process_time()
+    got, pairs, log_z = line_crf.Chains(doc).marginals(score, trans)
+    assert time.process_time() - began < 10
+    monkeypatch.setattr(line_crf, "STRETCH", 5000)  # cut elsewhere
+    other = line_crf.Chains(doc).marginals(score, trans)
+    assert np.allclose(got, other[0]) and np.allclose(pairs, other[1]) and np.isclose(log_z, other[2])
+    assert np.isclose(pairs.sum(), len(doc) - 3)
+    text = "\n".join(f"line {k} of a text, and more" for k in range(400_000)).encode()
+    model = line_crf.fit(*line_crf.line_shapes([b"good line\nand more", b"$$$ !!!\n###"]), np.array([1, 0]))
+    began = time.process_time()
+    assert 0 <= line_crf.scores([text, b"x"], model)[0] <= 1
+    assert time.process_time() - began < 30
+
+
 def test_shapes_do_not_depend_on_the_batch():
     rng = random.Random(0)
     texts = ["".join(rng.choice("ab A1.!|$é \n\t") for _ in range(rng.randint(0, 60))).encode() for _ in range(50)] + [None, b"", b"\n\n", b" ", b"x"]
