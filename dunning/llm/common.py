@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,12 +93,16 @@ def as_bytes(values: pa.Array) -> list[bytes | None]:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; only
-    where none is set, as in tests, one in the warehouse."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. A local session that names
+    none, as in tests, gets one in its warehouse; on a cluster that is an error, as no other folder is known to be shared."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

@@ -23,7 +23,7 @@ def folder(spark, make_docs, stored):
     good = next(r for r in rows if len(r[1]) > 800 and "!!" not in r[1] and "%%%" not in r[1] and " | " not in r[1])
     rows += [(900001, good[1], "en", "src0"), (900002, good[1] + "\ntoken = 0123456789abcdef0123", "en", "src0"), (900003, None, None, None), (900004, "", "en", None), (None, good[1].upper(), None, "src1"), (900005, good[1] + " tail words", "en", "src1"), (900005, good[1] + " tail words", "en", "src1")]
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    return stored(documents=make_docs(rows).withColumn("size", F.lit("extra")), labels=labels)
+    return stored(documents=make_docs(rows).withColumns({c: F.lit("extra") for c in ("size", "quality_score", "score", "ids", "pass", "c0")}), labels=labels)
 
 
 def test_against_a_plain_version(spark, folder):
