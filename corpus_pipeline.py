@@ -1,8 +1,9 @@
 """The corpus pipeline: documents in, token ids of a clean, deduplicated, mixed corpus out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet and read again as the next stage's docs. Every stage but the last returns
-the columns of documents. Nulls, empty and repeated rows are handled as the
+Parquet, into a new folder of the shared checkpoint folder, and read again as the next stage's docs. run() leaves
+these folders, as its result is read from the last of them; remove ``corpus-*`` when the result is stored.
+Every stage but the last returns the columns of documents. Nulls, empty and repeated rows are handled as the
 operators say: documents without text get the share of good ones as their score
 and, if that keeps them, are one group of duplicates, hold no secret and have no words, so the mix leaves them out.
 """
@@ -16,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dunning.llm import line_crf, mixing, piece_bpe, secrets, simhash
-from dunning.llm.common import checkpoint_folder, read_table
+from dunning.llm.common import checkpoint_folder, positional, read_table
 from dunning.llm.registry import quality_model, tokenizer_file
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = line_crf.with_score(docs, quality_model(spark, docs, sf_dir), out="quality_score")
-    return scored.where(F.col("quality_score") >= line_crf.THRESHOLD).select(*docs.columns)
+    scored = line_crf.with_score(docs, quality_model(spark, docs, sf_dir))
+    kept = positional(scored)  # the score is the last column, whatever the others are called
+    return kept.where(F.col(kept.columns[-1]) >= line_crf.THRESHOLD).drop(kept.columns[-1]).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
