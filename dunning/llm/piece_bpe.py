@@ -29,7 +29,7 @@ import re
 from array import array
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ SEED = 4
 #: Chunks remembered by a worker; bounds memory, not results.
 REMEMBERED = 500_000
 #: Chunks whose draws are made at once; bounds memory, not results.
-AT_ONCE = 100_000
+AT_ONCE = 400_000
 #: Longer chunks (in characters) are not remembered.
 LONGEST = 64
 
@@ -252,12 +252,12 @@ def salts(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _gather(flat: array | np.ndarray, kind: type, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of ``flat`` one after another, and the number of the stretch that each value is of."""
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(owner)) + (starts - (ends - sizes))[owner]
-    return np.frombuffer(flat, kind)[at] if len(at) else np.empty(0, kind), owner
+def _gather(flat: array | np.ndarray, kind: type, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after another."""
+    before = np.cumsum(sizes) - sizes
+    at = np.repeat(starts - before, sizes)
+    at += np.arange(len(at))
+    return np.frombuffer(flat, kind)[at] if len(at) else np.empty(0, kind)
 
 
 class Agendas:
@@ -291,7 +291,7 @@ class Agendas:
         out = []
         for flat, sizes, kind in ((0, 1, np.int32), (2, 3, np.uint64)):
             every = np.concatenate([np.empty(0, np.int64), *[m[sizes] for m in made]])
-            out += [_gather(np.concatenate([np.empty(0, kind), *[m[flat] for m in made]]), kind, (np.cumsum(every) - every)[back], every[back])[0], every[back]]
+            out += [_gather(np.concatenate([np.empty(0, kind), *[m[flat] for m in made]]), kind, (np.cumsum(every) - every)[back], every[back]), every[back]]
         return tuple(out)
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -384,18 +384,19 @@ class States:
         """Ids of all the chunks, and how many each has. ``keys``: of a chunk's document; ``places``: of the chunk in it."""
         if len(self.roots) > self.room:
             self.forget()
-        found = list(map(self.roots.get, chunks))
-        if None in found:
-            unknown = {c for c, state in zip(chunks, found) if state is None and len(c) <= LONGEST}
-            if unknown:
-                self._learn(list(unknown))
-            found = [self.roots.get(c, -1) for c in chunks]
-        states, salt = np.array(found, np.int64), salts(keys, places)
+        states = np.fromiter(map(self.roots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(states < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(c for c in map(chunks.__getitem__, new) if len(c) <= LONGEST)))
+            states[new] = [self.roots.get(chunks[i], -1) for i in new]
+        salt = salts(keys, places)
         known = np.flatnonzero(states >= 0)
         starts, sizes = self._spans(self.place_ends, states[known])
-        values, owner = _gather(self.places, np.uint64, starts, sizes)
-        skips = (values ^ salt[known][owner]) * np.uint64(MIX[1]) <= np.uint64(self.limit - 1)
-        again = known[np.unique(owner[skips])]
+        hashes = _gather(self.places, np.uint64, starts, sizes)
+        hashes ^= np.repeat(salt[known], sizes)
+        hashes *= np.uint64(MIX[1])
+        skips = np.flatnonzero(hashes <= np.uint64(self.limit - 1))
+        again = known[np.unique(np.searchsorted(np.cumsum(sizes), skips, "right"))]
         drawn, many, _, _ = self.agendas.run([chunks[i] for i in again], self.limit, salt[again])
         long = np.flatnonzero(states < 0)  # drawn at once, not remembered
         apart = [np.array(self.pieces.drawn(chunks[i], self.limit, int(salt[i])), np.int32) for i in long]
@@ -405,7 +406,7 @@ class States:
         starts[again], sizes[again] = len(self.ids) + np.cumsum(many) - many, many
         sizes[long] = [len(x) for x in apart]
         starts[long] = len(self.ids) + len(drawn) + np.cumsum(sizes[long]) - sizes[long]
-        return _gather(pool, np.int32, starts, sizes)[0], sizes
+        return _gather(pool, np.int32, starts, sizes), sizes
 
 
 @lru_cache(maxsize=2)
@@ -432,7 +433,7 @@ def _lossless(pieces: Pieces, texts: list[str | None], found: list[np.ndarray])
     """Whether the ids of a text spell it, for all texts at once."""
     starts, lengths = pieces.spans
     ids = np.concatenate([np.empty(0, np.int32), *found])
-    spelled = _gather(pieces.spelling, np.uint8, starts[ids], lengths[ids])[0].tobytes()
+    spelled = _gather(pieces.spelling, np.uint8, starts[ids], lengths[ids]).tobytes()
     upto = np.r_[0, np.cumsum(lengths[ids])][np.r_[0, np.cumsum([len(x) for x in found], dtype=np.int64)]].tolist()
     return [None if text is None else spelled[a + 1 : b] == text.encode() for text, a, b in zip(texts, upto, upto[1:], strict=False)]
 
