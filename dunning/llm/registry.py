@@ -121,8 +121,8 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         sketch.as_text(F.col("kept")).alias("fingerprint"),
         sketch.as_text(F.col("edited_kept")).alias("edited_fingerprint"),
-        sketch.likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        sketch.likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        sketch.text_likeness(F.col("text"), F.col("edited"), F.col("kept"), F.col("edited_kept")).alias("near_edited"),
+        sketch.text_likeness(F.col("text"), F.col("next_text"), F.col("kept"), F.col("next_kept")).alias("near_next"),
     )
 
 

@@ -3,11 +3,12 @@
 A sketch keeps every distinct shingle hash that lies in the lowest ``FRACTION`` of all
 64-bit numbers. So the sketch of a union is the union of sketches, and the share of
 one sketch found in another estimates containment, however unequal the documents
-are. Only a text none of whose shingles falls below the threshold keeps its smallest
-hash instead, so that short texts still compare.
+are. A text none of whose shingles falls below the threshold (it has few) is kept whole
+instead; two such texts compare exactly, but of one and another kind of sketch nothing follows, and their likeness is
+null. Where the texts are at hand, as in ``edits``, they are then compared by all their hashes.
 
 The fingerprint is the sorted sketch in hexadecimal, 16 digits a hash. Likeness is the
-share of the smaller sketch that the other holds.
+share of the smaller sketch (or text) that the other holds.
 
 Nulls and edges: a null text is an empty one; a text without words has an empty
 fingerprint, like 1 to another such text and 0 to any other; fewer words than a
@@ -43,31 +44,44 @@ def hashes(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
 
 def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
     """Sorted kept hashes (array of long) of a text; null counts as empty."""
-    below = FIRST + (1 << 64) // scale
+    return let(hashes(F.coalesce(text, F.lit("")), shingle_words), lambda found: _kept(found, scale))
 
-    def kept(found: Column) -> Column:
-        low = F.array_distinct(F.filter(found, lambda h: h < F.lit(below)))
-        return F.when((F.size(low) > 0) | (F.size(found) == 0), F.sort_array(low)).otherwise(F.array(F.array_min(found)))
 
-    return let(hashes(F.coalesce(text, F.lit("")), shingle_words), kept)
+def _kept(found: Column, scale: int = SCALE) -> Column:
+    """The hashes below the threshold, or all where there is none."""
+    low = F.array_distinct(F.filter(found, lambda h: h < F.lit(FIRST + (1 << 64) // scale)))
+    return F.sort_array(F.when(F.size(low) > 0, low).otherwise(F.array_distinct(found)))
+
+
+def whole(kept: Column, scale: int = SCALE) -> Column:
+    """Whether the sketch holds all hashes of its text, as none is below the threshold; so does an empty one."""
+    return (F.size(kept) == 0) | (F.get(kept, F.lit(0)) >= F.lit(FIRST + (1 << 64) // scale))
 
 
 def merged(sketches: Column) -> Column:
-    """Aggregate: the sketch of all texts together (of texts long enough to have hashes below the threshold)."""
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(sketches))))
+    """Aggregate: the sketch of all texts together."""
+    return let(F.flatten(F.collect_set(sketches)), lambda found: _kept(found))
 
 
 def contained(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` holds."""
+    """Estimated share of ``a``'s shingles that ``b`` holds; null where the sketches cannot tell."""
     both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, 1.0).when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(both_empty, 1.0).when(F.size(a) == 0, 0.0).when((F.size(b) == 0) | (whole(a) == whole(b)), share)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the larger, 0 to 1."""
-    least = F.least(F.size(a), F.size(b))
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+    """Containment of the smaller in the larger, 0 to 1; null where one sketch is whole and the other is not."""
+    either, both = (F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == 0) & (F.size(b) == 0)
+    share = F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
+    return F.when(both, 1.0).when(either, 0.0).when(whole(a) == whole(b), share)
+
+
+def text_likeness(a: Column, b: Column, kept_a: Column, kept_b: Column) -> Column:
+    """Likeness by the sketches or, where these cannot tell, by all hashes of both texts (one of which is short)."""
+    sets = [F.array_distinct(hashes(F.coalesce(t, F.lit("")))) for t in (a, b)]
+    exact = let(F.struct(sets[0].alias("a"), sets[1].alias("b")), lambda s: F.size(F.array_intersect(s["a"], s["b"])) / F.least(F.size(s["a"]), F.size(s["b"])))
+    return F.coalesce(likeness(kept_a, kept_b), exact)
 
 
 def as_text(kept: Column) -> Column:
@@ -111,7 +125,7 @@ def edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     """Every document's sketch beside that of its edited text and that of the next document.
 
     The edited text has its last half replaced by as much of the beginning of the next
-    document. Columns: doc_id, n_chars, edited, kept, edited_kept, next_kept.
+    document. Columns: doc_id, n_chars, text, edited, next_text, kept, edited_kept, next_kept.
     """
     docs = narrow(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("*", sketch(F.col("text")).alias("kept"), F.xxhash64("text").alias("tie"))
@@ -119,5 +133,5 @@ def edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    made = followed.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "kept", F.col("next_kept"))
+    made = followed.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text", "kept", "next_kept")
     return made.withColumn("edited_kept", sketch(F.col("edited")))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from dunning.llm import registry, sketch
 
 LOW = (1 << 64) - 1
+EDGE = -(1 << 63) + (1 << 64) // sketch.SCALE
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def plain_sketch(text: str | None) -> list[int]:
+def plain_hashes(text: str | None) -> set[int]:
     words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     found = []
     for i in range(max(len(words) - 4, 1) if words else 0):
@@ -26,8 +27,12 @@ def plain_sketch(text: str | None) -> list[int]:
         for w in words[i : i + 5]:
             seed = xxhash.xxh64_intdigest(struct.pack("<q", w), seed & LOW)
         found.append(signed(seed))
-    low = sorted({h for h in found if h < -(1 << 63) + (1 << 64) // sketch.SCALE})
-    return low or ([min(found)] if found else [])
+    return set(found)
+
+
+def plain_sketch(text: str | None) -> list[int]:
+    found = plain_hashes(text)
+    return sorted(h for h in found if h < EDGE) or sorted(found)
 
 
 def plain_rows(rows):
@@ -37,15 +42,18 @@ def plain_rows(rows):
         nxt = order[(k + 1) % len(order)][3]
         half = len(text) // 2
         edited = text[: len(text) - half] + nxt[:half]
-        a, b, c = (plain_sketch(t) for t in (text, edited, nxt))
+        a, b = (plain_sketch(t) for t in (text, edited))
 
-        def near(x, y):
+        def near(t, u):
+            x, y = set(plain_sketch(t)), set(plain_sketch(u))
             if not x or not y:
                 return 1.0 if not x and not y else 0.0
-            return len(set(x) & set(y)) / min(len(x), len(y))
+            if (min(x) < EDGE) != (min(y) < EDGE):
+                x, y = plain_hashes(t), plain_hashes(u)
+            return len(x & y) / min(len(x), len(y))
 
         as_text = ["".join(f"{h % (1 << 64):016x}" for h in s) for s in (a, b)]
-        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), *as_text, near(a, b), near(a, c)))
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), *as_text, near(text, edited), near(text, nxt)))
     return out
 
 
@@ -89,3 +97,31 @@ def test_merging_and_containment(spark, make_docs):
 def test_main_path_has_no_python(spark):
     plan = registry.op9_scaled_sketch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|SinglePartition", plan)
+
+
+def test_short_passages_inside_long_texts_are_found(spark, make_docs, stored):
+    """Each passage of 1 to 10 shingles is followed by a long text that holds it, or by one that does not."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for k in range(200):
+        long = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        shingles, held, at = k % 10 + 1, k % 4 > 0, rng.randrange(300)
+        rows += [(2 * k, " ".join(long[at : at + shingles + 4] if held else [f"x{rng.random()}" for _ in range(shingles + 4)])), (2 * k + 1, " ".join(long))]
+        want[2 * k] = float(held)
+    got = {r.doc_id: r.near_next for r in registry.op9_scaled_sketch(spark, stored(documents=make_docs(rows))).collect()}
+    assert {i: got[i] for i in want} == want
+
+
+def test_sketches_that_cannot_tell_say_so(spark, make_docs):
+    texts = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(60)] + [" ".join(f"z{k}" for k in range(500)), ""]
+    made = make_docs(list(enumerate(texts))).select("doc_id", sketch.sketch(F.col("text")).alias("k"))
+    by = {r.doc_id: r.k for r in made.collect()}
+    pairs = made.alias("x").join(made.alias("y"), F.lit(True)).select(F.col("x.doc_id"), F.col("y.doc_id"), sketch.likeness(F.col("x.k"), F.col("y.k")), sketch.contained(F.col("x.k"), F.col("y.k")))
+    for i, j, near, share in pairs.collect():
+        a, b = by[i], by[j]
+        if not a or not b:
+            assert near == share == float(not a and not b)
+        elif (min(a) < EDGE) != (min(b) < EDGE):
+            assert near is None and share is None
+        else:
+            assert near == len(set(a) & set(b)) / min(len(a), len(b)) and share == len(set(a) & set(b)) / len(a)
