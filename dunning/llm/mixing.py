@@ -8,7 +8,7 @@ it allows. A pattern's routed words become whole passes over its documents plus
 one part pass, for which documents are taken in the order of a seeded hash of
 their id until the part is reached.
 
-Only patterns (not documents) come to the driver. The place in the hash order
+Only patterns (not documents) come to the driver: one short row for each set of sources that occurs. The place in the hash order
 where the part pass ends is found in Spark: sums per pattern and hash prefix find the prefix
 that holds it, and only that prefix's documents are put in order.
 
@@ -20,7 +20,6 @@ A source whose documents have no words gets target 0.
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -30,9 +29,11 @@ from pyspark.sql import functions as F
 from dunning.llm.common import checkpointed
 
 WEIGHTS = (1, 2, 3)
-#: Most often that a document may be taken, and the cost per word of each pass.
+#: Most often that a document may be taken, and the cost per word of each pass (any rising costs give the same flow).
 MAX_PASSES = 3
 PASS_COSTS = (0, 1, 3)
+#: Most rows of a plan (patterns or sources) that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 SEED = 6
 #: Leading hex digits of the hash by which sizes are summed.
 PREFIX_DIGITS = 4
@@ -67,59 +68,95 @@ def targets(sizes: list[int], weights: list[int], cap: int = MAX_PASSES) -> list
     return out
 
 
-def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], costs: tuple[int, ...] = PASS_COSTS) -> list[list[int]]:
-    """Words per pattern and source: as much of the quotas as can be routed, at the least cost.
+class Network:
+    """Arcs from patterns to sources and from sources to the end; the words a pattern may still send are added pass by pass.
 
-    Successive shortest paths with potentials; arcs: start to pattern, one for each
-    pass; pattern to each of its sources; source to end.
+    Only the arcs out of the start cost anything, and a path leaves the start once. So the cheapest
+    flow is a largest one over the first passes, enlarged over the second ones, and so on.
     """
-    p, s = len(capacity), len(quota)
-    start, end = p + s, p + s + 1
-    arcs: list[list[int]] = []  # to, room, cost
-    out: list[list[int]] = [[] for _ in range(p + s + 2)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        for frm, to, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            out[frm].append(len(arcs))
-            arcs.append([to, r, c])
-
-    for i, words in enumerate(capacity):
-        for cost in costs:
-            arc(start, i, words, cost)
-    routes = []
-    for i, sources in enumerate(members):
+
+    def __init__(self, patterns: int, members: list[list[int]], quota: list[int]):
+        self.patterns, self.end = patterns, patterns + len(quota)
+        self.out: list[list[int]] = [[] for _ in range(self.end + 1)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.routes = [[self._arc(i, patterns + j, 1 << 62) for j in sources] for i, sources in enumerate(members)]
+        for j, words in enumerate(quota):
+            self._arc(patterns + j, self.end, words)
+        self.supply = [0] * patterns
+
+    def _arc(self, a: int, b: int, room: int) -> int:
+        for frm, to, r in ((a, b, room), (b, a, 0)):
+            self.out[frm].append(len(self.to))
+            self.to.append(to)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def _levels(self) -> list[int]:
+        level = [-1] * len(self.out)
+        near = [i for i, words in enumerate(self.supply) if words]
+        for i in near:
+            level[i] = 0
+        while near and level[self.end] < 0:
+            found = []
+            for a in near:
+                for e in self.out[a]:
+                    if self.room[e] and level[self.to[e]] < 0:
+                        level[self.to[e]] = level[a] + 1
+                        found.append(self.to[e])
+            near = found
+        return level
+
+    def enlarge(self, words: list[int]) -> None:
+        """Route as much as can be of so many more words per pattern; all shortest paths of a round in one step."""
+        self.supply = [old + new for old, new in zip(self.supply, words, strict=True)]
+        while (level := self._levels())[self.end] >= 0:
+            ahead = [0] * len(self.out)  # the arc of each node to try next
+            for i in range(self.patterns):
+                while self.supply[i] and level[i] == 0 and (path := self._path(i, level, ahead)):
+                    sent = min(self.supply[i], *(self.room[e] for e in path))
+                    self.supply[i] -= sent
+                    for e in path:
+                        self.room[e] -= sent
+                        self.room[e ^ 1] += sent
+
+    def _path(self, start: int, level: list[int], ahead: list[int]) -> list[int]:
+        path, at = [], start
+        while at != self.end:
+            while ahead[at] < len(self.out[at]):
+                e = self.out[at][ahead[at]]
+                if self.room[e] and level[self.to[e]] == level[at] + 1:
+                    path.append(e)
+                    at = self.to[e]
+                    break
+                ahead[at] += 1
+            else:  # a dead end
+                if not path:
+                    return []
+                at = self.to[path.pop() ^ 1]
+                ahead[at] += 1
+        return path
+
+
+def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int]) -> list[dict[int, int]]:
+    """Per pattern the words for each of its sources: as much of the quotas as can be routed, at the least cost.
+
+    A pattern whose one source no other pattern has cannot choose and bypasses the network.
+    """
+    passes = len(PASS_COSTS)
+    users = [0] * len(quota)
+    for sources in members:
         for j in sources:
-            routes.append((i, j, len(arcs)))
-            arc(i, p + j, len(costs) * capacity[i], 0)
-    for j, words in enumerate(quota):
-        arc(p + j, end, words, 0)
-    height = [0] * (p + s + 2)
-    while True:
-        far, by = [float("inf")] * (p + s + 2), [-1] * (p + s + 2)
-        far[start], heap = 0, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for e in out[a]:
-                to, room, cost = arcs[e]
-                if room > 0 and (new := d + cost + height[a] - height[to]) < far[to]:
-                    far[to], by[to] = new, e
-                    heapq.heappush(heap, (new, to))
-        if by[end] < 0:
-            break
-        height = [h + (f if f < float("inf") else 0) for h, f in zip(height, far, strict=True)]
-        room, a = float("inf"), end
-        while a != start:
-            room, a = min(room, arcs[by[a]][1]), arcs[by[a] ^ 1][0]
-        a = end
-        while a != start:
-            arcs[by[a]][1] -= room
-            arcs[by[a] ^ 1][1] += room
-            a = arcs[by[a] ^ 1][0]
-    flow = [[0] * s for _ in range(p)]
-    for i, j, e in routes:
-        flow[i][j] = arcs[e ^ 1][1]
+            users[j] += 1
+    alone = [len(sources) == 1 and users[sources[0]] == 1 for sources in members]
+    flow = [{sources[0]: min(passes * words, quota[sources[0]])} if one else {} for words, sources, one in zip(capacity, members, alone, strict=True)]
+    choosing = [i for i, one in enumerate(alone) if not one]
+    if choosing:
+        net = Network(len(choosing), [members[i] for i in choosing], quota)
+        for _ in range(passes):
+            net.enlarge([capacity[i] for i in choosing])
+        for i, routes in zip(choosing, net.routes, strict=True):
+            flow[i] = {j: net.room[e ^ 1] for j, e in zip(members[i], routes, strict=True)}
     return flow
 
 
@@ -137,7 +174,7 @@ def _plan(rows: DataFrame, weights: tuple[int, ...]) -> tuple[list[tuple], list[
     flow = min_cost_flow([size for _, size in found], [[place[x] for x in pattern] for pattern, _ in found], [math.floor(x + 0.5) for x in wanted])
     plan = []
     for (pattern, size), row in zip(found, flow, strict=True):
-        whole, part = divmod(sum(row), size) if size else (0, 0)
+        whole, part = divmod(sum(row.values()), size) if size else (0, 0)
         plan.append((pattern, size, whole, part))
     return plan, [(x, sizes[i], wanted[i]) for x, i in place.items()]
 
@@ -159,6 +196,12 @@ class Mix:
     sources: DataFrame
     passes: DataFrame
     seed: int
+    patterns: int
+
+
+def sized(plan: DataFrame, rows: int) -> DataFrame:
+    """A plan of so many rows, to be broadcast if these are few."""
+    return F.broadcast(plan) if rows <= BROADCAST_ROWS else plan
 
 
 def plan_mix(df: DataFrame, doc_id: Column, sources: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> Mix:
@@ -171,24 +214,24 @@ def plan_mix(df: DataFrame, doc_id: Column, sources: Column, size: Column, weigh
     plan, by_source = _plan(sums, weights)
     plans = spark.createDataFrame([(x, whole, part) for x, _, whole, part in plan], "pattern array<string>, whole long, part long")
     upto = Window.partitionBy("pattern").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).join(F.broadcast(plans), "pattern")
+    cut = sums.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).join(sized(plans, len(plan)), "pattern")
     cut = cut.where((F.col("part") > 0) & (F.col("before") < F.col("part")) & (F.col("before") + F.col("size") >= F.col("part")))
     cut = cut.select("pattern", "prefix", (F.col("part") - F.col("before")).alias("need"))  # one row per pattern
     # the documents of the one prefix where the part pass ends, summed by key and put in order
-    edge = slim.join(F.broadcast(cut), ["pattern", "prefix"]).groupBy("pattern", "prefix", "key", "need").agg(F.sum("size").alias("size"))
+    edge = slim.join(sized(cut, len(plan)), ["pattern", "prefix"]).groupBy("pattern", "prefix", "key", "need").agg(F.sum("size").alias("size"))
     so_far = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("middle", F.sum("size").over(so_far) - F.col("size") / 2)
     # a document whose middle lies before the end is taken: the sum nearest to what is needed
     ends = edge.groupBy("pattern").agg(F.coalesce(F.max(F.when(F.col("middle") <= F.col("need"), F.col("key"))), F.min("prefix")).alias("last"))
     passes = checkpointed(plans.join(ends, "pattern", "left").select("pattern", "whole", "last"))
-    return Mix(rows, spark.createDataFrame(by_source, "source string, source_size long, target double"), passes, seed)
+    return Mix(rows, spark.createDataFrame(by_source, "source string, source_size long, target double"), passes, seed, len(plan))
 
 
 def taken(df: DataFrame, mix: Mix, pattern: str, key: str, has_words: Column, out: str = "passes") -> DataFrame:
     """``df`` and how often the mix takes each row. The plan has one row per pattern."""
     plan = mix.passes.select(F.col("pattern").alias("mix_pattern"), F.col("whole").alias("mix_whole"), F.col("last").alias("mix_last"))
     part = F.when(F.col(key) <= F.col("mix_last"), 1).otherwise(0)
-    joined = df.join(F.broadcast(plan), F.col(pattern) == F.col("mix_pattern"), "left")
+    joined = df.join(sized(plan, mix.patterns), F.col(pattern) == F.col("mix_pattern"), "left")
     return joined.withColumn(out, F.when(has_words, F.col("mix_whole") + part).otherwise(0).cast("long")).drop("mix_pattern", "mix_whole", "mix_last")
 
 

@@ -64,8 +64,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan_mix(docs, F.col("doc_id"), F.array("source"), mixing.word_count(F.col("text")))
     rows = mixing.taken(mix.rows, mix, "pattern", "key", F.col("size") > 0)
     rows = rows.withColumn("source", F.col("pattern")[0])
-    by_source = mix.sources.withColumnRenamed("source", "name")
-    joined = rows.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("name")))
+    by_source = mixing.sized(mix.sources.withColumnRenamed("source", "name"), mix.patterns)  # here each source is one pattern
+    joined = rows.join(by_source, F.col("source").eqNullSafe(F.col("name")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 

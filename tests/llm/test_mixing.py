@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -29,6 +30,32 @@ def plain_cost(flow: list[int], capacity: list[int]) -> int:
     return sum(min(max(f - k * c, 0), c) * cost for f, c in zip(flow, capacity) for k, cost in enumerate(mixing.PASS_COSTS))
 
 
+def best_flow(capacity: list[int], members: list[list[int]], quota: list[int]) -> tuple[int, int]:
+    """Most words that can be routed and, negated, the least they cost, over all routings."""
+    p, best = len(capacity), (0, 0)
+
+    def routes(i, left, flow):
+        nonlocal best
+        if i == p:
+            best = max(best, (sum(flow), -plain_cost(flow, capacity)))
+            return
+        if not members[i]:
+            return routes(i + 1, left, [*flow, 0])
+        a = members[i][0]
+        for x in range(min(3 * capacity[i], left[a]) + 1):
+            rest = list(left)
+            rest[a] -= x
+            if len(members[i]) == 1:
+                routes(i + 1, rest, [*flow, x])
+            else:
+                b = members[i][1]
+                for y in range(min(3 * capacity[i] - x, rest[b]) + 1):
+                    routes(i + 1, [v - y if k == b else v for k, v in enumerate(rest)], [*flow, x + y])
+
+    routes(0, quota, [])
+    return best
+
+
 def test_flow_is_the_cheapest_full_one():
     rng = random.Random(1)
     for _ in range(60):
@@ -37,33 +64,11 @@ def test_flow_is_the_cheapest_full_one():
         members = [sorted(rng.sample(range(s), rng.randint(0, s))) for _ in range(p)]
         quota = [rng.randint(0, 6) for _ in range(s)]
         got = mixing.min_cost_flow(capacity, members, quota)
-        routed = [sum(r) for r in got]
-        assert all(got[i][j] == 0 for i in range(p) for j in range(s) if j not in members[i])
+        routed = [sum(r.values()) for r in got]
+        assert all(set(r) <= set(m) for r, m in zip(got, members))
         assert all(f <= 3 * c for f, c in zip(routed, capacity))
-        assert all(sum(got[i][j] for i in range(p)) <= quota[j] for j in range(s))
-        best = (0, 0)
-
-        def routes(i, left, flow):
-            nonlocal best
-            if i == p:
-                value = (sum(flow), -plain_cost(flow, capacity))
-                best = max(best, value)
-                return
-            if not members[i]:
-                return routes(i + 1, left, [*flow, 0])
-            a = members[i][0]
-            for x in range(min(3 * capacity[i], left[a]) + 1):
-                rest = list(left)
-                rest[a] -= x
-                if len(members[i]) == 1:
-                    routes(i + 1, rest, [*flow, x])
-                else:
-                    b = members[i][1]
-                    for y in range(min(3 * capacity[i] - x, rest[b]) + 1):
-                        routes(i + 1, [v - y if k == b else v for k, v in enumerate(rest)], [*flow, x + y])
-
-        routes(0, quota, [])
-        assert (sum(routed), -plain_cost(routed, capacity)) == best
+        assert all(sum(r.get(j, 0) for r in got) <= quota[j] for j in range(s))
+        assert (sum(routed), -plain_cost(routed, capacity)) == best_flow(capacity, members, quota)
 
 
 ROWS = [(i, " ".join(["w"] * (i % 7)), "en", ["a", "b", None, "ü", "z"][i % 5 if i % 3 else 0]) for i in range(400)] + [(3, None, None, "a"), (3, "x y", None, "a"), (3, "x y", None, "a"), (None, "x", None, "b"), (7, "\x1c\x85 x\x0by", None, "only"), (8, "", None, "empty"), (9, "w " * 30000, None, "z")]
@@ -116,3 +121,44 @@ def test_overlapping_sources_and_the_mix(spark):
     assert max(times.values()) <= 3 and not {200, 201, 202} & set(times)
     words = made.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words <= sum(targets.values()) + 10
+
+
+def test_many_sources_are_planned_in_seconds():
+    rng = random.Random(3)
+    n = 10_000
+    capacity = [rng.randint(1, 10**9) for _ in range(n)]
+    wanted = [round(x) for x in mixing.targets(capacity, [1 + i % 3 for i in range(n)])]
+    began = time.process_time()
+    alone = mixing.min_cost_flow(capacity, [[i] for i in range(n)], wanted)
+    assert [sum(r.values()) for r in alone] == wanted
+    members = [sorted({i, rng.randrange(n), rng.randrange(n)}) for i in range(n)]
+    got = mixing.min_cost_flow(capacity, members, wanted)
+    assert time.process_time() - began < 60
+    assert all(sum(r.values()) <= 3 * c and set(r) <= set(m) for r, c, m in zip(got, capacity, members))
+    arrived = [0] * n
+    for r in got:
+        for j, words in r.items():
+            arrived[j] += words
+    assert all(a <= w for a, w in zip(arrived, wanted)) and sum(arrived) == sum(wanted)  # every quota can be met here
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_patterns_are_planned_at_the_least_cost(spark, seed):
+    """plan_mix's passes, taken back to words per pattern, cost what the best of all routings does."""
+    rng = random.Random(seed)
+    patterns = [["a"], ["b"], ["a", "b"]]
+    sizes = [rng.randint(1, 4) for _ in patterns]
+    docs = spark.createDataFrame([(f"{k}-{i}", of, 1) for k, of in enumerate(patterns) for i in range(sizes[k])], "id string, of array<string>, size long")
+    mix = mixing.plan_mix(docs, F.col("id"), F.col("of"), F.col("size"), weights=(1, 4))
+    quota = [int(r.target + 0.5) for r in mix.sources.orderBy("source").collect()]
+    rows = mixing.taken(mix.rows, mix, "pattern", "key", F.lit(True)).groupBy("pattern").agg(F.sum("passes").alias("n")).collect()
+    words = {tuple(r.pattern): r.n for r in rows}
+    routed = [words[tuple(of)] for of in patterns]
+    assert (sum(routed), -plain_cost(routed, sizes)) == best_flow(sizes, [[0], [1], [0, 1]], quota)
+
+
+def test_a_plan_beyond_the_bound_is_joined_by_shuffle(spark, make_docs, stored, monkeypatch):
+    folder = stored(documents=make_docs(ROWS))
+    want = sorted(map(str, registry.op6_source_mixing(spark, folder).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, registry.op6_source_mixing(spark, folder).collect())) == want
