@@ -9,12 +9,11 @@ largest length (0 for queries).
 
 The ascent stops when it has as many candidates as asked for and a vector as near as the
 worst of them would have shared a prefix this long in some tree with probability
-``CERTAINTY``; it needs no cap on candidates. A query whose neighbours are far ascends to the root,
-which is all vectors: the exact search.
+``CERTAINTY``; it needs no cap on candidates. The farther a query's neighbours, the shorter the prefix it
+ascends to; at certainty 1 that is the empty one, which all vectors share: the exact search.
 
-Vectors are dealt into forests of ``FOREST_ROWS`` by a hash of their id, and queries into
-blocks; each block meets each forest in a task of its own, and the best found are merged per query.
-Every vector is indexed.
+Vectors are dealt into forests of ``FOREST_ROWS`` by a hash of their id. A task builds a forest once
+and streams the queries past it; the best found are merged per query. Every vector is indexed.
 
 Nulls and edges: vectors that are null, zero, of another than the commonest length, or
 hold a null or non-finite component, and rows without an id, take no part; of rows
@@ -25,23 +24,21 @@ asked for, all are returned; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from functools import partial
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunning.llm.common import checkpointed, narrow
 
 TREES, BITS = 24, 32
-CERTAINTY = 0.98
+CERTAINTY = 0.94
+#: Vectors of a forest, on average over the hash, and queries whose prefixes are looked up at once.
 FOREST_ROWS, QUERY_ROWS = 65_536, 512
-#: Queries that reach the root are searched together, so many at once.
-ROOT_QUERIES = 64
 SEED = 1
-#: Prefix length from which on upwards a forest is scanned whole: there its trees' parts cover it.
-ROOT = 3
 
 
 def clean(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -90,6 +87,8 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS, seed: int = SEED):
         self.ids, self.vectors, self.longest, self.trees, self.bits = ids, vectors, longest, trees, bits
+        self.rough = vectors.astype(np.float32)
+        self.scored = 0
         scaled = vectors / longest
         filler = np.sqrt(np.maximum(1 - (scaled**2).sum(axis=1), 0))
         self.planes = projections(vectors.shape[1], trees, bits, seed)
@@ -123,49 +122,37 @@ class Forest:
             low = own >> rest << rest
             lows.append(np.stack([np.searchsorted(s, q) for s, q in zip(self.sorted, low, strict=True)]))
             highs.append(np.stack([np.searchsorted(s, q, "right") for s, q in zip(self.sorted, low + (np.uint64(1) << rest) - np.uint64(1), strict=True)]))
-        out, root = [], []
+        out = []
         for q in range(len(queries)):
             seen = np.zeros(n, bool)
-            places, scores, worst = [], [], -math.inf
-            length = int(longest[q])
+            places, scores, met, worst = [], [], 0, -math.inf
+            length, query = int(longest[q]), queries[q].astype(np.float32)
             while True:
-                if length <= ROOT:
-                    root.append(q)
-                    break
-                new = np.concatenate([self.order[t, lows[length][t, q] : highs[length][t, q]] for t in range(self.trees)])
                 fresh = np.zeros(n, bool)
-                fresh[new] = True
+                for t in range(self.trees):
+                    fresh[self.order[t, lows[length][t, q] : highs[length][t, q]]] = True
                 fresh &= ~seen
+                seen |= fresh
                 new = np.flatnonzero(fresh)
-                seen[new] = True
                 new = new[self.ids[new] != ids[q]]
                 if len(new):
                     places.append(new)
-                    scores.append(self.vectors[new] @ queries[q])
-                    if sum(map(len, places)) >= k:
-                        worst = np.partition(np.concatenate(scores), -k)[-k]
-                if worst == -math.inf:
-                    length -= 1
-                    continue
-                depth = self.depth(worst, lengths[q], certainty)
-                if depth >= length:
-                    place, score = np.concatenate(places), np.concatenate(scores)
-                    out.append(self._best(q, queries[q], place[score >= worst - self._slack(lengths[q])], k))
+                    scores.append(self.rough[new] @ query)
+                    met += len(new)
+                    if met >= k:
+                        worst = float(np.partition(np.concatenate(scores), -k)[-k])
+                if length == 0 or worst > -math.inf and self.depth(worst, lengths[q], certainty) >= length:
                     break
-                # one bit up; straight to the root if nothing below it can be certain enough
-                length = length - 1 if depth > ROOT else ROOT
-        for start in range(0, len(root), ROOT_QUERIES):
-            part = np.array(root[start : start + ROOT_QUERIES])
-            scores = queries[part] @ self.vectors.T
-            scores[ids[part][:, None] == self.ids[None, :]] = -math.inf
-            worst = np.partition(scores, -min(k, n), axis=1)[:, -min(k, n)]
-            for q, score, low in zip(part, scores, worst, strict=True):
-                out.append(self._best(q, queries[q], np.flatnonzero((score >= low - self._slack(lengths[q])) & (score > -math.inf)), k))
+                length -= 1
+            self.scored += met
+            if met:
+                place, score = np.concatenate(places), np.concatenate(scores)
+                out.append(self._best(q, queries[q], place[score >= worst - self._slack(lengths[q])], k))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
 
     def _slack(self, length: float) -> float:
-        """More than the summing order can change an inner product."""
-        return 1e-9 * length * self.longest
+        """More than single precision and the summing order can change an inner product."""
+        return 1e-4 * length * self.longest
 
     def _best(self, q: int, query: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         score = exact(self.vectors[place], query)
@@ -173,17 +160,32 @@ class Forest:
         return np.full(len(best), q), self.ids[place][best], score[best]
 
 
-def _meet(longest: float, k: int, certainty: float):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        rows, queries = rows.sort_values("vec_id"), queries.sort_values("vec_id")
-        forest = Forest(rows.vec_id.to_numpy(np.int64), np.stack(rows.v).astype(float), longest)
-        asked = queries.vec_id.to_numpy(np.int64)
-        place, found, score = forest.search(asked, np.stack(queries.v).astype(float), k, certainty)
-        return pd.DataFrame({"query_id": asked[place], "vec_id": found, "score": score})
-
-    return run
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], longest: float, k: int, certainty: float) -> Iterator[pa.RecordBatch]:
+    """Rows (forest, asks, vec_id, v) in this order: each forest is built from its vectors, then its queries pass."""
+    at, forest, ids, vectors = None, None, [], []
+    for batch in batches:
+        asks, forests = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+        numbers = batch.column(2).to_numpy(zero_copy_only=False)
+        values = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+        cuts = [0, *(np.flatnonzero((np.diff(forests) != 0) | (np.diff(asks) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            if a == b:
+                continue
+            if forests[a] != at:
+                at, forest, ids, vectors = forests[a], None, [], []
+            if not asks[a]:
+                ids.append(numbers[a:b])
+                vectors.append(values[a:b])
+                continue
+            if forest is None and ids:
+                forest, ids, vectors = Forest(np.concatenate(ids), np.concatenate(vectors), longest), [], []
+            for start in range(a, b, QUERY_ROWS) if forest else ():
+                part = slice(start, min(start + QUERY_ROWS, b))
+                place, found, score = forest.search(numbers[part], values[part], k, certainty)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[part][place], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], schema=FOUND)
 
 
 def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", certainty: float = CERTAINTY) -> DataFrame:
@@ -192,13 +194,14 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     by_size = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     dims = by_size.dims if by_size else 0
     rows = rows.where(F.size("v") == dims)
-    facts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("square")).first()
-    forests, blocks = max(1, math.ceil(facts.n / FOREST_ROWS)), max(1, math.ceil(facts.q / QUERY_ROWS))
-    forest = F.pmod(F.xxhash64("vec_id"), F.lit(forests))
-    block = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(blocks))
-    left = rows.select("vec_id", "v", forest.alias("forest"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = rows.where(is_query).select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(forests - 1).cast("long"))).alias("forest"), block.alias("block"))
-    meet = partial(_meet, math.sqrt(facts.square or 1.0), k, certainty)()
-    found = left.groupBy("forest", "block").cogroup(right.groupBy("forest", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("square")).first()
+    forests = max(1, math.ceil(facts.n / FOREST_ROWS))
+    indexed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(forests)).alias("forest"), F.lit(0).alias("asks"), "vec_id", "v")
+    asking = rows.where(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(forests - 1).cast("long"))).alias("forest"), F.lit(1).alias("asks"), "vec_id", "v")
+    order = ["forest", "asks", "vec_id"]
+    # a query goes to each forest once; vectors go to their own forest alone
+    met = indexed.unionByName(asking).repartition("forest").sortWithinPartitions(*order)
+    longest = math.sqrt(facts.square or 1.0)
+    found = met.mapInArrow(lambda batches: _meet(batches, longest, k, certainty), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
