@@ -9,8 +9,9 @@
 instead of reading stored tables. ``--source jdbc`` reads a database: ``--tables`` is
 its JDBC url, ``--jdbc-option`` gives reader options (the password better comes from
 ``--jdbc-option password-conf=<spark conf key>``), and every table needs either
-``--jdbc-partition table:column:lower:upper:parts`` or ``--jdbc-single table``.
-Prints the row count and the output folder.
+``--jdbc-partition table:column:lower:upper:parts``, ``--jdbc-hash table:column:parts`` (keys of
+any type) or ``--jdbc-single table``. Several reports may be named, separated by commas; what contact lists share
+is then worked out once, in a folder beside the results. Prints the row count and the output folder of each.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from dunning.fixed import PHONE_SLOTS, PORTFOLIOS
 from dunning.functions.scalars import parse_money_text
 from dunning.params import ReportParams
 from dunning.plans.reports import REPORTS
+from dunning.plans.shared import with_shared_facts
 from dunning.session import configure
 from dunning.sinks.files import write_report
-from dunning.sources.tables import Tables, from_catalog, from_fixture, from_jdbc, from_parquet
+from dunning.sources.tables import HashKeys, Tables, from_catalog, from_fixture, from_jdbc, from_parquet
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
@@ -40,9 +42,10 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap.add_argument("--may-be-empty", default="", help="comma-separated tables whose folder may hold no data file (parquet)")
     ap.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
     ap.add_argument("--jdbc-partition", action="append", default=[], metavar="TABLE:COLUMN:LOWER:UPPER:PARTS")
+    ap.add_argument("--jdbc-hash", action="append", default=[], metavar="TABLE:COLUMN:PARTS", help="read in parts by a hash of the column")
     ap.add_argument("--jdbc-single", action="append", default=[], metavar="TABLE", help="table read over one connection")
     ap.add_argument("--list-portfolios", action="store_true", help="list the known portfolio codes and exit")
-    ap.add_argument("--report", choices=sorted(REPORTS))
+    ap.add_argument("--report", help="one report, or several separated by commas; contact lists then share their contract block")
     ap.add_argument("--portfolios", help="comma-separated portfolio codes, e.g. 517,518")
     ap.add_argument("--out", help="output folder; the report's default name is appended")
     ap.add_argument("--format", choices=["parquet", "csv"], default="csv")
@@ -91,6 +94,9 @@ def jdbc_arguments(a: argparse.Namespace, conf) -> dict:
     for text in a.jdbc_partition:
         table, column, low, high, parts = text.split(":")
         partitioning[table] = (column, int(low), int(high), int(parts))
+    for text in a.jdbc_hash:
+        table, column, parts = text.split(":")
+        partitioning[table] = HashKeys(column, int(parts))
     return {"url": a.tables, "properties": properties, "partitioning": partitioning, "single_connection": tuple(a.jdbc_single)}
 
 
@@ -116,7 +122,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not (a.tables and a.report and (a.out or a.explain)):
         print("--tables, --report and --out (or --explain) are required", file=sys.stderr)
         return 2
-    if a.report == "r11_largest_debts" and not (a.min_total or "").strip():
+    reports = list(dict.fromkeys(x.strip() for x in a.report.split(",") if x.strip()))
+    unknown = [x for x in reports if x not in REPORTS]
+    if unknown or not reports:
+        print(f"error: unknown report {', '.join(unknown)}; one of {', '.join(sorted(REPORTS))}", file=sys.stderr)
+        return 2
+    if "r11_largest_debts" in reports and not (a.min_total or "").strip():
         print("error: the largest-debts report needs --min-total", file=sys.stderr)
         return 2
     try:
@@ -124,17 +135,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ValueError as exc:
         print(f"error: {exc}", file=sys.stderr)
         return 2
-    spark = configure(spark or SparkSession.builder.appName(f"dunning-{a.report}").getOrCreate())
+    spark = configure(spark or SparkSession.builder.appName(f"dunning-{'-'.join(reports)}").getOrCreate())
     try:
         tables = read_tables(spark, a)
     except ValueError as exc:
         print(f"error: {exc}", file=sys.stderr)
         return 2
-    df = REPORTS[a.report].build(tables, params)
     if a.explain:
-        df.explain("formatted")
+        for key in reports:
+            REPORTS[key].build(tables, params).explain("formatted")
         return 0
-    path = f"{a.out.rstrip('/')}/{REPORTS[a.report].default_name}"
-    rows = write_report(df, path, fmt=a.format, money_text=a.money_text, widths_path=f"{path}_widths" if a.widths else None)
-    print(f"{a.report}: {rows} rows -> {path}")
+    out = a.out.rstrip("/")
+    tables = with_shared_facts(tables, params, reports, f"{out}/_shared")
+    for key in reports:
+        path = f"{out}/{REPORTS[key].default_name}"
+        rows = write_report(REPORTS[key].build(tables, params), path, fmt=a.format, money_text=a.money_text, widths_path=f"{path}_widths" if a.widths else None)
+        print(f"{key}: {rows} rows -> {path}")
     return 0

@@ -1,43 +1,44 @@
-"""Ordered distinct text lists (``GROUP_CONCAT(DISTINCT x ORDER BY ...)``).
+"""Ordered text lists (``GROUP_CONCAT(DISTINCT x ORDER BY ...)``), one per key, of any length.
 
-Nulls are skipped; a group with no non-null value gives null. Nothing is
-truncated. The callers remove repeats in a hash aggregate on (key, value) first, which
-also spreads a hot key's values over tasks; what meets in one task is the list itself.
+Nulls are skipped and nothing is truncated. The callers remove repeats in a hash aggregate on
+(key, value) first, which also spreads a hot key's values over tasks.
+
+The values of a key are dealt by ranges of the order into pieces of ``BUCKET`` values: Spark's sort, which
+spills, puts them in order, and each piece is joined to text by itself. So no array is longer than a piece, however
+many values a key has; only finished text meets, piece by piece, in the key's cell. The cell itself
+(2 GB at most, as any value in Spark) bounds what one key can bring to one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from dunning.fixed import LIST_SEPARATOR, PAIR_JOINER
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from dunning.fixed import LIST_SEPARATOR
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+#: Most values of a key that are sorted in one array.
+BUCKET = 10_000
+_PIECE, _TEXT = "__piece", "__text"
 
 
-def value_list(col, sep: str = LIST_SEPARATOR) -> Column:
-    """Non-null values in ascending order, joined by ``sep``; for values that are distinct already."""
-    values = F.sort_array(F.collect_list(_c(col)))
-    return F.when(F.size(values) > 0, F.array_join(values, sep))
+def _joined(order: Sequence[str], text: str, sep: str) -> Column:
+    """The texts of a group in order, as one."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias(_TEXT)))), lambda z: z[_TEXT]), sep)
 
 
-def distinct_list(col, sep: str = LIST_SEPARATOR) -> Column:
-    """Distinct non-null values in ascending order, joined by ``sep``."""
-    values = F.sort_array(F.collect_set(_c(col)))
-    return F.when(F.size(values) > 0, F.array_join(values, sep))
+def in_pieces(items: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: int) -> DataFrame:
+    """``items`` with the piece of their key's order that each is in, at most ``bucket`` to a piece."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return items.withColumn(_PIECE, F.floor((nth - 1) / bucket))
 
 
-def distinct_pair_list(a, b, joiner: str = PAIR_JOINER, sep: str = LIST_SEPARATOR) -> Column:
-    """``GROUP_CONCAT(DISTINCT CONCAT(a, joiner, b) ORDER BY a, b)``.
+def ordered_lists(items: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, out: str, sep: str = LIST_SEPARATOR, bucket: int | None = None) -> DataFrame:
+    """``keys`` and ``out``: the texts of each key in order, joined by ``sep``.
 
-    The order key (a, b) differs from the distinct value (the joined text):
-    sort the distinct pairs by (a, b), join each pair, drop later repeats of
-    the same text, then join the list. Pairs with a null part are skipped,
-    because CONCAT would be null.
+    ``items`` has distinct texts per key, none null; ``order`` may repeat ``text``.
     """
-    pair = F.when(_c(a).isNotNull() & _c(b).isNotNull(), F.struct(_c(a).alias("a"), _c(b).alias("b")))
-    pairs = F.array_sort(F.collect_set(pair))
-    texts = F.array_distinct(F.transform(pairs, lambda z: F.concat(z["a"], F.lit(joiner), z["b"])))
-    return F.when(F.size(texts) > 0, F.array_join(texts, sep))
+    pieces = in_pieces(items, keys, order, bucket or BUCKET)
+    texts = pieces.groupBy(*keys, _PIECE).agg(_joined(order, text, sep).alias(out))
+    return texts.groupBy(*keys).agg(_joined([_PIECE], out, sep).alias(out))

@@ -24,7 +24,8 @@ from dunning.fixed import (
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import anti_join, not_in
-from dunning.operators.lists import value_list
+from dunning.operators.keyset import may_be_among
+from dunning.operators.lists import ordered_lists
 from dunning.operators.ranking import latest_per_key, pivot_slots, top_n_per_key
 from dunning.params import ReportParams
 from dunning.sources.tables import Tables
@@ -60,6 +61,22 @@ def b03_settled_contracts(latest: DataFrame) -> DataFrame:
     return latest.where(P.settled()).select("nmcont")
 
 
+def listable_contracts(t: Tables, p: ReportParams, regs: DataFrame, broken: bool = False) -> DataFrame:
+    """Contracts of the registrations ``regs`` whose latest agreement (per nmcont only) is broken, or else not settled, with it.
+
+    The latter is the reference's ``NOT IN``. A null contract never joins a registration, so the only null effect
+    left is global: a settled agreement with a null contract empties the report.
+    """
+    names = {"staco": "a_staco", "vlr_aco": "a_vlr", "qtd_p_aco": "a_qtd", "data_cad": "a_data_cad"}
+    latest = b02_latest_agreement(t, p).select("nmcont", *[F.col(c).alias(a) for c, a in names.items()])
+    side = regs.where("nmcont IS NOT NULL").select(*CONTRACT).distinct()
+    if broken:
+        side = side.join(latest.where(P.broken("a_staco")), "nmcont")
+    else:
+        side = side.join(latest, "nmcont", "left").where(~P.settled("a_staco"))
+    return side.where(~settled_list_has_null(t, p))
+
+
 def agreement_columns(staco: str, vlr: str, qtd: str, data_cad: str) -> list[Column]:
     """The four agreement columns of a labelled latest agreement; null where the status has no label."""
     values = {
@@ -82,45 +99,60 @@ def b12_broken_contracts(latest: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- contracts
-def contract_complements(t: Tables, p: ReportParams) -> DataFrame:
+def _among(df: DataFrame, among: Column | None) -> DataFrame:
+    """Rows whose contract may be wanted (``operators.keyset.may_be_among``)."""
+    return df if among is None else df.where(among)
+
+
+def contract_complements(t: Tables, p: ReportParams, among: Column | None = None) -> DataFrame:
     """Per contract: product types, BindingID (max int_2) and row count."""
     kinds = (
-        t.rec_comp.where(P.in_portfolios("cod_cli", p.portfolios))
+        _among(t.rec_comp.where(P.in_portfolios("cod_cli", p.portfolios)), among)
         .groupBy(*CONTRACT, "char_5")
         .agg(F.max("int_2").alias("int_2"), F.count(F.lit(1)).alias("n"))
     )
-    return kinds.groupBy(*CONTRACT).agg(
-        value_list("char_5").alias("TipoProduto"), F.max("int_2").alias("BindingID"), F.sum("n").alias("n_comp")
-    )
+    facts = kinds.groupBy(*CONTRACT).agg(F.max("int_2").alias("BindingID"), F.sum("n").alias("n_comp"))
+    return facts.join(ordered_lists(kinds.where("char_5 IS NOT NULL"), CONTRACT, ["char_5"], "char_5", "TipoProduto"), CONTRACT, "left")
 
 
-def eligible_instalments(t: Tables, p: ReportParams) -> DataFrame:
+def eligible_instalments(t: Tables, p: ReportParams, among: Column | None = None) -> DataFrame:
     """One row per contract and instalment id that is no down payment, with its total.
 
     A null ``fat_parc`` fails the NOT LIKE and is dropped, as in the reference. The
     hash aggregate is keyed by the id too, so a hot contract's instalments are spread.
     """
-    return (
-        t.receber.where(P.in_portfolios("cod_cli", p.portfolios) & P.not_contains_ci("fat_parc", DOWN_PAYMENT))
-        .groupBy(*CONTRACT, "fat_parc")
-        .agg(F.sum("vlrparc").alias("vlr"))
-    )
+    wanted = P.in_portfolios("cod_cli", p.portfolios) & P.not_contains_ci("fat_parc", DOWN_PAYMENT)
+    return _among(t.receber.where(wanted), among).groupBy(*CONTRACT, "fat_parc").agg(F.sum("vlrparc").alias("vlr"))
 
 
-def with_instalment_lists(contracts: DataFrame, t: Tables, p: ReportParams, min_total=None) -> DataFrame:
+def with_instalment_lists(contracts: DataFrame, t: Tables, p: ReportParams, with_total: bool = False, keys: DataFrame | None = None, among: Column | None = None) -> DataFrame:
     """``contracts`` (one row per contract, with ``n_comp``) that have an eligible instalment, and ``Contratos``.
 
     The reference joins every complement row to every instalment row of the
     contract and then takes DISTINCT lists; both lists only depend on the two
-    sides separately, so each side is reduced on its own first. The optional minimum
-    applies to ``SUM(vlrparc)`` over that join, i.e. complement rows x instalment total.
-    Instalments of contracts that ``contracts`` lacks leave at the join, before any list.
+    sides separately, so each side is reduced on its own first. ``ValorTotal``, which the optional
+    minimum is for, is ``SUM(vlrparc)`` over that join, i.e. complement rows x instalment total.
+    Instalments of contracts that ``keys`` (by default ``contracts``) lacks leave at the join before any list, and those
+    that ``among`` rules out at their scan.
+    """
+    instalments = (contracts if keys is None else keys).select(*CONTRACT).join(eligible_instalments(t, p, among), CONTRACT)
+    out = contracts.join(ordered_lists(instalments, CONTRACT, ["fat_parc"], "fat_parc", "Contratos"), CONTRACT)
+    if with_total:
+        totals = instalments.groupBy(*CONTRACT).agg(F.sum("vlr").alias("vlr_total"))
+        out = out.join(totals, CONTRACT).withColumn("ValorTotal", F.col("n_comp") * F.col("vlr_total")).drop("vlr_total")
+    return out.drop("n_comp")
+
+
+def with_contract_facts(contracts: DataFrame, t: Tables, p: ReportParams, with_total: bool = False, few: bool = False) -> DataFrame:
+    """``contracts`` (one row per contract) that have complements and eligible instalments, with these, their lists and their asset.
+
+    Where they are ``few`` of all, complements, assets and instalments of any other contract leave at their scans;
+    else at the joins, instalments before any list.
     """
-    joined = contracts.join(eligible_instalments(t, p), CONTRACT)
-    v = joined.groupBy(*contracts.columns).agg(value_list("fat_parc").alias("Contratos"), F.sum("vlr").alias("vlr_total"))
-    if min_total is not None:
-        v = v.where(F.col("n_comp") * F.col("vlr_total") >= F.lit(min_total))
-    return v.drop("n_comp", "vlr_total")
+    keys = contracts.select(*CONTRACT)
+    among = may_be_among(keys, CONTRACT) if few else None
+    facts = contracts.join(contract_complements(t, p, among), CONTRACT).join(b06_collateral_summary(t, p, among), CONTRACT, "left")
+    return with_instalment_lists(facts, t, p, with_total, keys, among)
 
 
 def b05_contract_values(t: Tables, p: ReportParams, latest: DataFrame | None = None) -> DataFrame:
@@ -144,29 +176,21 @@ def settled_list_has_null(t: Tables, p: ReportParams) -> Column:
 
 
 # ------------------------------------------------------------------- assets
-def b06_collateral_summary(t: Tables, p: ReportParams, null_contract: bool = True) -> DataFrame:
-    """Per contract: one asset row and the count of distinct chassis.
-
-    ``null_contract=False`` leaves out assets without a contract; then both parts are
-    partitioned alike and meet without another exchange.
+def b06_collateral_summary(t: Tables, p: ReportParams, among: Column | None = None) -> DataFrame:
+    """Per contract: one asset row and the count of distinct chassis, from one scan.
 
     The reference takes the non-grouped columns from an arbitrary row; here
     the row is the least (chassi, placa, marca, modelo, cor, anofab,
-    anomodelo), nulls first, so the result is deterministic.
+    anomodelo), nulls first, so the result is deterministic. A contract's least row is that of its
+    least chassis, so the least row per (contract, chassis), which spreads a hot contract, gives both.
     """
-    assets = t.bens.where(P.in_portfolios("cod_cli", p.portfolios))
-    if not null_contract:
-        assets = assets.where(F.col("nmcont").isNotNull())
-    order = [F.col(c).asc_nulls_first() for c in ("chassi", "placa", "marca", "modelo", "cor", "anofab", "anomodelo")]
-    pick = latest_per_key(assets, CONTRACT, order)
-    chassis = assets.select(*CONTRACT, "chassi").distinct()
-    count = chassis.groupBy(*CONTRACT).agg(F.count("chassi").alias("QtdGarantiasUnicas"))
-    if null_contract:
-        count = count.select(F.col("nmcont").alias("n_nmcont"), F.col("cod_cli").alias("n_cod_cli"), "QtdGarantiasUnicas")
-        both = pick.join(count, F.col("nmcont").eqNullSafe(F.col("n_nmcont")) & (F.col("cod_cli") == F.col("n_cod_cli")))
-    else:
-        both = pick.join(count, CONTRACT)
-    return both.select(
+    assets = _among(t.bens.where(P.in_portfolios("cod_cli", p.portfolios)), among)
+    rest = ["placa", "marca", "modelo", "cor", "anofab", "anomodelo"]
+    per_chassis = assets.groupBy(*CONTRACT, "chassi").agg(F.min(F.struct(*rest)).alias("row"))
+    per_contract = per_chassis.groupBy(*CONTRACT).agg(
+        F.min(F.struct("chassi", "row")).alias("least"), F.count("chassi").alias("QtdGarantiasUnicas")
+    )
+    return per_contract.select(*CONTRACT, "least.row.*", "QtdGarantiasUnicas").select(
         *CONTRACT,
         S.concat_text("marca", F.lit(PAIR_JOINER), "modelo").alias("MarcaModelo"),
         "placa",
@@ -239,11 +263,11 @@ def classified_recent_contacts(t: Tables, p: ReportParams) -> DataFrame:
 
     An event is classified when its code has a lookup row with a non-null class
     (the reference's condition on the class is true for every text), so a semi
-    join with those codes is enough.
+    join with those codes is enough. Events meet the lookup as one row per registration and code.
     """
     h = history(t, lower=P.midnight_days_before(p.as_of, zone=p.zone)).where(P.human_user("cod_usu"))
-    h = h.join(_lookup(t, F.col("bsc").isNotNull()), "ocorr", "left_semi")
-    return h.select(F.col("cod_cli").alias("cod_cad"))
+    seen = h.select(F.col("cod_cli").alias("cod_cad"), "ocorr").distinct()
+    return seen.join(_lookup(t, F.col("bsc").isNotNull()), "ocorr", "left_semi").select("cod_cad")
 
 
 def b11_no_classified_contact(t: Tables, p: ReportParams, base: DataFrame | None = None) -> DataFrame:
@@ -260,13 +284,14 @@ def last_event_per_registration(t: Tables, p: ReportParams, cpc_only: bool, boun
     """MAX(data_at) per registration id (history column ``ref``) over events whose code
     has a lookup row (optionally a right-party-contact row, optionally within start/end).
 
-    Aggregated before any join, so a registration with very many events is
-    reduced map-side to one row per task.
+    Aggregated per registration and code before any join, so a registration with very many
+    events is reduced map-side to one row per code and task, and the few-valued code is never
+    a shuffle key of events, whether or not the size of the lookup is known.
     """
     h = history(t, P.period_start(p.start), P.period_end(p.end)) if bounded else t.hist
     codes = _lookup(t, P.contains_ci("bsc", RIGHT_PARTY) if cpc_only else F.lit(True))
-    h = h.join(codes, "ocorr", "left_semi")
-    return h.groupBy(F.col(ref).alias("cod_cad")).agg(F.max("data_at").alias("dt_ultimo_cpc"))
+    last = h.groupBy(F.col(ref).alias("cod_cad"), "ocorr").agg(F.max("data_at").alias("data_at"))
+    return last.join(codes, "ocorr", "left_semi").groupBy("cod_cad").agg(F.max("data_at").alias("dt_ultimo_cpc"))
 
 
 def b13_last_contact(t: Tables, p: ReportParams, cpc_only: bool = True) -> DataFrame:

@@ -6,6 +6,8 @@ names the reference's CTE (or helper) would produce.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -17,7 +19,8 @@ from dunning.functions import scalars as S
 from dunning.params import ReportParams
 from dunning.plans import blocks as B
 from dunning.plans import reports as R
-from dunning.sinks.files import display_widths, money_formatted
+from dunning.session import shared_folder
+from dunning.sinks.files import display_widths, money_formatted, write_report
 from dunning.sources.tables import Tables
 
 Query = Callable[[Tables, ReportParams], DataFrame]
@@ -155,6 +158,15 @@ def r11_no_minimum(t: Tables, p: ReportParams) -> DataFrame:
     return R.r11_largest_debts(t, p.with_(min_total=None))
 
 
+def s10(t: Tables, p: ReportParams) -> DataFrame:
+    """A report as the sink wrote it, read back, with the row count the sink gave (H05)."""
+    df = R.r11_largest_debts(t, p)
+    spark = df.sparkSession
+    path = posixpath.join(shared_folder(spark), f"report-{uuid.uuid4().hex}")
+    rows = write_report(df, path)
+    return spark.read.parquet(path).withColumn("linhas", F.lit(rows).cast("long"))
+
+
 EXTRA: dict[str, Query] = {
     "s01_cadastros": _scan("cadastros"),
     "s02_fones": _scan("fones"),
@@ -163,6 +175,7 @@ EXTRA: dict[str, Query] = {
     "s06_receber": _scan("receber"),
     "s07_rec_comp": _scan("rec_comp"),
     "s08_bens": _scan("bens"),
+    "s10_report_written": s10,
     "b01_latest_agreement_by_portfolio": b01,
     "b02_latest_agreement": b02,
     "b03_settled_contracts": b03,

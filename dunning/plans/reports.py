@@ -19,11 +19,12 @@ from dunning.fixed import (
     AGREEMENT_VALUE,
     CONTACT_LIST_HEAD,
     CONTACT_LIST_TAIL,
+    PAIR_JOINER,
 )
 from dunning.functions import predicates as P
 from dunning.functions import scalars as S
 from dunning.operators.antijoin import not_in
-from dunning.operators.lists import distinct_list, distinct_pair_list
+from dunning.operators.lists import ordered_lists
 from dunning.operators.ranking import pivot_slots, top_n_per_key
 from dunning.params import ReportParams
 from dunning.plans import blocks as B
@@ -110,38 +111,24 @@ def r06_no_history_30d(t: Tables, p: ReportParams) -> DataFrame:
     return kept.select(*identity(), "cod_cli", F.col("infoad").alias("portfolio"))
 
 
-def _contracts(t: Tables, p: ReportParams, kind: str) -> DataFrame:
-    """One row per contract that may be listed: complements, assets, latest agreement, instalment ids.
+def _contracts(t: Tables, p: ReportParams, kind: str, regs: DataFrame) -> DataFrame:
+    """One row per contract that may be listed: latest agreement, complements, assets, instalment ids.
 
-    The latest agreement is joined once, per nmcont only, and read three ways:
-    settled contracts leave (the reference's ``NOT IN``), broken ones define R09,
-    and known statuses give the label columns. A null contract never joins a
-    registration, so the only null effect of ``NOT IN`` left is global: a settled
-    agreement with a null contract empties the report.
+    The contracts that can be listed come first: those of the registrations ``regs`` whose latest
+    agreement is broken for R09, and not settled otherwise. What else is said of them is read for these
+    contracts alone, or taken from facts that several reports share. Recent intake and broken agreements are few of all
+    contracts; those without contact are not, so no filter goes down to their scans.
     """
-    latest = B.b02_latest_agreement(t, p).select(
-        "nmcont",
-        F.col("staco").alias("a_staco"),
-        F.col("vlr_aco").alias("a_vlr"),
-        F.col("qtd_p_aco").alias("a_qtd"),
-        F.col("data_cad").alias("a_data_cad"),
-    )
-    side = B.contract_complements(t, p)
-    if kind == "broken":
-        side = side.join(latest.where(P.broken("a_staco")), "nmcont")
+    minimum = p.min_contract_total if kind == "broken" else None
+    side = B.listable_contracts(t, p, regs, kind == "broken")
+    if t.contract_facts is not None:
+        side = side.join(t.contract_facts, CONTRACT)
     else:
-        side = side.join(latest, "nmcont", "left").where(~P.settled("a_staco"))
-    side = side.where(~B.settled_list_has_null(t, p))
-    side = side.join(B.b06_collateral_summary(t, p, null_contract=False), CONTRACT, "left")
-    side = side.select(
-        *CONTRACT,
-        "n_comp",
-        "BindingID",
-        "TipoProduto",
-        *[c for c in CONTACT_LIST_TAIL if c not in ("Contratos", "TipoProduto", *AGREEMENT_COLUMNS)],
-        *B.agreement_columns("a_staco", "a_vlr", "a_qtd", "a_data_cad"),
-    )
-    return B.with_instalment_lists(side, t, p, p.min_contract_total if kind == "broken" else None)
+        side = B.with_contract_facts(side, t, p, minimum is not None, few=kind != "never")
+    if minimum is not None:
+        side = side.where(F.col("ValorTotal") >= F.lit(minimum))
+    known = [c for c in CONTACT_LIST_TAIL if c not in AGREEMENT_COLUMNS]
+    return side.select(*CONTRACT, "BindingID", *known, *B.agreement_columns("a_staco", "a_vlr", "a_qtd", "a_data_cad"))
 
 
 def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
@@ -156,6 +143,7 @@ def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
         cad = cad.where((F.col("data_cad") == F.col("data_arq")) & P.recent_intake("data_cad", p.as_of, zone=p.zone))
     if kind == "broken" and p.infoad:
         cad = cad.where(F.col("infoad").isin(list(p.infoad)))
+    contracts = _contracts(t, p, kind, cad)  # for R08 before its anti join: history is read once
     if kind == "never":
         cad = B.b11_no_classified_contact(t, p, cad)
     cad = cad.select(
@@ -167,7 +155,7 @@ def _contact_list(t: Tables, p: ReportParams, kind: str) -> DataFrame:
 
     phones = B.b09_phone_pivot(B.b07_ranked_phones(t, p, quality=(kind != "recent")), p)
     regs = cad.join(phones, "cod_cad").where("nmcont IS NOT NULL")
-    out = regs.join(_contracts(t, p, kind).repartition(*CONTRACT), CONTRACT)
+    out = regs.join(contracts.repartition(*CONTRACT), CONTRACT)
     slots = [f"Telefone{k}" for k in range(1, p.phone_slots + 1)]
     return out.select(*CONTACT_LIST_HEAD, *slots, *CONTACT_LIST_TAIL)
 
@@ -192,18 +180,24 @@ def r10_collateral(t: Tables, p: ReportParams) -> DataFrame:
     """Distinct chassis count, brand-model list and plate list per active
     registration, most assets first.
 
-    Assets are reduced to distinct rows, then summarised per contract, before the
-    join; registrations that share a contract each get its full summary, as in the reference.
+    Every asset gives a chassis, a brand-model pair and a plate; a hash aggregate on (contract, kind, value)
+    removes repeats and spreads a hot contract. Chassis are only counted. Pairs are listed by (brand, model), and a text that
+    several pairs give stands at the first of them. The contracts' summaries meet the
+    registrations last; registrations that share a contract each get its full summary, as in the reference.
     """
-    distinct = (
-        t.bens.where(P.in_portfolios("cod_cli", p.portfolios) & F.col("nmcont").isNotNull())
-        .select(*CONTRACT, "chassi", "marca", "modelo", "placa")
-        .distinct()
-    )
-    per_contract = distinct.groupBy(*CONTRACT).agg(
-        F.size(F.collect_set("chassi")).cast("long").alias("QtdGarantiasUnicas"),
-        distinct_pair_list("marca", "modelo").alias("MarcaModelo"),
-        distinct_list("placa").alias("Placas"),
+    assets = t.bens.where(P.in_portfolios("cod_cli", p.portfolios) & F.col("nmcont").isNotNull())
+    pair = S.concat_text("marca", F.lit(PAIR_JOINER), "modelo")
+    none = F.lit(None).cast("string")
+    kinds = [("chassi", F.col("chassi"), none, none), ("MarcaModelo", pair, F.col("marca"), F.col("modelo")), ("Placas", F.col("placa"), none, none)]
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value"), a.alias("a"), b.alias("b")) for k, v, a, b in kinds]))
+    distinct = assets.select(*CONTRACT, value.alias("v")).select(*CONTRACT, "v.*").where("kind = 'chassi' OR value IS NOT NULL").distinct()
+    counts = distinct.where("kind = 'chassi'").groupBy(*CONTRACT).agg(F.count("value").alias("QtdGarantiasUnicas"))
+    first_pair = distinct.where("kind = 'MarcaModelo'").groupBy(*CONTRACT, "kind", "value").agg(F.min(F.struct("a", "b")).alias("place"))
+    listed = distinct.where("kind = 'Placas'").unionByName(first_pair.select(*CONTRACT, "kind", "value", "place.*"))
+    lists = ordered_lists(listed, [*CONTRACT, "kind"], ["a", "b", "value"], "value", "list")
+    rows = counts.withColumns({"kind": F.lit("chassi"), "list": F.lit(None).cast("string")}).unionByName(lists.withColumn("QtdGarantiasUnicas", F.lit(None).cast("long")))
+    per_contract = rows.groupBy(*CONTRACT).agg(
+        F.max("QtdGarantiasUnicas").alias("QtdGarantiasUnicas"), *[F.max(F.when(F.col("kind") == k, F.col("list"))).alias(k) for k in ("MarcaModelo", "Placas")]
     )
     regs = B.registrations(t, p).select(*identity(), "cod_cli").distinct()
     return (

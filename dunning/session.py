@@ -7,6 +7,8 @@ time zone is never touched.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 # Settings every report relies on. AQE re-plans joins and coalesces shuffle
@@ -29,6 +31,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share (``spark.checkpoint.dir``); in a local session that names none, the warehouse."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dunning", master: str | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, no extra ports)."""
     spark = (

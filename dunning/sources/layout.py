@@ -16,6 +16,8 @@ size; ``files`` spreads the unpartitioned tables over that many files.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import functions as F
 
 from dunning.sources.tables import Tables
@@ -24,6 +26,35 @@ HIST_PARTITION = "event_day"
 PORTFOLIO_PARTITIONED = ("cadastros_tb", "acordos_tb", "receber_tb", "rec_comp_tb", "bens_tb")
 
 
+#: Keys by which ``write_bucketed`` lays the large tables out: those of the reports' first aggregate or window.
+BUCKETED: dict[str, tuple[str, ...]] = {
+    "cadastros_tb": ("cod_cad",),
+    "fones_tb": ("cod_cad",),
+    "receber_tb": ("nmcont", "cod_cli"),
+    "rec_comp_tb": ("nmcont", "cod_cli"),
+    "bens_tb": ("nmcont", "cod_cli"),
+}
+
+
+def write_bucketed(t: Tables, database: str, buckets: int, keys: Mapping[str, Sequence[str]] = BUCKETED, mode: str = "overwrite") -> None:
+    """Store the tables in the catalog, the large ones dealt into ``buckets`` by key and sorted: ``from_catalog`` reads them.
+
+    What is grouped or numbered by such a key (phones of a registration, instalments and assets of a
+    contract) then needs no exchange. Bucket numbers should give files of some hundred MB. A key that
+    holds much of a table is one file of its bucket, which one task reads: keep such a table in the
+    layout of ``write_tables`` instead, by leaving it out of ``keys``. ``hist_tb`` is partitioned by event day, as there.
+    """
+    for name, df in t.by_name().items():
+        to = f"{database}.{name}"
+        if name in keys:
+            df.repartition(buckets, *keys[name]).write.mode(mode).bucketBy(buckets, *keys[name]).sortBy(*keys[name]).saveAsTable(to)
+        elif name == "hist_tb":
+            days = df.withColumn(HIST_PARTITION, F.to_date("data_at"))
+            days.hint("rebalance", HIST_PARTITION).write.mode(mode).partitionBy(HIST_PARTITION).saveAsTable(to)
+        else:
+            df.write.mode(mode).saveAsTable(to)
+
+
 def write_tables(
     t: Tables,
     root: str,

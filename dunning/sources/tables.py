@@ -15,7 +15,10 @@ from dunning.schema import OPTIONAL, SCHEMAS
 @dataclass(frozen=True)
 class Tables:
     """``hist_day``: the column of ``hist`` that holds the day of ``data_at``, for tables
-    stored by event day. Only whoever stored the table knows it; it is never guessed."""
+    stored by event day. Only whoever stored the table knows it; it is never guessed.
+
+    ``contract_facts``: what the contact lists say of contracts, if it has been worked out
+    before (``plans.shared``)."""
 
     cadastros: DataFrame
     fones: DataFrame
@@ -26,13 +29,14 @@ class Tables:
     hist: DataFrame
     stcob: DataFrame
     hist_day: str | None = None
+    contract_facts: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.hist_day is not None and self.hist_day not in self.hist.columns:
             raise ValueError(f"hist_tb has no day column {self.hist_day!r}")
 
     def by_name(self) -> dict[str, DataFrame]:
-        return {f"{f.name}_tb": getattr(self, f.name) for f in fields(self) if f.name != "hist_day"}
+        return {f"{f.name}_tb": getattr(self, f.name) for f in fields(self) if f"{f.name}_tb" in SCHEMAS}
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
@@ -71,15 +75,34 @@ def from_catalog(spark: SparkSession, database: str | None = None, hist_day: str
     return _bundle({name: _conform(spark.table(f"{database}.{name}" if database else name), name) for name in SCHEMAS}, hist_day)
 
 
+@dataclass(frozen=True)
+class HashKeys:
+    """A table read in ``parts`` by a hash of ``column``, of any type, e.g. a text key without numeric bounds.
+
+    ``hash_sql`` is the database's own function to a whole number (CRC32 in MySQL and MariaDB, and in Spark SQL)."""
+
+    column: str
+    parts: int
+    hash_sql: str = "CRC32({column})"
+
+    def predicates(self) -> list[str]:
+        """One condition a part; every row, null keys too, meets exactly one of them, whatever the hash gives."""
+        if self.parts < 2:
+            return ["1 = 1"]
+        rest = f"MOD({self.hash_sql.format(column=self.column)}, {self.parts})"
+        last = f"({self.column} IS NULL OR {rest} NOT BETWEEN 0 AND {self.parts - 2})"
+        return [f"({self.column} IS NOT NULL AND {rest} = {k})" for k in range(self.parts - 1)] + [last]
+
+
 def jdbc_options(
     url: str,
     properties: dict[str, str],
-    partitioning: dict[str, tuple[str, int, int, int]] | None = None,
+    partitioning: dict[str, tuple[str, int, int, int] | HashKeys] | None = None,
     single_connection: Collection[str] = (),
 ) -> dict[str, dict[str, str]]:
     """Options of each table's JDBC reader.
 
-    ``partitioning`` maps a table to (column, lower, upper, partitions), so that many
+    ``partitioning`` maps a table to (column, lower, upper, partitions) or to ``HashKeys``, so that many
     tasks read it. A table that is small enough for one connection, and so for one
     task, must be listed in ``single_connection``; any other is an error.
     """
@@ -90,7 +113,7 @@ def jdbc_options(
     out = {}
     for name in SCHEMAS:
         out[name] = {"url": url, "dbtable": name, **properties}
-        if name in partitioning:
+        if isinstance(partitioning.get(name), tuple):
             column, low, high, parts = partitioning[name]
             out[name] |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
     return out
@@ -100,7 +123,7 @@ def from_jdbc(
     spark: SparkSession,
     url: str,
     properties: dict[str, str],
-    partitioning: dict[str, tuple[str, int, int, int]] | None = None,
+    partitioning: dict[str, tuple[str, int, int, int] | HashKeys] | None = None,
     single_connection: Collection[str] = (),
 ) -> Tables:
     """Read the tables from a database over JDBC (see ``jdbc_options``).
@@ -108,7 +131,14 @@ def from_jdbc(
     Credentials come from ``properties`` (Spark configuration), never a file.
     """
     options = jdbc_options(url, properties, partitioning, single_connection)
-    return _bundle({name: _conform(spark.read.format("jdbc").options(**options[name]).load(), name) for name in SCHEMAS})
+    by_hash = {name: keys for name, keys in (partitioning or {}).items() if isinstance(keys, HashKeys)}
+
+    def read(name: str) -> DataFrame:
+        if name in by_hash:
+            return spark.read.jdbc(url, name, predicates=by_hash[name].predicates(), properties=properties)
+        return spark.read.format("jdbc").options(**options[name]).load()
+
+    return _bundle({name: _conform(read(name), name) for name in SCHEMAS})
 
 
 _FIXTURES: dict[tuple, Tables] = {}

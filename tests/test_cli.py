@@ -1,8 +1,13 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import replace
 
 from dunning.cli import main
+from dunning.params import FIXTURE_PARAMS
+from dunning.plans.reports import REPORTS
+from dunning.plans.shared import CONTACT_LISTS, with_shared_facts
+from dunning.sources.tables import from_fixture
 from tests.conftest import SMOKE
 
 
@@ -17,6 +22,32 @@ def test_cli_writes_a_report(spark, capsys):
     assert spark.read.option("header", "true").csv(f"{out}/cpc_period").count() == n
 
 
+def test_cli_writes_several_reports_with_one_contract_block(spark, capsys):
+    out = tempfile.mkdtemp(prefix="dunning-cli-")
+    argv = ["--tables", SMOKE, "--source", "fixture", "--portfolios", "517,518,519", "--as-of", "2025-10-01 12:00:00", "--format", "parquet"]
+    keys = ["r07_recent", "r08_never_contacted", "r09_broken_rejected"]
+    assert main([*argv, "--report", ",".join(keys), "--out", f"{out}/all", "--min-contract-total", "1000"], spark=spark) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert [line.split(":")[0] for line in lines] == keys
+    for key in keys:
+        assert main([*argv, "--report", key, "--out", f"{out}/one", "--min-contract-total", "1000"], spark=spark) == 0
+        name = REPORTS[key].default_name
+        one, both = (sorted(map(str, spark.read.parquet(f"{out}/{d}/{name}").collect())) for d in ("one", "all"))
+        assert one == both and one
+    assert main([*argv, "--report", "r07_recent,r99", "--out", out], spark=spark) == 2
+
+
+def test_shared_block_scans_assets_once(spark, tmp_path):
+    t, p = from_fixture(spark, SMOKE), FIXTURE_PARAMS
+    t.bens.write.parquet(f"{tmp_path}/bens")
+    t = replace(t, bens=spark.read.parquet(f"{tmp_path}/bens"))
+    scans = lambda t: sum(REPORTS[k].build(t, p)._jdf.queryExecution().optimizedPlan().toString().count("anofab#") > 0 for k in CONTACT_LISTS)
+    assert scans(t) == 3
+    shared = with_shared_facts(t, p, sorted(CONTACT_LISTS), str(tmp_path / "shared"))
+    assert scans(shared) == 0 and len(list((tmp_path / "shared").iterdir())) == 1
+    assert with_shared_facts(t, p, ["r07_recent", "r01_email"], str(tmp_path / "none")) is t
+
+
 def test_cli_rejects_bad_input(spark, capsys):
     base = ["--tables", SMOKE, "--source", "fixture", "--report", "r11_largest_debts", "--out", "/tmp/x"]
     assert main(base + ["--portfolios", ""], spark=spark) == 2

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from dunning.params import FIXTURE_PARAMS
 from dunning.plans.reports import REPORTS
-from dunning.sources.layout import HIST_PARTITION, PORTFOLIO_PARTITIONED, write_tables
-from dunning.sources.tables import from_fixture, from_parquet
+from dunning.sources.layout import HIST_PARTITION, PORTFOLIO_PARTITIONED, write_bucketed, write_tables
+from dunning.sources.tables import HashKeys, from_catalog, from_fixture, from_parquet, jdbc_options
 from dunning.schema import SCHEMAS
-from tests.conftest import SMOKE
+from tests.conftest import SMALL, SMOKE
+from tests.test_skew import shuffle_records
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +89,6 @@ def test_an_emptied_folder_is_an_error(spark, make_tables):
 
 
 def test_jdbc_options_need_a_decision_per_table():
-    from dunning.sources.tables import jdbc_options
 
     parts = {"hist_tb": ("cod_cli", 0, 1000, 16)}
     with pytest.raises(ValueError, match="acordos_tb"):
@@ -131,3 +131,38 @@ def test_portfolio_filter_prunes_partitions(stored):
     for table in ("cadastros_tb", "receber_tb"):
         lines = [s for s in scans if table in s]
         assert lines and all("PartitionFilters: [" in s and "cod_cli" in s.split("PartitionFilters: [")[1] for s in lines)
+
+
+def test_hash_predicates_part_every_row_once(spark):
+    """Held against Spark's own CRC32 and MOD, as no database may run: disjoint, complete, nulls included."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 11 > 0, F.concat(F.lit("CT"), F.col("id").cast("string"))).alias("nmcont"))
+    for parts in (1, 2, 7, 64):
+        for hash_sql in ("CRC32({column})", "CAST(CRC32({column}) AS BIGINT) - 2000000000"):  # the second gives negative numbers too
+            conditions = HashKeys("nmcont", parts, hash_sql).predicates()
+            assert len(conditions) == len(set(conditions)) == parts
+            met = rows.select(sum((F.expr(f"CASE WHEN {c} THEN 1 ELSE 0 END") for c in conditions), F.lit(0)).alias("n"))
+            assert [r.n for r in met.distinct().collect()] == [1]
+    sizes = [rows.where(c).count() for c in HashKeys("nmcont", 8).predicates()]
+    assert min(sizes) > 200
+
+
+def test_hash_keys_are_a_decision_and_no_range_option():
+    options = jdbc_options("jdbc:db://h/d", {"user": "u"}, {"receber_tb": HashKeys("nmcont", 4)}, [n for n in SCHEMAS if n != "receber_tb"])
+    assert options["receber_tb"] == {"url": "jdbc:db://h/d", "dbtable": "receber_tb", "user": "u"}
+
+
+def test_bucketed_tables_need_no_exchange_of_the_large_side(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path}'")
+    try:
+        write_bucketed(from_fixture(spark, SMALL), "bucketed", 4)
+        t = from_catalog(spark, "bucketed", hist_day=HIST_PARTITION)
+        contracts = t.receber.select("nmcont", "cod_cli").distinct().count()
+        for key, most in (("r03_phones_top7", t.cadastros.count()), ("r11_largest_debts", max(contracts, t.cadastros.count()))):
+            df = REPORTS[key].build(t, FIXTURE_PARAMS)
+            written = shuffle_records(df)
+            assert max(written, default=0) <= most, (key, written)
+            want = REPORTS[key].build(from_fixture(spark, SMALL), FIXTURE_PARAMS)
+            assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+        assert t.fones.count() > 2 * t.cadastros.count() and t.receber.count() > 2 * contracts
+    finally:
+        spark.sql("DROP DATABASE bucketed CASCADE")

@@ -3,8 +3,13 @@ limits, one scan of a NOT IN list."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
+from dunning.operators import keyset
 from dunning.params import FIXTURE_PARAMS
 from dunning.plans.catalog import EXTRA
 from dunning.plans.reports import REPORTS
@@ -73,3 +78,27 @@ def test_scans_read_only_needed_columns(tables):
     df = REPORTS["r01_email"].build(tables, FIXTURE_PARAMS)
     scan = [line for line in plan_text(df).splitlines() if "FileScan parquet" in line][0]
     assert "c_acctbal" not in scan and "c_nationkey" not in scan
+
+
+@pytest.mark.parametrize("build", [EXTRA["b06_collateral_summary"], REPORTS["r07_recent"].build, REPORTS["r09_broken_rejected"].build])
+def test_assets_are_scanned_once(spark, tmp_path, build):
+    stored = from_fixture(spark, SMALL)
+    stored.bens.write.parquet(f"{tmp_path}/bens_tb")
+    df = build(replace(stored, bens=spark.read.parquet(f"{tmp_path}/bens_tb")), FIXTURE_PARAMS)
+    assert len(re.findall(r"Relation \[[^\]]*anofab", df._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_no_set_is_made_for_a_count(tables):
+    assert "collect_set" not in plan_text(REPORTS["r10_collateral"].build(tables, FIXTURE_PARAMS))
+
+
+def test_key_filter_loses_no_key(spark):
+    rows = spark.range(40_000).select((F.col("id") % 7).cast("int").alias("b"), F.concat(F.lit("CT"), F.col("id").cast("string")).alias("a"), "id")
+    keys = rows.where("id < 1000")
+    for bits in (64, 1 << 12, keyset.FILTER_BITS):
+        kept = rows.where(keyset.may_be_among(keys, ["a", "b"], bits)).agg(F.count("id"), F.count(F.when(F.col("id") < 1000, 1))).first()
+        assert kept[1] == 1000
+    assert kept[0] < 1100  # of the others one in 4,000 at full size
+    assert rows.where(keyset.may_be_among(keys.limit(0), ["a", "b"])).count() == 0
+    nulls = spark.createDataFrame([(None, 1), ("x", None), (None, None)], "a string, b int")
+    assert nulls.where(keyset.may_be_among(nulls, ["a", "b"])).count() == 3

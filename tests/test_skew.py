@@ -12,8 +12,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from dunning.operators import lists
 from dunning.params import FIXTURE_PARAMS
 from dunning.plans import blocks as B
+from dunning.plans.catalog import EXTRA
 from dunning.plans.reports import REPORTS
 from dunning.schema import SCHEMAS
 from dunning.sources.tables import Tables, from_fixture
@@ -179,7 +181,7 @@ def test_instalments_of_settled_contracts_reach_no_list(spark, key):
         text = df._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set(setting, before)
-    below = text[text.index("collect_list(fat_parc") :]
+    below = text[text.index("collect_list(struct(fat_parc") :]
     instalments = below[: below.index("l_extendedprice")]
     assert "Join Inner, ((nmcont" in instalments and "IN (P,G,A)" in instalments or key == "r09_broken_rejected" and "IN (Q,E)" in instalments
 
@@ -218,3 +220,91 @@ def test_hot_contract_instalments(spark, base):
     # the sum and the second distinct step shuffle one row per contract per task
     assert written and sorted(written)[-1] <= n_hot + n_cold
     assert sorted(written)[-2] <= (COLD_KEYS + 1) * TASKS
+
+
+@pytest.fixture
+def without_statistics(spark):
+    """As with tables whose size is unknown: nothing is broadcast."""
+    conf = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k in conf:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("key", ["r05_cpc_period", "r06_no_history_30d", "r08_never_contacted", "b11_no_classified_contact", "b13_last_contact", "b13_last_contact_any"])
+def test_no_exchange_moves_unreduced_history(spark, base, without_statistics, key):
+    """Events leave their scan as one row per registration, code and task."""
+    ids = spark.range(0, 300_000, numPartitions=TASKS)
+    hist = ids.select(
+        F.col("id").alias("cod_hist"),
+        (F.col("id") % 40 + 1).alias("cod_cli"),
+        (F.lit(dt.datetime(2025, 9, 14)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") % 3600)).alias("data_at"),
+        F.when(F.col("id") % 3 == 0, F.lit("click")).otherwise(F.lit("other")).alias("ocorr"),
+        F.lit("5").alias("cod_usu"),
+    )
+    contracts = base["cadastros"].select("nmcont", "cod_cli")
+    filled = {
+        "hist": hist,
+        "stcob": spark.createDataFrame([("click", "CPC"), ("other", "X")], SCHEMAS["stcob_tb"]),
+        "fones": spark.range(1, COLD_KEYS + 2).select(F.col("id").alias("cod_cad"), F.lit("11").alias("dddfone"), F.concat(F.lit("9"), F.lpad(((F.col("id") * 7919 + 12345678) % 99999989).cast("string"), 8, "0")).alias("telefone"), F.lit(2).alias("status"), F.lit("ok").alias("obs")),
+        "receber": contracts.select("nmcont", "cod_cli", F.lit("1/1").alias("fat_parc"), F.lit(10).cast("decimal(18,2)").alias("vlrparc")),
+        "rec_comp": contracts.select("nmcont", "cod_cli", F.lit(1).alias("int_2"), F.lit("CDC").alias("char_5")),
+    }
+    t = Tables(**{**base, **filled})
+    build = REPORTS[key].build if key in REPORTS else EXTRA[key]
+    written = shuffle_records(build(t, FIXTURE_PARAMS.with_(start=None, end=None)))
+    assert written and max(written) <= 1 << 16  # at most the key filter's words, and registrations
+
+
+@pytest.mark.parametrize("broken", [3, 300])
+def test_instalments_shuffled_follow_the_broken_contracts(spark, base, without_statistics, broken):
+    """Of 200,000 instalments, 40 a contract, and as many assets and complements, few but those of listed contracts leave their scans."""
+    ids = spark.range(0, 200_000, numPartitions=TASKS)
+    contract = F.concat(F.lit("CT"), (F.col("id") % 5000 + 2).cast("string"))
+    acordos = spark.range(0, broken).select(
+        F.col("id").alias("cod_aco"),
+        F.concat(F.lit("CT"), (F.col("id") + 2).cast("string")).alias("nmcont"),
+        F.lit(517).alias("cod_cli"),
+        F.lit(10).cast("decimal(18,2)").alias("vlr_aco"),
+        F.lit(1).alias("qtd_p_aco"),
+        F.lit(dt.datetime(2025, 9, 1)).cast("timestamp_ntz").alias("data_cad"),
+        F.lit(dt.date(2025, 9, 2)).alias("data_aco"),
+        F.lit("Q").alias("staco"),
+    )
+    tables = {
+        "acordos": acordos.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS["acordos_tb"].fields]),
+        "receber": ids.select(contract.alias("nmcont"), F.lit(517).alias("cod_cli"), F.concat(F.col("id").cast("string"), F.lit("/1")).alias("fat_parc"), F.lit(10).cast("decimal(18,2)").alias("vlrparc")),
+        "rec_comp": ids.select(contract.alias("nmcont"), F.lit(517).alias("cod_cli"), F.lit(1).alias("int_2"), F.col("id").cast("string").alias("char_5")),
+        "fones": spark.range(1, COLD_KEYS + 2).select(F.col("id").alias("cod_cad"), F.lit("11").alias("dddfone"), F.concat(F.lit("9"), F.lpad(((F.col("id") * 7919 + 12345678) % 99999989).cast("string"), 8, "0")).alias("telefone"), F.lit(2).alias("status"), F.lit("ok").alias("obs")),
+    }
+    tables["bens"] = ids.select(*[(F.lit(517) if f.name == "cod_cli" else contract if f.name == "nmcont" else F.lit("7") if f.name != "chassi" else F.col("id").cast("string")).cast(f.dataType).alias(f.name) for f in SCHEMAS["bens_tb"].fields])
+    df = REPORTS["r09_broken_rejected"].build(Tables(**{**base, **tables}), FIXTURE_PARAMS)
+    written = shuffle_records(df)
+    assert df.count() == broken
+    words = 1 << 16  # the key filter's own, of fixed size
+    large = sorted(w for w in written if w > max(COLD_KEYS + 1, 60 * broken))
+    assert all(w <= words + COLD_KEYS + 1 for w in large), written
+
+
+def test_a_contract_of_a_third_of_all_instalments_is_listed_in_pieces(spark):
+    ids = spark.range(0, 30_000, numPartitions=TASKS)
+    items = ids.select(F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("CT"), (F.col("id") % 900).cast("string"))).alias("nmcont"), F.lit(517).alias("cod_cli"), F.md5(F.col("id").cast("string")).alias("v"))
+    pieces = lists.in_pieces(items.where("nmcont = 'HOT'"), ["nmcont", "cod_cli"], ["v"], 700)
+    sizes = [r["count"] for r in pieces.groupBy("__piece").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) == 700
+    want: dict[str, list[str]] = {}
+    for r in items.collect():
+        want.setdefault(r.nmcont, []).append(r.v)
+    for bucket in (7, 700, 10**6):
+        got = {r.nmcont: r.out for r in lists.ordered_lists(items, ["nmcont", "cod_cli"], ["v"], "v", "out", sep=", ", bucket=bucket).collect()}
+        assert got == {k: ", ".join(sorted(v)) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("key", ["r07_recent", "r09_broken_rejected", "r10_collateral"])
+def test_reports_in_pieces_are_the_same(spark, key, monkeypatch):
+    want = sorted(map(str, REPORTS[key].build(from_fixture(spark, SMOKE), FIXTURE_PARAMS).collect()))
+    monkeypatch.setattr(lists, "BUCKET", 2)
+    assert sorted(map(str, REPORTS[key].build(from_fixture(spark, SMOKE), FIXTURE_PARAMS).collect())) == want and want
