@@ -11,7 +11,7 @@ many values a key has; only finished text meets, piece by piece, in the key's ce
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +24,9 @@ _PIECE, _TEXT = "__piece", "__text"
 
 
 def _joined(order: Sequence[str], text: str, sep: str) -> Column:
-    """The texts of a group in order, as one."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias(_TEXT)))), lambda z: z[_TEXT]), sep)
+    """The texts of a group in order, as one; null if there are none."""
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias(_TEXT)))), lambda z: z[_TEXT]), sep)
+    return F.when(F.count(text) > 0, joined)
 
 
 def in_pieces(items: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: int) -> DataFrame:
@@ -34,11 +35,21 @@ def in_pieces(items: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     return items.withColumn(_PIECE, F.floor((nth - 1) / bucket))
 
 
-def ordered_lists(items: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, out: str, sep: str = LIST_SEPARATOR, bucket: int | None = None) -> DataFrame:
-    """``keys`` and ``out``: the texts of each key in order, joined by ``sep``.
-
-    ``items`` has distinct texts per key, none null; ``order`` may repeat ``text``.
+def ordered_lists(
+    items: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    text: str,
+    out: str,
+    sep: str = LIST_SEPARATOR,
+    bucket: int | None = None,
+    also: Mapping[str, tuple[Callable[[str], Column], str]] | None = None,
+) -> DataFrame:
+    """``keys`` and ``out``: the texts of each key in order, joined by ``sep``; null for a key without any.
+
+    ``items`` has distinct texts per key, of which null is one; ``order`` may repeat ``text``. ``also`` names
+    further results of the same pass: an aggregate that may be taken of parts (``F.sum``, ``F.max``) and its column.
     """
-    pieces = in_pieces(items, keys, order, bucket or BUCKET)
-    texts = pieces.groupBy(*keys, _PIECE).agg(_joined(order, text, sep).alias(out))
-    return texts.groupBy(*keys).agg(_joined([_PIECE], out, sep).alias(out))
+    pieces, also = in_pieces(items, keys, order, bucket or BUCKET), also or {}
+    texts = pieces.groupBy(*keys, _PIECE).agg(_joined(order, text, sep).alias(out), *[f(c).alias(name) for name, (f, c) in also.items()])
+    return texts.groupBy(*keys).agg(_joined([_PIECE], out, sep).alias(out), *[f(name).alias(name) for name, (f, _) in also.items()])

@@ -111,8 +111,7 @@ def contract_complements(t: Tables, p: ReportParams, among: Column | None = None
         .groupBy(*CONTRACT, "char_5")
         .agg(F.max("int_2").alias("int_2"), F.count(F.lit(1)).alias("n"))
     )
-    facts = kinds.groupBy(*CONTRACT).agg(F.max("int_2").alias("BindingID"), F.sum("n").alias("n_comp"))
-    return facts.join(ordered_lists(kinds.where("char_5 IS NOT NULL"), CONTRACT, ["char_5"], "char_5", "TipoProduto"), CONTRACT, "left")
+    return ordered_lists(kinds, CONTRACT, ["char_5"], "char_5", "TipoProduto", also={"BindingID": (F.max, "int_2"), "n_comp": (F.sum, "n")})
 
 
 def eligible_instalments(t: Tables, p: ReportParams, among: Column | None = None) -> DataFrame:
@@ -136,10 +135,10 @@ def with_instalment_lists(contracts: DataFrame, t: Tables, p: ReportParams, with
     that ``among`` rules out at their scan.
     """
     instalments = (contracts if keys is None else keys).select(*CONTRACT).join(eligible_instalments(t, p, among), CONTRACT)
-    out = contracts.join(ordered_lists(instalments, CONTRACT, ["fat_parc"], "fat_parc", "Contratos"), CONTRACT)
+    total = {"vlr_total": (F.sum, "vlr")} if with_total else None
+    out = contracts.join(ordered_lists(instalments, CONTRACT, ["fat_parc"], "fat_parc", "Contratos", also=total), CONTRACT)
     if with_total:
-        totals = instalments.groupBy(*CONTRACT).agg(F.sum("vlr").alias("vlr_total"))
-        out = out.join(totals, CONTRACT).withColumn("ValorTotal", F.col("n_comp") * F.col("vlr_total")).drop("vlr_total")
+        out = out.withColumn("ValorTotal", F.col("n_comp") * F.col("vlr_total")).drop("vlr_total")
     return out.drop("n_comp")
 
 

@@ -301,6 +301,10 @@ def test_a_contract_of_a_third_of_all_instalments_is_listed_in_pieces(spark):
     for bucket in (7, 700, 10**6):
         got = {r.nmcont: r.out for r in lists.ordered_lists(items, ["nmcont", "cod_cli"], ["v"], "v", "out", sep=", ", bucket=bucket).collect()}
         assert got == {k: ", ".join(sorted(v)) for k, v in want.items()}
+    some = spark.createDataFrame([("a", None, 1), ("a", "y", 2), ("a", "x", 4), ("b", None, 8), (None, "z", 16)], "k string, v string, n int")
+    for bucket in (1, 2, 9):
+        got = {r.k: (r.out, r.n, r.m) for r in lists.ordered_lists(some, ["k"], ["v"], "v", "out", sep=", ", bucket=bucket, also={"n": (F.sum, "n"), "m": (F.max, "n")}).collect()}
+        assert got == {"a": ("x, y", 7, 4), "b": (None, 8, 8), None: ("z", 16, 16)}
 
 
 @pytest.mark.parametrize("key", ["r07_recent", "r09_broken_rejected", "r10_collateral"])
