@@ -18,6 +18,8 @@ shingle has are one shingle; very long texts are sketched whole.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,37 +90,52 @@ def as_text(kept: Column) -> Column:
     return F.array_join(F.transform(kept, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(df: DataFrame, key: str, carry: list[str], tie: str) -> DataFrame:
+def _bounds(df: DataFrame, place: Column, tie: str) -> list[tuple[int, int]]:
+    """Where stretches begin, as (place, tie): approximate quantiles of the places, and within a place
+    that holds more than a stretch also even steps of the tie, which is a hash."""
+    n = df.count()
+    parts = max(1, min(STRETCHES, math.ceil(n / STRETCH_ROWS)))
+    cuts = df.select(F.percentile_approx(place, [i / parts for i in range(parts)], 10 * STRETCHES).alias("cuts")).first().cuts or []
+    bounds = {(FIRST, FIRST), *((c, FIRST) for c in cuts)}
+    crowded = [c for c, times in Counter(cuts).items() if times > 1]
+    for r in df.where(place.isin(crowded)).groupBy(place.alias("at")).count().collect() if crowded else ():  # a row per crowded place
+        steps = min(STRETCHES, math.ceil(r["count"] / STRETCH_ROWS))
+        bounds |= {(r["at"], FIRST + i * (1 << 64) // steps) for i in range(steps)}
+    return sorted(bounds)
+
+
+def with_next(df: DataFrame, key: str, carry: list[str], tie: str, add: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """``df`` and, as ``next_<name>``, the carried columns of the row with the next larger ``key`` (after the last: the first).
 
-    Rows are dealt into stretches of neighbouring keys, cut at approximate
-    quantiles that are keys themselves; the first rows of a stretch are also listed at
-    the end of the stretch before. So each stretch finds its followers alone, and
-    no task sees the whole order. Equal keys follow each other in the order of ``tie``;
-    a null key comes first. One repeated key stays in one stretch, which is sorted
-    on disk if need be.
+    Rows are dealt into stretches of neighbouring (key, tie) pairs; the first row of a stretch is
+    also listed at the end of the stretch before. So each stretch finds its followers alone, and
+    no task sees the whole order, however many rows share a key. Equal keys follow each other in the order of ``tie``, a
+    hash; a null key comes first. Only rows equal in both stay together, and are sorted on disk if need be.
+    ``add`` gives rows further columns once they are dealt.
     """
     place = F.coalesce(F.col(key), F.lit(FIRST))
-    n = df.count()
-    parts = max(1, min(STRETCHES, math.ceil(n / STRETCH_ROWS)))
-    cuts = df.select(F.percentile_approx(place, [i / parts for i in range(parts)], 10 * STRETCHES).alias("cuts")).first().cuts
-    least = df.select(F.min(place)).first()[0]
-    bounds = sorted({least, *cuts}) if n else [0]
+    bounds = _bounds(df, place, tie)
     step = math.isqrt(len(bounds) - 1) + 1
-    # found in two steps, each over the root of the number of cuts
-    coarse = F.array(*[F.lit(b) for b in bounds[::step]])
-    fine = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
-    row = F.size(F.filter(coarse, lambda b: b <= F.col("x_place")))
-    col = F.size(F.filter(F.element_at(fine, F.col("x_row")), lambda b: b <= F.col("x_place")))
+    here = F.struct(F.col("x_place"), F.col(tie).alias("x_tie"))
+
+    def listed(some: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(b).alias("x_place"), F.lit(t).alias("x_tie")) for b, t in some])
+
+    # found in two steps, each over the root of the number of bounds
+    row = F.size(F.filter(listed(bounds[::step]), lambda b: b <= here))
+    fine = F.array(*[listed(bounds[i : i + step]) for i in range(0, len(bounds), step)])
+    col = F.size(F.filter(F.element_at(fine, F.col("x_row")), lambda b: b <= here))
     dealt = df.withColumn("x_place", place).withColumn("x_row", row)
-    dealt = dealt.withColumn("x_part", (F.col("x_row") - 1) * step + col - 1)
-    own = F.struct(F.col("x_part").alias("part"), F.lit(False).alias("halo"))
-    before = F.struct(F.pmod(F.col("x_part") - 1, F.lit(len(bounds))).alias("part"), F.lit(True).alias("halo"))
-    first = F.element_at(F.element_at(fine, F.col("x_row")), (F.col("x_part") % step + 1).cast("int")) == F.col("x_place")
-    listed = dealt.withColumn("x_at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    order = Window.partitionBy("x_at.part").orderBy("x_at.halo", "x_place", tie)
-    out = listed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry])
-    return out.where(~F.col("x_at.halo")).drop("x_place", "x_row", "x_part", "x_at")
+    dealt = dealt.withColumn("x_part", (F.col("x_row") - 1) * step + col - 1).drop("x_row")
+    used = sorted(r.x_part for r in dealt.select("x_part").distinct().collect())  # one number a stretch
+    before = F.create_map(*[F.lit(x) for part, last in zip(used, used[-1:] + used[:-1]) for x in (part, last)]) if used else None
+    order = Window.partitionBy("x_part").orderBy("x_place", tie)
+    heads = dealt.withColumn("x_nth", F.row_number().over(order)).where("x_nth = 1").drop("x_nth")  # at most one a stretch and task
+    halo = heads.withColumn("x_part", before[F.col("x_part")] if used else F.lit(0))
+    both = add(dealt).withColumn("x_halo", F.lit(False)).unionByName(add(halo).withColumn("x_halo", F.lit(True)))
+    order = Window.partitionBy("x_part").orderBy("x_halo", "x_place", tie)
+    out = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry])
+    return out.where(~F.col("x_halo")).drop("x_place", "x_part", "x_halo")
 
 
 def edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,8 +145,8 @@ def edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     document. Columns: doc_id, n_chars, text, edited, next_text, kept, edited_kept, next_kept.
     """
     docs = narrow(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("*", sketch(F.col("text")).alias("kept"), F.xxhash64("text").alias("tie"))
-    followed = with_next(docs, "doc_id", ["text", "kept"], "tie")
+    docs = docs.select("*", F.xxhash64("text").alias("tie"))
+    followed = with_next(docs, "doc_id", ["text", "kept"], "tie", add=lambda d: d.withColumn("kept", sketch(F.col("text"))))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -67,10 +68,12 @@ def rows_of(kind: str):
         return [(5, "one two three four five six seven")]
     if kind == "repeats":
         return [(3, "a b c d e f"), (3, "a b c d e f"), (3, "other text"), (None, None), (None, "null id"), (9, None), (2, "")] + [(50, text()) for _ in range(40)]
+    if kind == "hot":  # a third without an id, a third with one id, texts that differ
+        return [(None, f"null {k} " + text()) for k in range(150)] + [(7, f"seven {k} " + text()) for k in range(150)] + [(k, text()) for k in range(150)]
     return [(i * i if i % 2 else -i, text()) for i in range(300)] + [(10**15, "far " * 20000)]
 
 
-@pytest.mark.parametrize("kind", ["empty", "one", "repeats", "many"])
+@pytest.mark.parametrize("kind", ["empty", "one", "repeats", "many", "hot"])
 @pytest.mark.parametrize("stretch", [7, 1024])
 def test_query_against_brute_force(spark, make_docs, stored, kind, stretch, monkeypatch):
     monkeypatch.setattr(sketch, "STRETCH_ROWS", stretch)
@@ -125,3 +128,14 @@ def test_sketches_that_cannot_tell_say_so(spark, make_docs):
             assert near is None and share is None
         else:
             assert near == len(set(a) & set(b)) / min(len(a), len(b)) and share == len(set(a) & set(b)) / len(a)
+
+
+def test_a_hot_id_is_spread_over_stretches(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sketch, "STRETCH_ROWS", 20)
+    docs = make_docs([(None, f"null {k}") for k in range(1000)] + [(k, f"own {k}") for k in range(2000)])
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("tie"))
+    place = F.coalesce("doc_id", F.lit(sketch.FIRST))
+    bounds = sketch._bounds(rows, place, "tie")
+    keyed = sorted((r[0], r[1]) for r in rows.select(place, "tie").collect())
+    starts = [bisect.bisect_left(keyed, b) for b in bounds] + [len(keyed)]
+    assert max(b - a for a, b in zip(starts, starts[1:])) < 100  # 1,000 rows share the null id
