@@ -190,10 +190,16 @@ def r10_collateral(t: Tables, p: ReportParams) -> DataFrame:
     none = F.lit(None).cast("string")
     kinds = [("chassi", F.col("chassi"), none, none), ("MarcaModelo", pair, F.col("marca"), F.col("modelo")), ("Placas", F.col("placa"), none, none)]
     value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value"), a.alias("a"), b.alias("b")) for k, v, a, b in kinds]))
-    distinct = assets.select(*CONTRACT, value.alias("v")).select(*CONTRACT, "v.*").where("kind = 'chassi' OR value IS NOT NULL").distinct()
-    counts = distinct.where("kind = 'chassi'").groupBy(*CONTRACT).agg(F.count("value").alias("QtdGarantiasUnicas"))
-    first_pair = distinct.where("kind = 'MarcaModelo'").groupBy(*CONTRACT, "kind", "value").agg(F.min(F.struct("a", "b")).alias("place"))
-    listed = distinct.where("kind = 'Placas'").unionByName(first_pair.select(*CONTRACT, "kind", "value", "place.*"))
+    distinct = assets.select(*CONTRACT, value.alias("v")).select(*CONTRACT, "v.*").where("kind = 'chassi' OR value IS NOT NULL")
+    distinct = distinct.groupBy(*distinct.columns).agg(F.count(F.lit(1)).alias("n"))
+
+    def only(kind: str) -> DataFrame:
+        """Rows of a kind; the count keeps the filter above the aggregate, so that all kinds read one exchange of one scan."""
+        return distinct.where((F.col("kind") == kind) | (F.col("n") < 0)).drop("n")
+
+    counts = only("chassi").groupBy(*CONTRACT).agg(F.count("value").alias("QtdGarantiasUnicas"))
+    first_pair = only("MarcaModelo").groupBy(*CONTRACT, "kind", "value").agg(F.min(F.struct("a", "b")).alias("place"))
+    listed = only("Placas").unionByName(first_pair.select(*CONTRACT, "kind", "value", "place.*"))
     lists = ordered_lists(listed, [*CONTRACT, "kind"], ["a", "b", "value"], "value", "list")
     rows = counts.withColumns({"kind": F.lit("chassi"), "list": F.lit(None).cast("string")}).unionByName(lists.withColumn("QtdGarantiasUnicas", F.lit(None).cast("long")))
     per_contract = rows.groupBy(*CONTRACT).agg(

@@ -88,6 +88,15 @@ def test_assets_are_scanned_once(spark, tmp_path, build):
     assert len(re.findall(r"Relation \[[^\]]*anofab", df._jdf.queryExecution().optimizedPlan().toString())) == 1
 
 
+def test_collateral_kinds_share_one_exchange(spark, tmp_path):
+    stored = from_fixture(spark, SMALL)
+    stored.bens.write.parquet(f"{tmp_path}/bens_tb")
+    df = REPORTS["r10_collateral"].build(replace(stored, bens=spark.read.parquet(f"{tmp_path}/bens_tb")), FIXTURE_PARAMS)
+    df.collect()
+    final = plan_text(df).split("Initial Plan")[0]
+    assert final.count("FileScan parquet [nmcont") == 1 and final.count("ReusedExchange [nmcont") == 2
+
+
 def test_no_set_is_made_for_a_count(tables):
     assert "collect_set" not in plan_text(REPORTS["r10_collateral"].build(tables, FIXTURE_PARAMS))
 
